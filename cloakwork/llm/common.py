@@ -39,12 +39,15 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def blocks(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tuple[list, list]]:
-    """(keys, texts as UTF-8 bytes or None) of the first two columns, cut after about `limit` bytes."""
+    """(keys, texts as UTF-8 bytes or None) of the first two columns, cut after about `limit` bytes; further columns join the key in a tuple."""
     keys: list = []
     texts: list = []
     size = 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
+        own = batch.column(0).to_pylist()
+        if batch.num_columns > 2:
+            own = list(zip(own, *(batch.column(i).to_pylist() for i in range(2, batch.num_columns)), strict=True))
+        for key, text in zip(own, batch.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
             keys.append(key)
             texts.append(text)
             size += len(text or b"")
@@ -55,10 +58,6 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[
         yield keys, texts
 
 
-def arrow(names: Iterable[str], *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=list(names))
-
-
 def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sum of each run of `lengths` consecutive values; empty runs give 0."""
     out = np.zeros((len(lengths), *values.shape[1:]), dtype=np.float64 if values.dtype.kind == "f" else np.int64)
