@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,71 +151,73 @@ def _find(width: int):
             begin = window[first]
             h1, h2 = window_hashes(x.words, begin, n + width - 1)
             offset = (at[first] - begin).astype(np.uint64)
-            chunk = mix(h1 ^ mix(offset + U(1)) ^ (n.astype(np.uint64) << U(32)))
+            chunk = mix(h1 ^ mix(offset + U(1)) ^ (n.astype(np.uint64) << U(32))) ^ mix(h2)
             doc = x.doc[begin]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(name[first].view(np.int64)), pa.array((chunk ^ mix(h2)).view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.array(ids, dtype=object)[doc].tolist(), pa.int64()), pa.array((begin - x.starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                names=["symbol", "c1", "c2", "id", "at", "n"],
+                [pa.array(name[first].view(np.int64)), pa.array(chunk.view(np.int64)), pa.array(np.array(ids, np.int64)[doc]), pa.array((begin - x.starts[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                names=["symbol", "chunk", "id", "at", "n"],
             )
 
     return run
 
 
-CHUNKS = "symbol long, c1 long, c2 long, id long, at int, n int"
-
-
 def _windows(width: int):
     """Hashes of the single windows of the wanted chunks of each text."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in blocks(batches, 1 << 20):
-            x = Texts(texts, width)
-            wanted = [(d, c["c1"], c["c2"], c["at"], c["n"]) for d, (_, chunks) in enumerate(keys) for c in chunks if c["at"] + c["n"] + width - 1 <= x.sizes[d]]
-            if not wanted:
-                continue
-            d, at, n = (np.array([w[i] for w in wanted], np.int64) for i in (0, 3, 4))
-            row = np.repeat(np.arange(len(wanted)), n)
-            offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            h1, h2 = window_hashes(x.words, (x.starts[d] + at)[row] + offset, width)
+        for keys, packed in blocks(batches, 1 << 18):
+            wanted = [k[1] or [] for k in keys]
+            x = Texts([unpack(t) if w else None for t, w in zip(packed, wanted, strict=True)], width)
+            d, at, n = (np.array(v, np.int64) for v in zip(*((d, c["at"], c["n"]) for d, w in enumerate(wanted) for c in w if c["at"] + c["n"] + width - 1 <= x.sizes[d]), strict=True)) if any(wanted) else [np.empty(0, np.int64)] * 3
+            row = np.repeat(np.arange(len(d)), n)
+            at = at[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            h1, h2 = window_hashes(x.words, (x.starts[d])[row] + at, width)
             ids = np.array([k[0] for k in keys], np.int64)
-            c1, c2 = (np.array([w[i] for w in wanted], np.int64) for i in (1, 2))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[d][row]), pa.array(c1[row]), pa.array(c2[row]), pa.array(offset.astype(np.int32))], names=["h1", "h2", "id", "c1", "c2", "offset"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(ids[d][row]), pa.array(at.astype(np.int32))], names=["h1", "h2", "id", "at"])
 
     return run
 
 
+def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        texts = [None if t is None else squeeze(t) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["id", "packed"])
+
+
+def unpack(packed: bytes | None) -> bytes | None:
+    return None if packed is None else zstandard.ZstdDecompressor().decompress(packed)
+
+
 def repeated_windows(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """(id, spans): for each id, runs (at, n) of window starts whose words also start in a text with a smaller id.
 
-    Chunks, the windows that choose one symbol, are named by all their words. Copies of a passage share its chunks, so a
-    chunk that has been seen under a smaller id is a repeat as a whole, and only its smallest id goes on. Where one symbol
-    stands in different chunks, at the edges of passages, the windows of one text for each chunk are compared one by one."""
+    Chunks, the windows that choose one symbol, are named by all their words. Symbols of one text alone go first. Copies
+    of a passage share its chunks, so a chunk that has been seen under a smaller id is a repeat as a whole, and only its
+    smallest id goes on. Where one symbol stands in different chunks, at the edges of passages, the windows of one text
+    for each chunk are compared one by one. All counts are minima and maxima, added up before they are shuffled."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    chunks = staged(texts.mapInArrow(_find(width), CHUNKS))
-    # of equal chunks: the smallest id, and the windows of that chunk in any text of it
-    heads = staged(chunks.groupBy("symbol", "c1", "c2").agg(F.min("id").alias("head"), F.min_by(F.struct("at", "n"), F.struct("id", "at")).alias("place"), (F.max("id") > F.min("id")).alias("again")))
-    mixed = heads.groupBy("symbol").agg(F.count("*").alias("kinds")).where("kinds > 1").select("symbol")
-    edges = heads.join(mixed, "symbol", "left_semi")
-    # distinct places, as different symbols never share a place; a few for each text
-    wanted = edges.groupBy(F.col("head").alias("id")).agg(F.collect_list(F.struct("c1", "c2", "place.at", "place.n")).alias("chunks"))
-    windows = staged(texts.join(wanted, "id").select("id", "text", "chunks").mapInArrow(_windows(width), "h1 long, h2 long, id long, c1 long, c2 long, offset int"))
+    chunks = staged(texts.mapInArrow(_find(width), "symbol long, chunk long, id long, at int, n int"))
+    often = chunks.groupBy("symbol").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("symbol")
+    shared = staged(chunks.join(often, "symbol", "left_semi"))
+    heads = shared.groupBy("symbol", "chunk").agg(F.min("id").alias("head"), F.max("id").alias("last"))
+    mixed = heads.groupBy("symbol").agg(F.min("head").alias("a"), F.max("head").alias("b")).where("a < b").select("symbol")
+    edges = heads.join(mixed, "symbol", "left_semi").select("symbol", "chunk", "head")
+    wanted = shared.join(edges, ["symbol", "chunk"]).where("id = head").groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("chunks"))
+    packed = texts.mapInArrow(_pack, "id long, packed binary")
+    windows = staged(packed.join(wanted.hint("shuffle_hash"), "id").select("id", "packed", "chunks").mapInArrow(_windows(width), "h1 long, h2 long, id long, at int"))
     least = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("most > least")
-    seen = windows.join(least, ["h1", "h2"]).where("id > least").groupBy("c1", "c2").agg(F.collect_set("offset").alias("offsets"))
-    marks = heads.join(seen, ["c1", "c2"], "left").where("again or offsets is not null").select("symbol", "c1", "c2", "head", "offsets")
-    hit = chunks.join(marks, ["symbol", "c1", "c2"]).select("id", "at", F.when(F.col("id") > F.col("head"), F.struct(F.lit(0).alias("from"), F.col("n").alias("n"))).alias("all"), "offsets", "head")
-    whole = hit.where("id > head").select("id", F.struct("at", "all.n").alias("span"))
-    part = hit.where("id = head and offsets is not null").select("id", F.explode(F.transform("offsets", lambda o: F.struct((F.col("at") + o).alias("at"), F.lit(1).alias("n")))).alias("span"))
-    return whole.unionByName(part).groupBy("id").agg(F.collect_set("span").alias("spans"))
+    part = windows.join(least, ["h1", "h2"]).where("id > least").select("id", "at", F.lit(1).alias("n"))
+    whole = shared.join(heads.where("last > head"), ["symbol", "chunk"]).where("id > head").select("id", "at", "n")
+    return whole.unionByName(part).groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 
 
 def _remove(width: int, names: list[str]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in blocks(batches):
             kept, n_words, n_removed = [], [], []
-            for (_, spans), text in zip(keys, texts, strict=True):
-                words = (text or b"").split()
+            for (_, spans), packed in zip(keys, texts, strict=True):
+                words = (unpack(packed) or b"").split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 for s in spans or ():
                     if s["at"] + s["n"] + width - 1 <= len(words):
@@ -237,7 +240,8 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     alone; repeated rows of one id are judged as one document if their texts are equal (with different texts, a span
     found in one is looked for in all); an empty table gives an empty one."""
     spans = repeated_windows(docs, id_col, text_col, width).withColumnRenamed("id", "span_id")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(spans, F.col("id") == F.col("span_id"), "left").select("id", "text", "spans")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_pack, "id long, packed binary")
+    rows = rows.join(spans.hint("shuffle_hash"), F.col("id") == F.col("span_id"), "left").select("id", "packed", "spans")
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("kept", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
     return rows.mapInArrow(_remove(width, schema.names), schema)
 
