@@ -1,5 +1,116 @@
 """All queries of the library's own operators, and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import names, shape
+from ..operators import classify as C
+from ..operators import gate as G
+from ..operators import vault as V
+from ..sources import derived as D
+
+
+def scan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that fire on the credential-like words of all documents, by language."""
+    found = C.scan_candidates(D.read(spark, sf_dir, "documents"), "text", "lang").withColumn("key", F.lit("X"))
+    return C.classify(found).groupBy("lang", "rule").agg(F.count("*").alias("n"))
+
+
+def scan_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate words of all documents, by language."""
+    return C.scan_candidates(D.read(spark, sf_dir, "documents"), "text", "lang").groupBy("lang").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
+
+
+def shape_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length, alphabet, distinct bytes and entropy of every derived value."""
+    v = F.col("value")
+    return D.env_entries(spark, sf_dir).select("id", F.octet_length(v).cast("long").alias("n_bytes"), shape.charset(v).alias("charset"), F.size(F.array_distinct(shape.octets(v))).cast("long").alias("n_distinct"), F.round(shape.entropy(v), 6).alias("entropy"))
+
+
+def name_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of every derived name."""
+    return D.env_entries(spark, sf_dir).groupBy("key").agg(F.count("*").alias("n")).select("key", F.array_join(names.segments(F.col("key")), " ").alias("segments"), "n")
+
+
+def classify_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and rule of every derived entry."""
+    return C.classify(D.env_entries(spark, sf_dir)).select("id", "class", "rule")
+
+
+def plan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files and open, partial and veiled entries of each repository."""
+    by = lambda c: F.sum((F.col("class") == c).cast("long")).alias(f"n_{c}")
+    return C.classify(D.env_entries(spark, sf_dir)).groupBy("repo").agg(F.count_distinct("path").alias("n_files"), by("open"), by("partial"), by("veiled"))
+
+
+def vault_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.chain(D.vault_rows(spark, sf_dir)).withColumn("priority", F.col("priority").cast("long"))
+
+
+def vault_dangling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.dangling(D.handle_texts(spark, sf_dir), D.vault_rows(spark, sf_dir))
+
+
+def vault_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.orphans(D.handle_texts(spark, sf_dir), V.chain(D.vault_rows(spark, sf_dir)))
+
+
+def vault_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.resolve(D.handle_texts(spark, sf_dir), V.chain(D.vault_rows(spark, sf_dir)).drop("priority"))
+
+
+def last_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.last_assignments(D.env_entries(spark, sf_dir)).select("repo", "path", "key", "record_no")
+
+
+def duplicate_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = D.env_entries(spark, sf_dir).where("want = 'name-secret'").select("repo", C.ref_of(F.col("key")).alias("ref"), F.concat_ws(":", "path", "key").alias("owner"), "value")
+    return V.duplicate_refs(claims)
+
+
+def detect_caller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.detect_caller(D.sessions(spark, sf_dir))
+
+
+def check_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.check_policy(D.commands(spark, sf_dir)).select("event_id", "program", "refusal")
+
+
 FLAGSHIP = "scan_rules"
+QUERIES = {f.__name__: f for f in (scan_rules, scan_candidates, shape_profile, name_segments, classify_entries, plan_counts, vault_chain, vault_dangling, vault_orphans, vault_resolve, last_assignments, duplicate_refs, detect_caller, check_policy)}
+
+VAULT, TEXTS = D.VAULT.format(s="varchar"), D.TEXTS.format(s="varchar")
+CHAIN = f"select repo, ref, value, priority from (select *, row_number() over (partition by repo, ref order by priority, value) as rn from ({VAULT})) where rn = 1"
+USED = f"select distinct repo, path, unnest(regexp_extract_all(text, 'sv://([a-z0-9_.-]+)', 1)) as ref from ({TEXTS})"
+OPEN = "('empty', 'variable-reference', 'public-prefix', 'name-not-secret', 'default-open')"
+PARTIAL = "('url-password', 'connection-string-password', 'bearer-token', 'url-password+url-query-credential', 'value-aws-access-key-id', 'labelled-token')"
+CLASSED = f"select *, case when want in {OPEN} then 'open' when want in {PARTIAL} then 'partial' else 'veiled' end as class from ({D.ENTRIES_SQL})"
+ORACLES = {
+    "scan_candidates": "select lang, count(*) as n, count(distinct v) as n_values from (select lang, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_+/=.\\-]{16,}')) as v from documents) group by lang",
+    "shape_profile": f"""
+with e as ({D.ENTRIES_SQL}), b as (select id, substr(hex(encode(value)), 2 * i - 1, 2) as x from (select id, value, unnest(range(1, strlen(value) + 1)) as i from e)),
+c as (select id, x, count(*) as n from b group by id, x), t as (select id, sum(n) as total from c group by id),
+h as (select id, count(*) as n_distinct, round(sum(-n / total * log2(n / total)), 6) as entropy from c join t using (id) group by id)
+select e.id, strlen(value)::bigint as n_bytes, case when value = '' then 'empty' when regexp_full_match(value, '[0-9a-fA-F]+') then 'hex' when regexp_full_match(value, '[0-9A-Za-z]+') then 'alnum'
+  when regexp_full_match(value, '[0-9A-Za-z+/=_\\-]+') then 'base64' else 'ascii' end as charset, coalesce(n_distinct, 0)::bigint as n_distinct, coalesce(entropy, 0.0) as entropy
+from e left join h on e.id = h.id""",
+    "name_segments": f"select key, upper(array_to_string(list_filter(regexp_split_to_array(regexp_replace(regexp_replace(key, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '_'), lambda x: x <> ''), ' ')) as segments, count(*) as n from ({D.ENTRIES_SQL}) group by key",
+    "classify_entries": f"select id, class, want as rule from ({CLASSED})",
+    "plan_counts": f"select repo, count(distinct path) as n_files, count(*) filter (where class = 'open') as n_open, count(*) filter (where class = 'partial') as n_partial, count(*) filter (where class = 'veiled') as n_veiled from ({CLASSED}) group by repo",
+    "vault_chain": f"select repo, ref, value, priority::bigint as priority from ({CHAIN})",
+    "vault_dangling": f"select repo, ref, string_agg(path, ',' order by path) as files, count(*) as n_files from ({USED}) u where not exists (select 1 from ({VAULT}) v where v.repo = u.repo and v.ref = u.ref) group by repo, ref",
+    "vault_orphans": f"select repo, ref from ({CHAIN}) c where not exists (select 1 from ({USED}) u where u.repo = c.repo and u.ref = c.ref)",
+    "vault_resolve": f"""select t.repo, path, record_no, concat('a=', coalesce(x.value, 'sv://' || r1), ' b=', coalesce(y.value, 'sv://' || r2), tail) as text
+from (select *, regexp_extract(text, 'a=sv://([a-z0-9_]+)', 1) as r1, regexp_extract(text, 'b=sv://([a-z0-9_]+)', 1) as r2, regexp_extract(text, ' tail$') as tail from ({TEXTS})) t
+left join ({CHAIN}) x on x.repo = t.repo and x.ref = r1 left join ({CHAIN}) y on y.repo = t.repo and y.ref = r2""",
+    "last_assignments": f"select repo, path, key, max(record_no) as record_no from ({D.ENTRIES_SQL}) group by repo, path, key",
+    "duplicate_refs": f"select repo, lower(key) as ref, string_agg(distinct path || ':' || key, ',' order by path || ':' || key) as owners, count(distinct value) as n_values from ({D.ENTRIES_SQL}) where want = 'name-secret' group by repo, lower(key) having count(distinct path || ':' || key) > 1",
+    "detect_caller": """
+with s as (select event_id % 997 as session, event_id as e from events where event_id % 7 = 0)
+select session, case when bool_or(e % 10 = 2) then (case when bool_or(e % 10 = 2 and e % 4 = 0) then 'human' else 'agent' end)
+  when bool_or(e % 20 = 10 or false) then 'ci' when bool_or(e % 10 in (1, 4)) then 'agent' when session % 2 = 0 then 'human' else 'agent' end as caller
+from s group by session""",
+    "check_policy": "select event_id, case event_id % 9 " + " ".join(f"when {i} then '{c[1]}'" for i, c in enumerate(D.COMMANDS)) + " end as program, case event_id % 9 " + " ".join(f"when {i} then '{c[2]}'" for i, c in enumerate(D.COMMANDS) if c[2]) + " end as refusal from events",
+}
