@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names, shape
+from ..operators import audit as A
 from ..operators import classify as C
+from ..operators import files as T
 from ..operators import gate as G
+from ..operators import redact as R
 from ..operators import vault as V
 from ..sources import derived as D
 
@@ -78,9 +81,64 @@ def check_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.check_policy(D.commands(spark, sf_dir)).select("event_id", "program", "refusal")
 
 
+def redact_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.redact(D.logs(spark, sf_dir), R.build_needles(D.secrets(spark, sf_dir)))
+
+
+def redact_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.hits(D.logs(spark, sf_dir), R.build_needles(D.secrets(spark, sf_dir)))
+
+
+def leftovers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.find_leftovers(D.logs(spark, sf_dir).selectExpr("repo", "id as path", "text as content"), D.secrets(spark, sf_dir))
+
+
+def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.discover_files(D.trees(spark, sf_dir)).select("repo", "path", "kind")
+
+
+def uncovered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = D.trees(spark, sf_dir).where("path = 'a/.npmrc' and cast(repo as int) % 20 = 1").selectExpr("repo", "path", "2L as line_no")
+    return T.find_uncovered(D.trees(spark, sf_dir), planned)
+
+
+def load_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.load_order(D.env_entries(spark, sf_dir))
+
+
+def last_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.last_loaded(D.env_entries(spark, sf_dir)).select("repo", "key", "path", "record_no")
+
+
+def unread_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.unread_files(D.handle_texts(spark, sf_dir))
+
+
+def ref_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.ref_usage(D.handle_texts(spark, sf_dir))
+
+
+def guard_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = D.env_entries(spark, sf_dir).selectExpr("cast(id as string) as path", "value as text")
+    return T.guard(entries, entries.where("cast(path as int) % 40 = 6").selectExpr("path", "'value-aws-access-key-id' as rule"))
+
+
+def decision_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.histogram(C.classify(D.env_entries(spark, sf_dir)))
+
+
+def redact_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands by event, with a credential flag after them, as they may be logged."""
+    extra = F.array(F.lit("--api-key"), F.col("event_id").cast("string"), F.concat(F.lit("--token="), F.col("event_id").cast("string")), F.concat(F.lit("Authorization: Bearer "), F.col("event_id").cast("string")))
+    return D.commands(spark, sf_dir).select("event_id", F.array_join(A.redact_command(F.concat("argv", extra)), "|").alias("command"))
+
+
 FLAGSHIP = "scan_rules"
-QUERIES = {f.__name__: f for f in (scan_rules, scan_candidates, shape_profile, name_segments, classify_entries, plan_counts, vault_chain, vault_dangling, vault_orphans, vault_resolve, last_assignments, duplicate_refs, detect_caller, check_policy)}
+QUERIES = {f.__name__: f for f in (scan_rules, scan_candidates, shape_profile, name_segments, classify_entries, plan_counts, vault_chain, vault_dangling, vault_orphans, vault_resolve, last_assignments, duplicate_refs, detect_caller, check_policy, redact_logs, redact_hits, leftovers, discover_files, uncovered_lines, load_order, last_loaded, unread_files, ref_usage, guard_texts, decision_histogram, redact_commands)}
 
+SECRETS = D.SECRETS.format(s="varchar")
+LOGS = D.LOGS.format(s="varchar", forms=D.FORMS.format(b64="to_base64(encode(value))", q="\\\""), secrets=SECRETS)
+PARTS = "select p_partkey as id, p_partkey::varchar as repo from part"
 VAULT, TEXTS = D.VAULT.format(s="varchar"), D.TEXTS.format(s="varchar")
 CHAIN = f"select repo, ref, value, priority from (select *, row_number() over (partition by repo, ref order by priority, value) as rn from ({VAULT})) where rn = 1"
 USED = f"select distinct repo, path, unnest(regexp_extract_all(text, 'sv://([a-z0-9_.-]+)', 1)) as ref from ({TEXTS})"
@@ -113,4 +171,16 @@ select session, case when bool_or(e % 10 = 2) then (case when bool_or(e % 10 = 2
   when bool_or(e % 20 = 10 or false) then 'ci' when bool_or(e % 10 in (1, 4)) then 'agent' when session % 2 = 0 then 'human' else 'agent' end as caller
 from s group by session""",
     "check_policy": "select event_id, case event_id % 9 " + " ".join(f"when {i} then '{c[1]}'" for i, c in enumerate(D.COMMANDS)) + " end as program, case event_id % 9 " + " ".join(f"when {i} then '{c[2]}'" for i, c in enumerate(D.COMMANDS) if c[2]) + " end as refusal from events",
+    "redact_logs": f"select repo, id, concat('café sv://', ref, case when form = 1 then right(to_base64(encode(value)), 4) else '' end, '; twice sv://', ref, ' end') as text, 2::bigint as n_hits from ({LOGS})",
+    "redact_hits": f"select repo, ref, 2 * count(*) as n from ({LOGS}) group by repo, ref",
+    "leftovers": f"select repo, id as path, ref, 1::bigint as line_no, 'warn' as level from ({LOGS})",
+    "discover_files": f"select repo, {D.PATHS_SQL} as path, case when id % 10 = 1 then 'npmrc' else 'dotenv' end as kind from ({PARTS}) where id % 10 in (1, 6, 7, 9)",
+    "uncovered_lines": f"select repo, path, case id % 10 when 0 then '.netrc' when 1 then '.npmrc' when 3 then 'aws credentials' else '.envrc' end as kind, '2' as lines from (select *, {D.PATHS_SQL} as path from ({PARTS})) where id % 10 in (0, 1, 3, 5) and id % 20 <> 1",
+    "load_order": f"select repo, string_agg(distinct path, ' ' order by path) as files from ({D.ENTRIES_SQL}) group by repo",
+    "last_loaded": f"select repo, key, path, record_no from (select *, row_number() over (partition by repo, key order by path desc, record_no desc) as rn from ({D.ENTRIES_SQL})) where rn = 1",
+    "unread_files": f"select distinct repo, path from ({TEXTS}) where path = 'app/.env'",
+    "ref_usage": f"select repo, ref, string_agg(path, ',' order by path) as files from ({USED}) group by repo, ref",
+    "guard_texts": f"select id::varchar as path, want as rule from ({D.ENTRIES_SQL}) where want like 'value-%' and id % 40 <> 6",
+    "decision_histogram": f"select class, want as rule, count(*) as n from ({CLASSED}) group by class, want union all select class, null, count(*) from ({CLASSED}) group by class",
+    "redact_commands": "select event_id, concat(case event_id % 9 " + " ".join(f"when {i} then '{'|'.join(c[0])}'" for i, c in enumerate(D.COMMANDS)) + " end, '|--api-key|[hidden]|--token=[hidden]|Authorization: Bearer [hidden]') as command from events",
 }

@@ -90,3 +90,34 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, argv) from events."""
     pick = F.array(*(F.array(*map(F.lit, c[0])) for c in COMMANDS))
     return read(spark, sf_dir, "events").select("event_id", F.get(pick, (F.col("event_id") % len(COMMANDS)).cast("int")).alias("argv"))
+
+
+#: A vault and texts that hold its values raw, in base64, and escaped for queries, paths and JSON; SQL that Spark and DuckDB share.
+SECRETS = "select 'main' as repo, concat('key_', cast(s_suppkey as {s})) as ref, concat(substr(md5(concat('s', cast(s_suppkey as {s}))), 1, 10), '+/ \"', substr(md5(concat('s', cast(s_suppkey as {s}))), 11, 6)) as value from supplier"
+FORMS = "case c_custkey % 5 when 0 then value when 1 then {b64} when 2 then replace(replace(replace(replace(value, '+', '%2B'), '/', '%2F'), '\"', '%22'), ' ', '+') when 3 then replace(replace(replace(value, '/', '%2F'), '\"', '%22'), ' ', '%20') else replace(value, '\"', '{q}') end"
+LOGS = "select 'main' as repo, cast(c_custkey as {s}) as id, concat('café ', {forms}, '; twice ', value, ' end') as text, ref, value, c_custkey % 5 as form from customer join ({secrets}) s on s.ref = concat('key_', cast(c_custkey % 10 + 1 as {s}))"
+
+
+def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, ref, value) from supplier."""
+    return spark.sql(SECRETS.format(s="string").replace("from supplier", "from {supplier}"), supplier=read(spark, sf_dir, "supplier"))
+
+
+def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, id, text) from customer: each text holds a secret in one form and once more as it is."""
+    query = LOGS.format(s="string", forms=FORMS.format(b64="base64(cast(value as binary))", q="\\\\\""), secrets="select * from {secrets}".replace("{", "{{").replace("}", "}}"))
+    query = query.replace("{{", "{").replace("}}", "}").replace("from customer", "from {customer}")
+    return spark.sql(query, customer=read(spark, sf_dir, "customer"), secrets=secrets(spark, sf_dir)).select("repo", "id", "text")
+
+
+#: Credential files by part: path, and whether its second line holds a value in the clear.
+TREES = [(".netrc", True), ("a/.npmrc", True), ("app/.docker/config.json", False), ("deploy/credentials", True), ("node_modules/x/.netrc", False), (".envrc", True), (".env", False), (".env.local", False), (".env.example", False), ("web/.env.test", False)]
+LINES = "machine x login y password {v}|//r/:_authToken={v}|\"auth\": \"<token>\"|aws_session_token = {v}|machine x password {v}|export MY_TOKEN={v}|A={v}|A={v}|A={v}|A={v}".split("|")
+PATHS_SQL = "case id % 10 " + " ".join(f"when {i} then '{p}'" for i, (p, _) in enumerate(TREES)) + " end"
+CONTENT_SQL = "concat('# password of {nl}', case id % 10 ".replace("{nl}", "") + " ".join("when %d then %s" % (i, "concat('\n%s')" % x.replace("{v}", "', h, '")) for i, x in enumerate(LINES)) + " end)"
+
+
+def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, path, content) from part."""
+    rows = read(spark, sf_dir, "part").selectExpr("p_partkey as id", "md5(cast(p_partkey as string)) as h")
+    return rows.selectExpr("cast(id as string) as repo", f"{PATHS_SQL} as path", f"{CONTENT_SQL} as content")
