@@ -12,7 +12,9 @@ from ..operators import files as T
 from ..operators import gate as G
 from ..operators import redact as R
 from ..operators import vault as V
+from ..operators import veil as W
 from ..sources import derived as D
+from ..sources import settings as S
 
 
 def scan_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,8 +135,16 @@ def redact_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.commands(spark, sf_dir).select("event_id", F.array_join(A.redact_command(F.concat("argv", extra)), "|").alias("command"))
 
 
+def dotenv_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.parse_dotenv(D.env_files(spark, sf_dir)).where("kind = 'assignment'").select("repo", "path", "line_no", "key", "value")
+
+
+def veil_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.veil(D.env_entries(spark, sf_dir)).select("id", "class", "projected", F.size("secrets").cast("long").alias("n_secrets"))
+
+
 FLAGSHIP = "scan_rules"
-QUERIES = {f.__name__: f for f in (scan_rules, scan_candidates, shape_profile, name_segments, classify_entries, plan_counts, vault_chain, vault_dangling, vault_orphans, vault_resolve, last_assignments, duplicate_refs, detect_caller, check_policy, redact_logs, redact_hits, leftovers, discover_files, uncovered_lines, load_order, last_loaded, unread_files, ref_usage, guard_texts, decision_histogram, redact_commands)}
+QUERIES = {f.__name__: f for f in (scan_rules, scan_candidates, shape_profile, name_segments, classify_entries, plan_counts, vault_chain, vault_dangling, vault_orphans, vault_resolve, last_assignments, duplicate_refs, detect_caller, check_policy, redact_logs, redact_hits, leftovers, discover_files, uncovered_lines, load_order, last_loaded, unread_files, ref_usage, guard_texts, decision_histogram, redact_commands, dotenv_records, veil_entries)}
 
 SECRETS = D.SECRETS.format(s="varchar")
 LOGS = D.LOGS.format(s="varchar", forms=D.FORMS.format(b64="to_base64(encode(value))", q="\\\""), secrets=SECRETS)
@@ -183,4 +193,8 @@ from s group by session""",
     "guard_texts": f"select id::varchar as path, want as rule from ({D.ENTRIES_SQL}) where want like 'value-%' and id % 40 <> 6",
     "decision_histogram": f"select class, want as rule, count(*) as n from ({CLASSED}) group by class, want union all select class, null, count(*) from ({CLASSED}) group by class",
     "redact_commands": "select event_id, concat(case event_id % 9 " + " ".join(f"when {i} then '{'|'.join(c[0])}'" for i, c in enumerate(D.COMMANDS)) + " end, '|--api-key|[hidden]|--token=[hidden]|Authorization: Bearer [hidden]') as command from events",
+    "dotenv_records": f"select repo, path, 2 * row_number() over (partition by repo, path order by id) as line_no, key, value from ({D.ENTRIES_SQL})",
+    "veil_entries": f"""select id, class, case id % 20 when 2 then 'postgres://app:sv://database_url_password@db.internal:5432/app' when 3 then 'Server=db;Password=sv://conn_password;Port=1'
+  when 4 then 'Bearer sv://header_line_token' when 5 then 'https://app:sv://gateway_password@gw.io/x?token=sv://gateway_param' when 6 then concat('AK', 'IAsv://cloud') when 15 then 'main:sv://bot'
+  else case when class = 'open' then value else concat('sv://', lower(key)) end end as projected, (case when class = 'open' then 0 when id % 20 = 5 then 2 else 1 end)::bigint as n_secrets from ({CLASSED})""",
 }

@@ -121,3 +121,10 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repo, path, content) from part."""
     rows = read(spark, sf_dir, "part").selectExpr("p_partkey as id", "md5(cast(p_partkey as string)) as h")
     return rows.selectExpr("cast(id as string) as repo", f"{PATHS_SQL} as path", f"{CONTENT_SQL} as content")
+
+
+def env_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, path, content): the entries of each file in order, a comment before each, quoted in three ways."""
+    line = F.expr("concat('# no ', id, '\n', case id % 3 when 0 then concat(key, '=', value) when 1 then concat('export ', key, ' = \"', value, '\" # note') else concat(key, \"='\", value, \"'\r\") end, '\n')")
+    lines = F.array_sort(F.collect_list(F.struct("id", line.alias("line"))))
+    return env_entries(spark, sf_dir).groupBy("repo", "path").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("content"))
