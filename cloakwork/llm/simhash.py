@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations, repeat
 
@@ -229,20 +228,88 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return prints.join(labels, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-def radius_of(similarity: float, n_bits: int) -> int:
-    """Bits in which the SimHashes of two shingle sets of that Jaccard similarity differ on average."""
-    return round(n_bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+N_BANDS, BAND = 40, 8  # min-hashes of a band: two sets of similarity 0.8 share one with probability 1 - (1 - 0.8**8)**40 > 0.999
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, n_words: int = 8) -> DataFrame:
-    """`docs` with one document of each group left, the one with the smallest id; rows with a null id stay.
+def _sets(width: int, seed: int):
+    scramble = np.random.default_rng(seed).integers(0, 1 << 32, (2, N_BANDS * BAND), np.uint32) | np.array([[0], [1]], np.uint32)
 
-    Two texts are near duplicates if their fingerprints of 64 * `n_words` bits differ by no more than sets of
-    `width`-word shingles of that similarity do on average: with 512 bits the estimate is within 0.03 of the true
-    similarity, and pairs at 0.8 meet in a band with probability 0.91, at 0.9 with 0.99. Texts without words are left alone."""
-    texts = docs.where(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"))
-    groups = near_duplicate_groups(texts, id_col, text_col, width, radius_of(similarity, 64 * n_words), n_words=n_words)
-    out = groups.where("id <> component").select(F.col("id").alias("near_id")).distinct()
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in blocks(batches):
+            parts, kept = [], []
+            for i, text in zip(ids, texts, strict=True):
+                words = (text or b"").lower().split()
+                if words:
+                    grams = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)) if len(words) > width else [b" ".join(words)]
+                    parts.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64)))
+                    kept.append(i)
+            if not parts:
+                continue
+            flat = np.concatenate(parts)
+            ends = np.cumsum([len(p) for p in parts])
+            starts, low = np.r_[0, ends[:-1]], flat.astype(np.uint32)
+            keys = np.empty((len(parts), N_BANDS), np.uint64)
+            for band in range(N_BANDS):
+                key = np.full(len(parts), band, np.uint64)
+                for k in range(band * BAND, band * BAND + BAND):
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((low ^ scramble[0, k]) * scramble[1, k], starts).astype(np.uint64) + np.uint64(1))
+                keys[:, band] = key
+            names = np.array([xxhash.xxh64_intdigest(p.tobytes(), seed=seed) for p in parts], np.uint64)
+            lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, e].astype(np.int32)), pa.array(v.view(np.int64))) for e, v in ((np.arange(1, len(parts) + 1) * N_BANDS, keys.ravel()), (ends, flat))]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(names.view(np.int64)), *lists], names=["id", "fp", "keys", "shingles"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (src, dst) whose shingle sets have that Jaccard similarity or more."""
+    one, two = (sets.select(F.col("fp").alias(c), F.col("shingles").alias(s)) for c, s in (("src", "a"), ("dst", "b")))
+    both = F.size(F.array_intersect("a", "b"))
+    # rounding in the product may not part pairs exactly at the limit
+    return pairs.join(one, "src").join(two, "dst").where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("src", "dst")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seed: int = 42, stars: int = 2) -> DataFrame:
+    """(id, component) of each row with an id and a word: the smallest id of all documents that links lead to, a link being
+    a Jaccard similarity of at least `similarity` of two sets of `width`-word shingles.
+
+    SimHash distances spread too far about their mean to decide this, and its bands need quadratic work to find pairs at
+    0.8, so bands of min-hashes propose pairs, 0.999 of those at 0.8 and more above, and the sets themselves decide. Equal
+    sets are one row. In the first rounds each band group compares its members with one of them, another in each group
+    and round; then all pairs of a group that no link has joined yet are compared. So a dense group costs about its
+    size, and no pair that met is left out. Groups meet in joins and partial sums alone, never whole in one task."""
+    rows = staged(docs.select(F.col(id_col).cast("long"), text_col).where(F.col(id_col).isNotNull()).mapInArrow(_sets(width, seed), "id long, fp long, keys array<long>, shingles array<long>"))
+    bands = rows.select("fp", F.explode("keys").alias("key")).distinct()
+    members = staged(bands.join(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"))
+    sets = staged(rows.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles")))
+    tested = links = found = None
+    for turn in range(stars + 1):
+        if found is None:
+            now = members.withColumn("component", F.col("fp"))
+        else:
+            now = members.join(found.withColumnRenamed("id", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
+        if turn < stars:
+            other = now.groupBy("key").agg(F.min_by(F.struct("fp", "component"), F.xxhash64("fp", "key", F.lit(turn))).alias("h")).select("key", F.col("h.fp").alias("fp2"), F.col("h.component").alias("component2"))
+            met = now.join(other, "key").where("component <> component2")
+        else:
+            # groups whose members are all linked are done
+            open_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+            now = now.join(open_keys, "key", "left_semi")
+            met = now.join(now.select("key", F.col("fp").alias("fp2"), F.col("component").alias("component2")), "key").where("component < component2")
+        pairs = met.select(F.greatest("fp", "fp2").alias("src"), F.least("fp", "fp2").alias("dst")).distinct()
+        pairs = staged(pairs.join(tested, ["src", "dst"], "left_anti") if tested is not None else pairs)
+        tested = pairs if tested is None else tested.union(pairs)
+        new = staged(_verified(pairs, sets, similarity))
+        links = new if links is None else links.union(new)
+        found = components(links)
+    named = rows.select("id", "fp").join(found.withColumnRenamed("id", "fp"), "fp", "left").select("id", F.coalesce("component", "fp").alias("group"))
+    return named.join(named.groupBy("group").agg(F.min("id").alias("component")), "group").select("id", "component")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """`docs` with one document of each group left, the one with the smallest id; rows with a null id and texts without
+    words stay. Two texts are near duplicates if their sets of `width`-word shingles have that Jaccard similarity."""
+    out = similar_groups(docs, id_col, text_col, width, similarity).where("id <> component").select(F.col("id").alias("near_id")).distinct()
     return docs.join(out, docs[id_col].cast("long") == out["near_id"], "left_anti")
 
 
