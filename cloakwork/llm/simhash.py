@@ -180,17 +180,29 @@ def _link(radius: int, n_pivots: int):
     return run
 
 
-def near_links(prints: DataFrame, radius: int = 4, n_blocks: int | None = 6, n_pivots: int = 16) -> DataFrame:
+def parted(rows: DataFrame, part_rows: int) -> DataFrame:
+    """(key, fp, id) with keys of more than `part_rows` rows cut into parts of about that size by a hash of the id: any two
+    parts of a key meet under a key of their own, so each pair of rows still meets, and no group has many more than two parts."""
+    hot = rows.groupBy("key").count().where(F.col("count") > part_rows).select("key", F.ceil(F.col("count") / part_rows).cast("int").alias("parts"))
+    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: t != F.col("mine"))
+    met = F.transform(others, lambda t: F.xxhash64("key", F.least("mine", t), F.greatest("mine", t)))
+    keys = F.when(F.col("parts").isNull(), F.array("key")).otherwise(met)
+    return rows.join(F.broadcast(hot), "key", "left").withColumn("mine", mine).select(F.explode(keys).alias("key"), "fp", "id")
+
+
+def near_links(prints: DataFrame, radius: int = 4, n_blocks: int | None = 6, n_pivots: int = 16, part_rows: int = 4096) -> DataFrame:
     """(src, dst) with dst < src: links between ids whose distinct fingerprints are within `radius` bits.
 
     `prints`: (id, fp), each fp once. With `n_blocks`, for one word of 64 bits: two fingerprints that differ in `radius`
     bits agree in n_blocks - radius blocks at least, so rows that share such a choice of blocks meet in one partition,
     and the components are exactly those of all pairs. With None: rows meet that share a band of 16 bits, for which a
     long fingerprint is needed; pairs well within the radius share one almost surely. Where rows meet, the pivot tables
-    discard pairs and the survivors are verified. A group of near copies sends a spanning forest, never all pairs."""
+    discard pairs and the survivors are verified. A group of near copies sends a spanning forest, never all pairs.
+    Keys of more than `part_rows` rows are dealt in parts, so that no task holds a whole hot key."""
     if n_blocks and not radius < n_blocks <= 64:
         raise ValueError("n_blocks must exceed radius")
-    rows = prints.select("id", "fp").mapInArrow(_deal(radius, n_blocks), "key long, fp binary, id long")
+    rows = parted(prints.select("id", "fp").mapInArrow(_deal(radius, n_blocks), "key long, fp binary, id long"), part_rows)
     return rows.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(_link(radius, n_pivots), "src long, dst long").distinct()
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from cloakwork.llm import simhash
 
 
@@ -56,3 +58,14 @@ def test_chains_and_stars(spark):
                 up[max(x, y)] = min(x, y)
     got = {r.id: r.component for r in simhash.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {d: find(d) for d in up} and len(set(got.values())) < 30
+
+
+def test_hot_keys(spark):
+    rng = random.Random(1)
+    fps = list({rng.getrandbits(12) << 20 | 7 for _ in range(700)})  # all agree in most blocks
+    prints = spark.createDataFrame([(i, f.to_bytes(8, "big")) for i, f in enumerate(fps)], "id long, fp binary")
+    dealt = prints.mapInArrow(simhash._deal(2, 4), "key long, fp binary, id long")
+    assert dealt.groupBy("key").count().agg(F.max("count")).first()[0] == len(fps)
+    assert simhash.parted(dealt, 50).groupBy("key").count().agg(F.max("count")).first()[0] < 160
+    groups = [{r.id: r.component for r in simhash.components(simhash.near_links(prints, 2, 4, part_rows=p)).collect()} for p in (50, 10**6)]
+    assert groups[0] == groups[1] and groups[0]
