@@ -36,13 +36,13 @@ BASE = (
     Rule("hex", r"[0-9a-f]+", 0, 24),
 )
 MORE = (
-    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
-    Rule("payment", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,250}"),
+    Rule("forge", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("payment", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"),
     Rule("cloud", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("webtoken", r"eyJ[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{10,4000}\.[A-Za-z0-9_-]{5,4000}"),
-    Rule("login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]{1,200}:[^\x20\x09-\x0D/@]{1,200}@"),
+    Rule("webtoken", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}"),
+    Rule("login", r"[A-Za-z][A-Za-z0-9+.-]{1,20}://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@"),
 )
 
 Query = frozenset[frozenset[str]]  # any of these sets of trigrams, all of a set
