@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .shape import parts_of
+from .shape import parts_of, stripped
 
 # Words that say a value is a credential.
 SECRET_TERMS = """
@@ -59,14 +59,14 @@ def terms(key: Column) -> Column:
 
 def host_label(value: Column) -> Column:
     """What stands before the first colon of a value."""
-    return F.split_part(F.trim(value), F.lit(":"), F.lit(1))
+    return F.split_part(stripped(value), F.lit(":"), F.lit(1))
 
 
 def agrees(kind: str, value: Column, random: Column, label_random: Column) -> Column:
     """Whether a value is of the kind that a setting's name calls for; an empty one always is.
 
     `random` and `label_random`: whether the value and its `host_label` look random, computed once by the caller."""
-    v = F.trim(value)
+    v = stripped(value)
     word = (F.octet_length(v) <= 24) & ~v.rlike("[ \\t\\n\\r]") & ~random
     base = host_label(value)
     host = F.contains(v, F.lit("://")) | v.rlike(r"\A[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?(\.[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?)+(:[0-9]{1,5})?(/[^\n]*)?\z") | (base.rlike(r"\A[a-z0-9][a-z0-9-]{0,62}\z") & base.rlike("[a-z]{3}") & ~label_random)
@@ -88,7 +88,7 @@ KINDS = sorted({*CONFIG_TERMS, *WEAK_TERMS})
 
 
 def verdict(key: Column, found: Column, fits: Column) -> Column:
-    """secret, config or silent: the rightmost term that decides; then any secret word; then a long secret word within the name.
+    """secret, config-kind or silent: the rightmost term that decides; then any secret word; then a long secret word within the name.
 
     `found`: the name's `terms`; `fits`: the kinds that the value agrees with."""
     has_secret = F.arrays_overlap(found, F.array(*map(F.lit, SECRET_TERMS)))
@@ -97,7 +97,8 @@ def verdict(key: Column, found: Column, fits: Column) -> Column:
     weak = F.create_map(*(F.lit(x) for k, ws, weak in config if weak for w in ws for x in (w, k)))
 
     def decides(t: Column) -> Column:
-        return F.when(t.isin(SECRET_TERMS), "secret").when(F.array_contains(fits, strong[t]) | (F.array_contains(fits, weak[t]) & ~has_secret), "config")
+        config = lambda kind: F.concat(F.lit("config-"), kind)
+        return F.when(t.isin(SECRET_TERMS), "secret").when(F.array_contains(fits, strong[t]), config(strong[t])).when(F.array_contains(fits, weak[t]) & ~has_secret, config(weak[t]))
 
     first = F.get(F.filter(F.transform(found, decides), lambda x: x.isNotNull()), 0)
     known = F.array(*(F.lit(w) for _, ws, _ in config for w in ws))

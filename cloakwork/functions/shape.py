@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def stripped(v: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(v, r"(?U)\A\s+|\s+\z", "")
+
+
 def octets(v: Column) -> Column:
     """The bytes as two hex digits each."""
     return F.regexp_extract_all(F.hex(F.encode(v, "UTF-8")), F.lit(".."), F.lit(0))

@@ -1,8 +1,9 @@
-"""The audit log: commands without their secrets, appended and read as JSON lines, and what changed between two sets of decisions."""
+"""The audit log: commands without their secrets, appended and read as JSON lines, and counts of decisions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
 
 # Words that name a credential on a command line.
@@ -50,18 +51,18 @@ def append_log(events: DataFrame, path: str) -> None:
     events.withColumns({"command": redact_command(F.col("command")), "time": F.coalesce("time", F.current_timestamp())}).write.mode("append").json(path)
 
 
+def log_stream(events: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
+    """Append a stream of events (event_id, time, ...) to the log; an event that comes again within `delay` is written once."""
+    once = events.withWatermark("time", delay).dropDuplicatesWithinWatermark(["event_id"])
+    write = lambda batch, _: append_log(batch.drop("event_id"), path)
+    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The log without damaged lines."""
     return spark.read.schema(LOG_SCHEMA).option("mode", "DROPMALFORMED").json(path)
 
 
-def decision_diff(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """(key, change) of rows whose class changed from `old` to `new`, both (key, class): less-safe or safer."""
-    rank = lambda c: F.when(F.col(c) == "veiled", 2).when(F.col(c) == "partial", 1).otherwise(0)
-    both = old.select(key, F.col("class").alias("was")).join(new.select(key, F.col("class").alias("now")), key)
-    return both.where(rank("was") != rank("now")).select(key, F.when(rank("now") < rank("was"), "less-safe").otherwise("safer").alias("change"))
-
-
 def histogram(decisions: DataFrame) -> DataFrame:
     """Rows of each class and rule, and of each class as a whole (a null rule)."""
     return decisions.rollup("class", "rule").agg(F.count("*").alias("n")).where("class is not null")

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .classify import classify, scan_candidates
+from ..sources.settings import marked_refs
+from .classify import classify, scan_candidates, settled
+from .runtime import load_place
 from .vault import used_refs
 
 # Folders that are never read, and endings of files that hold samples.
@@ -49,17 +51,31 @@ def discover_files(files: DataFrame) -> DataFrame:
     return files.where(in_tree(F.col("path"))).withColumn("kind", file_kind(F.col("path"))).where("kind is not null")
 
 
+def linked_files(files: DataFrame) -> DataFrame:
+    """(repo, path) of settings files that are symbolic links: listed, never read. `files` has `is_link`."""
+    return files.where("is_link").where(in_tree(F.col("path")) & file_kind(F.col("path")).isNotNull()).select("repo", "path")
+
+
+def skipped_files(files: DataFrame, largest: int = LARGEST) -> DataFrame:
+    """(repo, path, why) of credential files that `credential_lines` leaves out: too large, or not text."""
+    ours = files.where(in_tree(F.col("path")) & F.coalesce(*(F.when(F.col("path").rlike(p), k) for k, p, _ in CREDENTIAL_FILES)).isNotNull())
+    why = F.when(F.octet_length("content") > largest, "too large").when(F.contains("content", F.lit("\0")), "not text")
+    return ours.withColumn("why", why).where("why is not null").select("repo", "path", "why")
+
+
 def load_order(files: DataFrame) -> DataFrame:
     """(repo, files) from (repo, path): .env, then others by name, then .env.local, as one line."""
-    place = F.when(F.col("path") == ".env", 0).when(F.col("path") == ".env.local", 2).otherwise(1)
+    place = load_place(F.col("path"))
     ordered = F.array_sort(F.collect_set(F.struct(place.alias("place"), "path")))
     return files.groupBy("repo").agg(F.array_join(F.transform(ordered, lambda x: x["path"]), " ").alias("files"))
 
 
 def last_loaded(records: DataFrame) -> DataFrame:
-    """(repo, key, path, record_no, value): of (repo, path, record_no, key, value), the one that counts after all files are loaded."""
-    place = F.when(F.col("path") == ".env", 0).when(F.col("path") == ".env.local", 2).otherwise(1)
-    return records.groupBy("repo", "key").agg(F.max_by(F.struct("path", "record_no", "value"), F.struct(place, "path", "record_no")).alias("last")).select("repo", "key", "last.*")
+    """(repo, key, path, record_no, value, first_path, first_no): of (repo, path, record_no, key, value), the one that counts
+    after all files are loaded, and where its key first stands, which keys are ordered by."""
+    spot = F.struct(load_place(F.col("path")).alias("place"), "path", "record_no")
+    ranked = records.groupBy("repo", "key").agg(F.max_by(F.struct("path", "record_no", "value"), spot).alias("last"), F.min(spot).alias("first"))
+    return ranked.select("repo", "key", "last.*", F.col("first.path").alias("first_path"), F.col("first.record_no").alias("first_no"))
 
 
 def unread_files(texts: DataFrame) -> DataFrame:
@@ -67,9 +83,15 @@ def unread_files(texts: DataFrame) -> DataFrame:
     return used_refs(texts).where(~F.col("path").isin(".env", ".env.local")).select("repo", "path").distinct()
 
 
+def all_uses(texts: DataFrame) -> DataFrame:
+    """(repo, path, ref): the handles of each text (repo, path, text), and the markers of npmrc files."""
+    npmrc = texts.where(base_name(F.col("path")) == ".npmrc").select("repo", "path", F.explode(marked_refs(F.col("text"))).alias("ref"))
+    return used_refs(texts).union(npmrc).distinct()
+
+
 def ref_usage(texts: DataFrame) -> DataFrame:
-    """(repo, ref, files): the files that use each handle."""
-    return used_refs(texts).groupBy("repo", "ref").agg(F.array_join(F.sort_array(F.collect_set("path")), ",").alias("files"))
+    """(repo, ref, files): the files that use each handle or marker."""
+    return all_uses(texts).groupBy("repo", "ref").agg(F.array_join(F.sort_array(F.collect_set("path")), ",").alias("files"))
 
 
 def credential_lines(files: DataFrame, largest: int = LARGEST) -> DataFrame:
@@ -95,4 +117,4 @@ def find_uncovered(files: DataFrame, planned: DataFrame) -> DataFrame:
 def guard(texts: DataFrame, allowed: DataFrame) -> DataFrame:
     """(path, rule): vendors' credentials in any text of (path, text), without those of `allowed` (path, rule)."""
     ruled = classify(scan_candidates(texts, "text", "path").withColumn("key", F.lit("X")))
-    return ruled.where(F.startswith("rule", F.lit("value-"))).select("path", "rule").distinct().join(allowed, ["path", "rule"], "left_anti")
+    return settled(ruled.select("path", "rule"), F.startswith("rule", F.lit("value-"))).distinct().join(allowed, ["path", "rule"], "left_anti")

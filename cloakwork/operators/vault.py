@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 HANDLE = "sv://([a-z0-9_.-]+)"
@@ -28,6 +29,73 @@ def chain(sources: DataFrame) -> DataFrame:
     return sources.groupBy("repo", "ref").agg(first).select("repo", "ref", "first.*")
 
 
+def all_refs(sources: DataFrame) -> DataFrame:
+    """(repo, ref): every reference that any source holds, once."""
+    return sources.select("repo", "ref").distinct()
+
+
+def environment_vault(env: DataFrame, prefix: str = "SV_") -> DataFrame:
+    """(repo, ref, value) from variables (repo, name, value): those that begin with `prefix`, the rest of the name in lower case."""
+    rest = F.lower(F.expr(f"substr(name, {len(prefix) + 1})"))
+    return env.where(F.startswith("name", F.lit(prefix)) & (F.length("name") > len(prefix))).select("repo", rest.alias("ref"), "value")
+
+
+def differences(want: DataFrame, got: DataFrame) -> DataFrame:
+    """(repo, ref): values of `want` that do not read back the same from `got`; empty before any file may change."""
+    back = got.select("repo", "ref", F.col("value").alias("_got"))
+    return want.join(back, ["repo", "ref"], "left").where(~F.col("value").eqNullSafe(F.col("_got"))).select("repo", "ref")
+
+
+POINTERS = "seq long, version long"
+
+
+def _pointers(spark: SparkSession, root: str) -> tuple[int, int, int] | None:
+    """(last seq, current version, greatest version), or None for a vault that was never written."""
+    try:
+        log = spark.read.schema(POINTERS).json(f"{root.rstrip('/')}/pointers")
+    except AnalysisException:  # there is no such folder yet
+        return None
+    row = log.agg(F.max("seq"), F.max_by("version", "seq"), F.max("version")).first()
+    return None if row[0] is None else tuple(row)
+
+
+def current_version(spark: SparkSession, root: str) -> int | None:
+    """The version that the last pointer names; None for a vault that was never written."""
+    found = _pointers(spark, root)
+    return found and found[1]
+
+
+def _point(spark: SparkSession, root: str, version: int) -> None:
+    found = _pointers(spark, root)
+    spark.createDataFrame([(found[0] + 1 if found else 1, version)], POINTERS).coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/pointers")
+
+
+def write_version(vault: DataFrame, root: str) -> int:
+    """Write (repo, ref, value) as the next version of the vault under `root`; older versions stay as they are.
+
+    Versions are never changed, and one writer at a time moves the pointer, last of all, so a job that dies leaves the vault as it was."""
+    spark = vault.sparkSession
+    root = root.rstrip("/")
+    found = _pointers(spark, root)
+    version = found[2] + 1 if found else 1
+    vault.select("repo", "ref", "value").write.mode("overwrite").parquet(f"{root}/version={version}")
+    _point(spark, root, version)
+    return version
+
+
+def read_vault(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """(repo, ref, value) of one version, the current one unless said otherwise; one ref is a filter on it."""
+    version = version if version is not None else current_version(spark, root)
+    if version is None:
+        return spark.createDataFrame([], "repo string, ref string, value string")
+    return spark.read.schema("repo string, ref string, value string").parquet(f"{root.rstrip('/')}/version={version}")
+
+
+def rollback(spark: SparkSession, root: str, version: int) -> None:
+    """Make an older version the current one again."""
+    _point(spark, root, version)
+
+
 def used_refs(texts: DataFrame, text: str = "text") -> DataFrame:
     """(repo, path, ref): the distinct handles of each text."""
     return texts.select("repo", "path", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(HANDLE), F.lit(1)))).alias("ref")).distinct()

@@ -2,83 +2,116 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shape import alphabet, is_identifier, is_path, parts_of
-from ..sources.settings import render
-from .classify import COMPOSITES, REFERENCE, SHAPES, classify, ref_of
-from .vault import HANDLE, dangling, resolve
+from ..functions.shape import charset, entropy
+from ..sources.settings import MARKER, NPMRC_REF, is_npmrc_credential, marked_refs, marker, npmrc_ref, render
+from .classify import decide, ref_of
+from .vault import dangling, resolve
 
-#: Characters that mark, inside this module, where a secret of each kind begins (in the order of SUFFIXES) and ends.
-SUFFIXES = ["_password", "_token", "_param", ""]
-OPEN, CLOSE = "\x01\x02\x03\x04", "\x05"
-# How vendors' credentials begin.
-VENDOR_STARTS = "sk- sk_live_ sk_test_ rk_live_ rk_test_ pk_live_ npm_ xox ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- glptt- AKIA ASIA AIza SG. SK shp sq0 key- eyJ -----BEGIN".split()
+COMMENT = r"\A[ \t]*# sv: [^\n]*"  # what `veil_files` writes beside a value
 
 
-def marked(value: Column, rule: Column, klass: Column) -> Column:
-    """The value with marks around its secret parts. Where two forms would overlap, the later one takes what the first has left."""
-    out = value
-    for _, suffix, pattern in COMPOSITES:
-        own = pattern.replace("[^", "[^\x01-\x05")
-        own = own[:-1] + "(?=@)" if own.endswith("@") else own
-        out = F.regexp_replace(out, own, f"$1{OPEN[SUFFIXES.index(suffix)]}$2{CLOSE}")
-    whole = lambda at: F.concat(F.substring(value, 1, at), F.lit(OPEN[3]), value.substr(F.lit(1) + at, F.length(value)), F.lit(CLOSE))
-    kept = F.coalesce(*(F.when(rule == f"value-{name}", keep) for _, name, keep in SHAPES if keep), F.lit(0))
-    label = F.length(F.regexp_extract(value, r"\A([A-Za-z0-9._-]{1,32}[:|])[^:|]+\z", 1))
-    return F.when(klass == "open", value).when(rule == "labelled-token", whole(label)).when((klass == "veiled") | (kept > 0), whole(kept)).otherwise(out)
+def comment(value: Column) -> Column:
+    """What a veiled value's shape was: length, characters and entropy, nothing of the value itself."""
+    return F.format_string("sv: %d chars, %s, entropy %.1f", F.octet_length(value), charset(value), entropy(value))
 
 
 def veil(entries: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
-    """`entries` with class, rule, `projected` (the value with handles) and `secrets` (array of ref and value).
+    """`entries` with class, rule, review, `projected` (the value with handles) and `secrets` (array of ref and value).
 
     Parts that are handles or variable references already stay, so that veiling twice changes nothing; an entry without any
     other secret part is open. Refs of one value are told apart by number. A null value is an empty one."""
-    ruled = classify(entries, key, value).withColumn("_marked", marked(F.coalesce(value, F.lit("")), F.col("rule"), F.col("class")))
-    pieces = F.regexp_extract_all("_marked", F.lit(f"[{OPEN}][^{CLOSE}]*{CLOSE}|[^{OPEN}{CLOSE}]+"), F.lit(0))
-    plain = lambda p: F.regexp_replace(p, f"[{OPEN}{CLOSE}]", "")
-    secret = lambda p: p.rlike(rf"\A[{OPEN}]") & ~plain(p).rlike(rf"\A{HANDLE}\z") & ~plain(p).rlike(REFERENCE)
-    split = ruled.withColumn("_pieces", F.transform(pieces, lambda p: F.struct(plain(p).alias("value"), F.when(secret(p), p.substr(1, 1)).alias("mark"))))
+    ruled = decide(entries, key, value).withColumn("spans", F.array_sort("spans"))
+    v, base = F.coalesce(value, F.lit("")), ref_of(F.col(key))
+    last = lambda i: F.when(i == 0, 0).otherwise(F.get("spans", i - 1)["stop"])
+    shown = F.transform("spans", lambda s, i: F.concat(v.substr(last(i) + 1, s["start"] - last(i)), F.lit("sv://"), base, s["suffix"]))
+    tail = v.substr(F.coalesce(F.try_element_at("spans", F.lit(-1))["stop"], F.lit(0)) + 1, F.length(v))
+    taken = F.transform("spans", lambda s: F.struct(F.concat(base, s["suffix"]).alias("ref"), v.substr(s["start"] + 1, s["stop"] - s["start"]).alias("value")))
+    return ruled.withColumns({"projected": F.when(F.size("spans") > 0, F.concat(F.array_join(shown, ""), tail)).otherwise(v), "secrets": taken}).drop("spans", "reason")
 
-    def ref(p: Column, i: Column) -> Column:
-        nth = F.size(F.filter(F.slice("_pieces", 1, i), lambda q: q["mark"] == p["mark"])) + 1
-        suffix = F.coalesce(*(F.when(p["mark"] == m, s) for m, s in zip(OPEN, SUFFIXES, strict=True)))
-        return F.when(p["mark"].isNotNull(), F.concat(ref_of(F.col(key)), suffix, F.when(nth > 1, nth.cast("string")).otherwise("")))
 
-    named = split.withColumn("_named", F.transform("_pieces", lambda p, i: F.struct(ref(p, i).alias("ref"), p["value"].alias("value"))))
-    shown = F.array_join(F.transform("_named", lambda p: F.when(p["ref"].isNotNull(), F.concat(F.lit("sv://"), p["ref"])).otherwise(p["value"])), "")
-    own = F.filter("_named", lambda p: p["ref"].isNotNull())
-    return named.withColumns({"projected": shown, "secrets": own, "class": F.when(F.size(own) == 0, "open").otherwise(F.col("class"))}).drop("_marked", "_pieces", "_named")
+def vault_rows(veiled: DataFrame) -> DataFrame:
+    """(repo, ref, value): what `veil` took out; one ref with two values gives two rows, which `rename_collisions` tells apart."""
+    return veiled.select("repo", F.explode_outer("secrets").alias("s")).where("s is not null").select("repo", "s.ref", "s.value").distinct()
 
 
-def vault_rows(veiled: DataFrame) -> DataFrame:
-    """(repo, ref, value): what `veil` took out; one ref with two values gives two rows, which `vault.duplicate_refs` reports."""
-    return veiled.select("repo", F.explode("secrets").alias("s")).select("repo", "s.ref", "s.value").distinct()
+def file_tag(kind: Column, path: Column) -> Column:
+    """The part of a new ref that names its file: the path of a dotenv file; the folder of an npmrc file, or `root`."""
+    slug = lambda c: F.regexp_replace(F.regexp_replace(F.lower(c), "[^a-z0-9]+", "_"), r"\A_+|_+\z", "")
+    folder = slug(F.regexp_replace(path, r"[^/]*\z", ""))
+    return F.when(kind == "npmrc", F.when(folder == "", "root").otherwise(folder)).otherwise(slug(path))
+
+
+def collisions(claims: DataFrame) -> DataFrame:
+    """(repo, ref, n_values): refs that are claimed with different values; of (repo, ref, value, ...)."""
+    return claims.groupBy("repo", "ref").agg(F.count_distinct("value").alias("n_values")).where("n_values > 1")
+
+
+def rename_collisions(claims: DataFrame) -> DataFrame:
+    """`claims` (repo, path, kind, record_no, span_no, ref, value) with `new_ref`, so that no ref has two values.
+
+    The first owner of a ref that is claimed with different values keeps it; each other owner gets the name of its file in
+    front, an npmrc one behind its prefix, and from the second _2, _3 ... in the order of refs and owners, passing over
+    names that are refs or new names already."""
+    order = [F.col(c) for c in ("path", "record_no", "span_no")]
+    firsts = claims.groupBy("repo", "ref").agg(F.min(F.struct(*order)).alias("_first"), (F.count_distinct("value") > 1).alias("_split"))
+    owned = claims.join(firsts, ["repo", "ref"]).withColumn("_move", F.col("_split") & (F.struct(*order) != F.col("_first")))
+    tag, npmrc = file_tag(F.col("kind"), F.col("path")), F.col("kind") == "npmrc"
+    prefixed = F.concat(F.lit(NPMRC_REF), tag, F.lit("_"), F.regexp_replace("ref", r"\A" + NPMRC_REF, ""))
+    moved = owned.where("_move").withColumn("_base", F.when(npmrc, prefixed).otherwise(F.concat(tag, F.lit("_"), "ref")))
+    bases, refs = moved.select("repo", "_base").distinct(), claims.select("repo", F.col("ref").alias("_base")).distinct()
+    number = r"(?s)\A(.+)_([2-9]|[1-9][0-9]{1,8})\z"
+    numbered = refs.union(bases).distinct().where(F.col("_base").rlike(number)).select("repo", F.regexp_extract("_base", number, 1).alias("_base"), F.regexp_extract("_base", number, 2).cast("int").alias("_k"))
+    busy = refs.withColumn("_k", F.lit(1)).union(numbered).join(bases, ["repo", "_base"], "left_semi").groupBy("repo", "_base").agg(F.array_sort(F.collect_set("_k")).alias("_busy"))
+    nth = moved.withColumn("_n", F.row_number().over(Window.partitionBy("repo", "_base").orderBy("ref", *order))).join(busy, ["repo", "_base"], "left")
+    free = F.aggregate(F.coalesce("_busy", F.array().cast("array<int>")), F.col("_n"), lambda n, k: F.when(k <= n, n + 1).otherwise(n))
+    renamed = nth.withColumn("_k", free).withColumn("new_ref", F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat("_base", F.lit("_"), F.col("_k").cast("string"))))
+    return owned.where("not _move").withColumn("new_ref", F.col("ref")).select(*claims.columns, "new_ref").unionByName(renamed.select(*claims.columns, "new_ref"))
 
 
 def veil_files(records: DataFrame) -> DataFrame:
-    """(repo, path, content): the files of parsed `records` with handles; lines without secrets stay byte for byte.
+    """(repo, path, content): the files of parsed dotenv `records` with handles; lines without secrets stay byte for byte.
+
+    A line without a comment gets one on the shape of what was there."""
+    veiled, some = veil(records.where("kind = 'assignment'")), F.size("secrets") > 0
+    news = veiled.select("repo", "path", "record_no", F.when(some, F.col("projected")).alias("new_value"), F.when(some, comment(F.col("value"))).alias("new_comment"))
+    return render(records.join(news, ["repo", "path", "record_no"], "left"))
+
+
+def veil_npmrc(records: DataFrame) -> DataFrame:
+    """`records` of npmrc files with `new_value`, the variable that stands for a credential, and `secrets` (ref and value)."""
+    held = (F.col("kind") == "assignment") & is_npmrc_credential(F.col("key"), F.col("value"))
+    ref = npmrc_ref(F.col("key"))
+    taken = F.when(F.coalesce(held, F.lit(False)), F.array(F.struct(ref.alias("ref"), F.col("value").alias("value")))).otherwise(F.array().cast("array<struct<ref:string,value:string>>"))
+    return records.withColumns({"new_value": F.when(held, marker(ref)), "secrets": taken})
+
+
+def missing_refs(records: DataFrame, vault: DataFrame) -> DataFrame:
+    """(repo, ref): handles and markers of `records` that the vault lacks."""
+    texts = records.where("kind = 'assignment'").withColumn("text", F.col("value"))
+    marked = texts.select("repo", F.explode(marked_refs(F.col("text"))).alias("ref"))
+    return dangling(texts, vault).select("repo", "ref").union(marked.join(vault, ["repo", "ref"], "left_anti")).distinct()
+
+
+def restored(records: DataFrame, vault: DataFrame) -> DataFrame:
+    """`records` with `new_value`, `new_comment` and `n_handles` where handles, or values that are one marker, come back.
 
-    Give records that are read from a table: parsing and classifying in one plan takes Catalyst minutes."""
-    changed = veil(records).withColumn("new_value", F.when(F.size("secrets") > 0, F.col("projected")))
-    return render(changed)
+    A repo that lacks one of its refs is left out as a whole."""
+    live = records.join(missing_refs(records, vault).select("repo").distinct(), "repo", "left_anti")
+    keys = ["repo", "path", "record_no"]
+    handles = live.where((F.col("kind") == "assignment") & F.contains("value", F.lit("sv://"))).select(*keys, F.col("value").alias("text"))
+    count = lambda c: F.size(F.split(c, "sv://")) - 1
+    back = resolve(handles, vault.select("repo", "ref", "value")).join(handles.withColumnRenamed("text", "_old"), keys)
+    back = back.where("text != _old").select(*keys, F.col("text").alias("new_value"), (count(F.col("_old")) - count(F.col("text"))).cast("long").alias("n_handles"))
+    whole = live.where((F.col("kind") == "assignment") & F.col("value").rlike(rf"\A{MARKER}\z") & (F.size(marked_refs(F.col("value"))) == 1))
+    one = whole.select(*keys, F.get(marked_refs(F.col("value")), 0).alias("ref")).join(vault.select("repo", "ref", F.col("value").alias("new_value")), ["repo", "ref"])
+    news = back.unionByName(one.select(*keys, "new_value", F.lit(1).cast("long").alias("n_handles")))
+    # the comment that veiling wrote goes with the handle
+    return live.join(news, keys, "left").withColumn("new_comment", F.when(F.col("new_value").isNotNull() & F.col("suffix").rlike(COMMENT), F.lit("")))
 
 
 def restore_files(records: DataFrame, vault: DataFrame) -> DataFrame:
-    """(repo, path, content): parsed `records` with their values back. A repo that lacks one of its refs is left out as a whole."""
-    texts = records.where(F.contains("value", F.lit("sv://"))).select("repo", "path", "record_no", F.col("value").alias("text"))
-    broken = dangling(texts, vault).select("repo").distinct()
-    back = resolve(texts, vault.select("repo", "ref", "value")).withColumnRenamed("text", "new_value")
-    return render(records.join(broken, "repo", "left_anti").join(back, ["repo", "path", "record_no"], "left"))
-
-
-def suspect_reason(value: Column) -> Column:
-    """Why an open value deserves a second look, never quoting it; null if it doesn't."""
-    v = F.trim(value)
-    n = F.octet_length(v)
-    pieces = parts_of(v)
-    words = is_path(v) | is_identifier(v) | ((F.size(pieces) >= 2) & F.forall(pieces, lambda p: p.rlike(r"\A[a-z]{3,}\z")))
-    token = (n >= 12) & ~v.rlike("[ \\t]") & ~F.contains(v, F.lit("://")) & alphabet(v).isNotNull() & ~words
-    begins = F.exists(F.array(*map(F.lit, VENDOR_STARTS)), lambda s: F.startswith(v, s))
-    return F.when(begins, "vendor-start").when(token & (n >= 16), "long").when(token & v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]"), "mixed-case-digits")
+    """(repo, path, content): parsed `records` with their values back; a repo that lacks one of its refs is left out as a whole."""
+    return render(restored(records, vault))

@@ -32,7 +32,16 @@ BRANCHES = [
     ("'GREETING'", "'hello world'", "default-open"),
     ("'PAGER_LIST'", "'one/two_three/four-five'", "default-open"),
     ("'API_KEY_SECRET_NAME'", "'billing'", "name-secret"),
+    ("'SPARE'", "concat(chr(9), chr(10))", "empty"),
+    ("'API_KEY'", "concat(chr(9), '${{', 'OTHER}}', chr(9))", "variable-reference"),
+    ("'APP_CONN'", "concat('Password=https://x.io/?token=', substr({h}, 1, 12))", "connection-string-password"),
+    ("'API_KEY'", "'sv://api_key'", "already-veiled"),
+    ("'MEMO'", "concat('Xy7', substr({h}, 1, 11))", "unrecognised"),
+    ("'NEXT_PUBLIC_WIDGET'", "{b}", "public-prefix"),
+    ("'GATEWAY'", "concat('https://app:sv://gateway_password@gw.io/x?token=', substr({h}, 5, 12), '&key=', substr({h}, 17, 8))", "url-query-credential"),
 ]
+N_BRANCHES = len(BRANCHES)
+REVIEWED = (24, 25)  # branches whose open value is marked for review
 
 
 def case(which: int, h: str, b: str, s: str) -> str:
@@ -69,7 +78,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     name = F.when(e % 10 == 0, "CI").when(e % 10 == 1, "AIDER_MODEL").when(e % 10 == 2, "VAULT_CALLER").when(e % 10 == 3, "TRAVIS").when(e % 10 == 4, "CODEX_HOME").otherwise("PATH")
     value = F.when(e % 10 == 0, F.when(e % 20 == 0, "false").otherwise("true")).when(e % 10 == 2, F.when(e % 4 == 0, " Human").otherwise("robot")).otherwise("")
-    return read(spark, sf_dir, "events").where(e % 7 == 0).select((e % 997).alias("session"), name.alias("name"), value.alias("value"), ((e % 997) % 2 == 0).alias("is_tty"))
+    return read(spark, sf_dir, "events").select((e % 9973).alias("session"), name.alias("name"), value.alias("value"), ((e % 9973) % 2 == 0).alias("is_tty"))
 
 
 #: argv by event, and the program and refusal that policy gives.
@@ -128,3 +137,87 @@ def env_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.expr("concat('# no ', id, '\n', case id % 3 when 0 then concat(key, '=', value) when 1 then concat('export ', key, ' = \"', value, '\" # note') else concat(key, \"='\", value, \"'\r\") end, '\n')")
     lines = F.array_sort(F.collect_list(F.struct("id", line.alias("line"))))
     return env_entries(spark, sf_dir).groupBy("repo", "path").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("content"))
+
+
+#: Labelled rows by branch: key, value, want, sensitive part ('' for none), note; SQL that Spark and DuckDB share.
+LABELS = [
+    ("'API_TOKEN'", "{h}", "secret", "{h}", "named"),
+    ("'OTHER'", "concat(substr({h}, 1, 8), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ghijklmnop')", "secret", "'ABCDEFGHIJ'", "bland random"),
+    ("'DATABASE_URL'", "concat('postgres://app:', substr({h}, 1, 16), '@db.internal:5432/app')", "secret", "substr({h}, 1, 16)", "composite"),
+    ("'LOG_LEVEL'", "'debug'", "open", "''", "word"),
+    ("'GIT_SHA'", "{h}", "open", "''", "hash"),
+    ("'MEMO'", "concat('Xy7', substr({h}, 1, 11))", "open", "''", "mixed"),
+    ("'MEMO'", "substr({h}, 1, 8)", "secret", "substr({h}, 1, 8)", "short"),
+    ("'TOKEN_NOTE'", "'weekly'", "open", "''", "secret word"),
+]
+LABEL_COLUMNS = ["case id % 8 " + " ".join(f"when {i} then {x[c] if c in (0, 1, 3) else repr(x[c])}" for i, x in enumerate(LABELS)) + " end" for c in range(5)]
+
+
+def label_sql(c: int, s: str) -> str:
+    return LABEL_COLUMNS[c].format(h=f"md5(concat('l', cast(id as {s})))")
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, key, value, want, sensitive, note) from orders."""
+    k, v, want, part, note = (label_sql(c, "string") for c in range(5))
+    return read(spark, sf_dir, "orders").selectExpr("o_orderkey as id").selectExpr("id", f"{k} as key", f"{v} as value", f"{want} as want", f"filter(array({part}), x -> x != '') as sensitive", f"{note} as note")
+
+
+def short_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, alphabet, n, key, value) from orders: hex tokens and tokens of letters and digits, of 16, 18 and 19 characters."""
+    rows = read(spark, sf_dir, "orders").selectExpr("o_orderkey as id", "case o_orderkey % 3 when 0 then 16 when 1 then 18 else 19 end as n", "floor(o_orderkey / 3) % 2 as a")
+    return rows.selectExpr("id", "case a when 0 then 'hex' else 'mixed' end as alphabet", "n", "'SETTING' as key", "substr(case a when 0 then md5(cast(id as string)) else concat('aZ', upper(md5(cast(id as string)))) end, 1, n) as value")
+
+
+#: Projects of ten kinds of files from part: i counts the parts, r is the project, k the kind, j how often the kind came before.
+PARTS_SQL = "select i, i % 20 as r, floor(i / 20) % 10 as k, floor(i / 200) as j, md5(concat('p', cast(i as {s}))) as h, substr(md5(concat('db', cast(i % 20 as {s}))), 1, 20) as db from (select p_partkey as i from {part})"
+PROJECT_PATHS = ["'.env'", "'.env.local'", "'.env.staging'", "'.npmrc'", "'.netrc'", "'README.md'", "'.gitignore'", "case when r % 7 = 0 then '.vault/backup/copy' else 'docs/copy' end", "'.env.shared'", "case when r % 3 = 2 then 'docs/policy.toml' else '.vault/policy.toml' end"]
+PROJECT_TEXTS = [
+    "concat('API_KEY=sv://api_key', chr(10), case when r % 3 = 0 then concat('LEFT_TOKEN=', db, chr(10)) else '' end, case when r % 4 = 0 then concat('MEMO=Xy7', substr(h, 1, 11), chr(10)) else '' end)",
+    "concat('DB_PASSWORD=sv://db_password', chr(10), 'API_KEY=', 'open', chr(10))",
+    "case when r % 2 = 0 then 'API_KEY=sv://api_key' else 'A=1' end",
+    "case when r % 5 = 0 then concat('//r/:_authToken=$', '{{SV_NPMRC_R_AUTHTOKEN}}') else 'registry=https://r' end",
+    "case when r % 3 = 1 then concat('machine x', chr(10), 'password ', h) else '# password none' end",
+    "case when r % 6 = 1 then concat('see ', chr(10), db) else 'see' end",
+    "case when r % 2 = 0 then concat('node_modules', chr(10), '.vault/') else 'node_modules' end",
+    "'copy'",
+    "'API_KEY=1'",
+    "case when r % 3 = 1 then concat('[agent]', chr(10), 'enforce = false') when r % 9 = 0 then '[agent' else '[agent]' end",
+]
+
+
+def _by_kind(values: list[str]) -> str:
+    return "case k " + " ".join(f"when {i} then {v}" for i, v in enumerate(values)) + " end"
+
+
+PROJECTS_SQL = f"select cast(r as {{s}}) as repo, r, k, j, concat(case when j > 0 then concat('m', cast(cast(j as int) as {{s}}), '/') else '' end, {_by_kind(PROJECT_PATHS)}) as path, {_by_kind(PROJECT_TEXTS)} as content, k = 8 and r % 8 = 1 as is_link, h, db from ({{parts}})"
+
+
+def projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, path, content, is_link) from part."""
+    query = PROJECTS_SQL.format(s="string", parts=PARTS_SQL.format(s="string", part="part_rows"))
+    read(spark, sf_dir, "part").createOrReplaceTempView("part_rows")
+    return spark.sql(query).select("repo", "path", "content", "is_link")
+
+
+PROJECT_VAULT = """select cast(r as {s}) as repo, 'api_key' as ref, 'unused' as value, r from {repos} where r % 10 <> 9
+union all select cast(r as {s}), 'db_password', substr(md5(concat('db', cast(r as {s}))), 1, 20), r from {repos}
+union all select cast(r as {s}), 'npmrc_r_authtoken', 'tokenvalue', r from {repos} where r % 10 = 0
+union all select cast(r as {s}), 'spare', 'nobody uses it', r from {repos} where r % 4 = 2"""
+
+
+def project_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, ref, value) of the projects."""
+    repos = read(spark, sf_dir, "part").selectExpr("p_partkey % 20 as r").distinct()
+    repos.createOrReplaceTempView("repo_rows")
+    return spark.sql(PROJECT_VAULT.format(s="string", repos="repo_rows")).select("repo", "ref", "value")
+
+
+#: npmrc files from supplier: a registry, a credential, a quoted one, a variable and a key that comes twice; SQL that both share.
+NPMRC_SQL = "select cast(s_suppkey as {s}) as repo, concat('apps/a', cast(s_suppkey % 3 as {s}), '/.npmrc') as path, concat('registry=https://r.io/', chr(10), '//r.io/:_authToken=', md5(cast(s_suppkey as {s})), chr(10), '//q.io/:_auth=\"quoted\"', chr(10), '; _password=none', chr(10), '_password=$', '{{X}}', chr(10), '//b.io/:_password=', substr(md5(cast(s_suppkey as {s})), 1, 9), ' # note', chr(10)) as content from {supplier}"
+
+
+def npmrc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, path, content) from supplier."""
+    read(spark, sf_dir, "supplier").createOrReplaceTempView("supplier_rows")
+    return spark.sql(NPMRC_SQL.format(s="string", supplier="supplier_rows"))

@@ -87,14 +87,20 @@ def parse_npmrc(files: DataFrame) -> DataFrame:
     )
 
 
-def render(records: DataFrame, new_value: str = "new_value") -> DataFrame:
+def render(records: DataFrame, new_value: str = "new_value", new_comment: str = "new_comment") -> DataFrame:
     """(repo, path, content): raw records, those with a non-null `new_value` rewritten in the quotes that they had.
 
-    A value that its quotes can't hold is put in double quotes."""
+    A value that its quotes can't hold is put in double quotes. A non-null `new_comment`, if there is such a column, replaces
+    the comment that this library wrote, or is written where a line has none; an empty one leaves no comment."""
     new = F.col(new_value)
     fits = F.when(F.col("quote") == "'", ~new.rlike("'")).when(F.col("quote") == "", ~new.rlike(r"[\s#'\"\\]")).otherwise(False)
     written = F.when(fits, F.concat("quote", new, "quote")).otherwise(F.concat(F.lit('"'), _escaped(new), F.lit('"')))
-    line = F.when(new.isNotNull() & (F.col("kind") == "assignment"), F.concat("prefix", written, "suffix")).otherwise(F.col("raw"))
+    suffix = F.col("suffix")
+    if new_comment in records.columns:
+        say, end = F.col(new_comment), F.regexp_extract("suffix", r"\r?\n?\z", 0)
+        ours = suffix.rlike(r"\A[ \t]*(# sv: [^\n]*)?\r?\n?\z")
+        suffix = F.when(say.isNull() | ~ours, suffix).when(say == "", end).otherwise(F.concat(F.lit(" # "), say, end))
+    line = F.when(new.isNotNull() & (F.col("kind") == "assignment"), F.concat("prefix", written, suffix)).otherwise(F.col("raw"))
     parts = F.array_sort(F.collect_list(F.struct("record_no", line.alias("line"))))
     return records.groupBy("repo", "path").agg(F.array_join(F.transform(parts, lambda p: p["line"]), "").alias("content"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -16,8 +17,9 @@ from ..operators.gate import check_policy, detect_caller
 
 #: More needles than this are refused: they travel with the code of each task. Stored texts go through `operators.redact`.
 MOST_NEEDLES = 100_000
-OUT = "stream_id string, from_seq long, text string, refs array<string>"
-STATE = "next long, pending string, later string"
+OUT = "stream_id string, from_seq long, text string, refs array<string>, gap_to long"
+STATE = "next long, pending string, later string, ended boolean"
+WAITING = 1 << 20  # characters of chunks that wait for an earlier one
 
 
 class Needles:
@@ -28,6 +30,7 @@ class Needles:
         for pattern, ref in sorted(rows, key=lambda r: r[1]):
             self.refs.setdefault(pattern.encode().decode("latin-1"), ref)
         self.longest = max(map(len, self.refs), default=1)
+        self.ordered = sorted(self.refs)
         # at each place the longest needle that starts there, then each of its beginnings that is a needle itself
         by_size = sorted(self.refs, key=len, reverse=True)
         self.any = re.compile("(?s)(?=(" + "|".join(map(re.escape, by_size)) + "))") if by_size else None
@@ -38,10 +41,20 @@ class Needles:
         found = [(m.start() + len(q), m.start(), self.refs[q]) for m in (self.any.finditer(text) if self.any else ()) for q in self.starts[m[1]]]
         return sorted(found)
 
-    def release(self, text: str, done: bool) -> tuple[str, list[str], str]:
-        """(what may go out, the refs shown in it, what must wait): all if `done`, else up to where a secret may yet start."""
+    def begun(self, text: str) -> int:
+        """Length of the longest end of a text that is the beginning of a needle, but not all of it."""
+        for n in range(min(len(text), self.longest - 1), 0, -1):
+            end = text[len(text) - n :]
+            at = bisect_right(self.ordered, end)  # the first needle after `end`, which a longer one that begins with it must be
+            if at < len(self.ordered) and self.ordered[at].startswith(end):
+                return n
+        return 0
+
+    def release(self, text: str, done: bool, idle: bool = False) -> tuple[str, list[str], str]:
+        """(what may go out, the refs shown in it, what must wait): all if `done`, else up to where a secret may yet start; when
+        `idle`, only what has begun to be a secret waits."""
         places = self.places(text)
-        limit = len(text) if done else max(len(text) - self.longest + 1, 0)
+        limit = len(text) if done else len(text) - self.begun(text) if idle else max(len(text) - self.longest + 1, 0)
         runs: list[list[int]] = []
         for start, stop in sorted((a, b) for b, a, _ in places):
             if runs and start < runs[-1][1]:
@@ -68,40 +81,67 @@ def as_text(latin: str) -> str:
     return latin.encode("latin-1", "replace").decode("utf-8", "replace")
 
 
-def redact_stream(chunks: DataFrame, needles: DataFrame, idle_ms: int | None = None) -> DataFrame:
-    """(stream_id, from_seq, text, refs) from (stream_id, seq, chunk, done): the text that each batch lets out of each stream.
+def redact_stream(chunks: DataFrame, needles: DataFrame, idle_ms: int | None = None, waiting_chars: int = WAITING) -> DataFrame:
+    """(stream_id, from_seq, text, refs, gap_to) from (stream_id, seq, chunk, done): what each batch lets out of each stream.
 
     Chunks may come in any order and are taken by `seq`, from 0; repeated ones are left out. At the end (`done`) all that waits
-    goes out; after `idle_ms` without chunks too, if given. All texts of a stream in order are what `operators.redact` makes of
-    the whole. What waits is shorter than the longest needle, and the run of secrets that it touches."""
+    goes out and the state goes too; after `idle_ms` without chunks, if given, all but what has begun to be a secret. All texts
+    of a stream in order are what `operators.redact` makes of the whole. What waits is shorter than the longest needle and the
+    run of secrets that it touches; chunks that wait for an earlier one hold `waiting_chars` at most, beyond which the missing
+    ones are given up: what came before ends there, and `gap_to` names the seq that goes on."""
     rows = needles.select("pattern", "ref").limit(MOST_NEEDLES + 1).collect()
     if len(rows) > MOST_NEEDLES:
         raise ValueError("too many needles for a stream")
     known = Needles((r.pattern, r.ref) for r in rows)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        following, pending, later = state.get if state.exists else (0, "", "{}")
-        first, waiting, done = following, {int(k): v for k, v in json.loads(later).items()}, state.hasTimedOut
+        following, pending, later, ended = state.get if state.exists else (0, "", "{}", False)
+        if ended and state.hasTimedOut:
+            state.remove()
+            return
+        first, waiting, idle = following, {int(k): v for k, v in json.loads(later).items()}, state.hasTimedOut
+        done, out, refs, gap = False, [], [], None
         for frame in frames:
             for seq, chunk, last in zip(frame["seq"], frame["chunk"], frame["done"], strict=True):
-                if seq >= following:
+                if seq >= following and not ended:
                     waiting[int(seq)] = [("" if chunk is None else chunk).encode().decode("latin-1"), bool(last)]
-        while following in waiting:
-            part, last = waiting.pop(following)
-            pending, following, done = pending + part, following + 1, done or last
+        while True:
+            while following in waiting and not done:
+                part, done = waiting.pop(following)
+                pending, following = pending + part, following + 1
+            if done or sum(len(v[0]) + 1 for v in waiting.values()) <= waiting_chars:
+                break
+            text, shown, _ = known.release(pending, True)
+            out, refs, pending, following = [*out, text], [*refs, *shown], "", min(waiting)
+            gap = following
+        text, shown, pending = known.release(pending, done, idle)
         # a character's bytes stay together
-        text, refs, pending = known.release(pending, done)
         while text and not done and pending and 0x80 <= ord(pending[0]) < 0xC0:
             text, pending = text[:-1], text[-1] + pending
-        state.update((following, pending, json.dumps(waiting)))
-        if idle_ms and not state.hasTimedOut:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"stream_id": [key[0]], "from_seq": [first], "text": [as_text(text)], "refs": [refs]})
+        if done and not idle_ms:
+            state.remove()
+        else:
+            state.update((following, pending, "{}" if done else json.dumps(waiting), done or ended))
+            if idle_ms and not idle:
+                state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"stream_id": [key[0]], "from_seq": [first], "text": [as_text("".join([*out, text]))], "refs": [refs + shown], "gap_to": pd.array([gap], dtype="Int64")})
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
     return chunks.select("stream_id", "seq", "chunk", "done").groupBy("stream_id").applyInPandasWithState(run, OUT, STATE, "append", timeout)
 
 
+def with_stream_id(chunks: DataFrame) -> DataFrame:
+    """Chunks of (session, fd, ...), the outputs of a program, each a stream of its own."""
+    return chunks.withColumn("stream_id", F.concat_ws("/", "session", F.col("fd").cast("string")))
+
+
+def running_hits(redacted: DataFrame, merge: bool = False) -> DataFrame:
+    """(stream_id, ref, n) of what `redact_stream` let out, batch or stream (in update mode, from where it was written); with
+    `merge`, the outputs of a session are one."""
+    stream = F.regexp_replace("stream_id", r"/[^/]*\z", "") if merge else F.col("stream_id")
+    return redacted.select(stream.alias("stream_id"), F.explode("refs").alias("ref")).groupBy("stream_id", "ref").agg(F.count("*").alias("n"))
+
+
 def gate_stream(commands: DataFrame, env: DataFrame) -> DataFrame:
     """The commands of agents, with caller, program and refusal: (session, argv, ...) against the table `env` of sessions."""
     callers = detect_caller(env)

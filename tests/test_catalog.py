@@ -16,7 +16,7 @@ def rows(frame):
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_same_as_sql(spark, name):
     con = duckdb.connect()
-    for t in ("customer", "supplier", "events", "documents", "part"):
+    for t in ("customer", "supplier", "events", "documents", "part", "orders"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = catalog.QUERIES[name](spark, SF).toPandas(), con.execute(catalog.ORACLES[name]).df()
     assert sorted(got.columns) == sorted(want.columns)

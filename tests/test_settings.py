@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cloakwork.functions.suspect import suspect_reason
 from cloakwork.operators import veil as W
 from cloakwork.operators.audit import redact_command
 from cloakwork.sources import settings as S
@@ -76,7 +77,7 @@ def test_restore(spark):
 
 def test_suspect(spark):
     cases = {"sk-x": "vendor-start", "a1b2c3d4e5f6g7h8": "long", "aB3dE6gH9jK2": "mixed-case-digits", "short": None, "one-two-three": None, "hello big world": None, "https://a.b/cdefghijk": None, None: None}
-    got = spark.createDataFrame([(k,) for k in cases], "v string").select("v", W.suspect_reason(F.col("v")).alias("r")).collect()
+    got = spark.createDataFrame([(k,) for k in cases], "v string").select("v", suspect_reason(F.col("v")).alias("r")).collect()
     assert {r.v: r.r for r in got} == cases
 
 
