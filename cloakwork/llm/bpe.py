@@ -1,9 +1,10 @@
-"""Byte-level BPE: each partition encodes its distinct words by a recursive DuckDB query and decodes by ordered aggregation."""
+"""Byte-level BPE: each partition encodes its distinct words by a recursive DuckDB query and decodes its texts' ids by ordered aggregation."""
 
 from __future__ import annotations
 
 import base64
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import duckdb
 import numpy as np
@@ -14,25 +15,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, table
+from .common import blocks, sums, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
-#: Rows of a word are its tokens by position, each with the token that follows. A step joins them with the merge table,
-#: finds each word's pair of least rank (the leftmost of equals), puts the merged token in its place and drops the
-#: position after it. A word without a pair is final and leaves the recursion.
+#: Rows of a word are its tokens by position. A step gives each the token that follows, joins them with the merge table, finds
+#: each word's pair of least rank (the leftmost of equals), puts the merged token in its place and drops the position after
+#: it. A word without a pair is final and leaves the recursion.
 ENCODE = """
-with recursive step(w, p, t, n, fin) as (
-  select w, p, t, lead(t) over (partition by w order by p), false from pieces
+with recursive step(w, p, t, fin) as (
+  select w, p, t, false from pieces
   union all
-  (with best as (select s.w, min((m.merged::bigint << 32) + s.p) as k from step s join merges m on s.t = m.l and s.n = m.r where not s.fin group by s.w),
-    cut as (select s.w, s.p, case when s.p = (b.k & 4294967295) then (b.k >> 32)::int else s.t end as t, b.k is null as fin,
-        lag(s.p) over (partition by s.w order by s.p) as before, b.k & 4294967295 as spot
-      from step s left join best b on s.w = b.w where not s.fin)
-  select w, p, t, lead(t) over (partition by w order by p), fin from cut where fin or before is null or before <> spot))
+  (with near as (select w, p, t, lead(t) over x as n, lag(p) over x as before from step where not fin window x as (partition by w order by p)),
+    ranked as (select s.w, s.p, s.t, s.before, (m.merged::bigint << 32) + s.p as k from near s left join merges m on s.t = m.l and s.n = m.r),
+    best as (select w, min(k) as k from ranked group by w)
+  select s.w, s.p, case when s.p = (b.k & 4294967295) then (b.k >> 32)::int else s.t end, b.k is null
+  from ranked s join best b on s.w = b.w where b.k is null or s.before is null or s.before <> (b.k & 4294967295)))
 select w, t from step where fin order by w, p
 """
-DECODE = "select string_agg(hex(v.piece), '' order by e.i) as h from encoded e join vocabulary v on e.t = v.id group by e.w order by e.w"
+#: The same for long words, several merges of a word at once, STEPS times. A pair of less rank than all within `reach` bytes,
+#: twice the longest token, is merged before anything that could touch it: what grows from further away does not get there.
+STEPS = 8
+ENCODE_LONG = """
+with recursive step(w, p, t, n, d) as (
+  select w, p, t, lead(t) over (partition by w order by p), 0 from pieces
+  union all
+  (with ranked as (select s.w, s.p, s.t, s.d, m.merged, (m.merged::bigint << 32) + s.p as k from step s left join merges m on s.t = m.l and s.n = m.r where s.d < {steps}),
+    chosen as (select *, coalesce(k = min(k) over (partition by w order by p range between {reach} preceding and {reach} following), false) as hit from ranked),
+    cut as (select w, p, d, case when hit then merged else t end as t, lag(hit, 1, false) over (partition by w order by p) as gone from chosen)
+  select w, p, t, lead(t) over (partition by w order by p), d + 1 from cut where not gone))
+select w, p, t from step where d = {steps} order by w, p
+"""
+#: One thread keeps the order of the subquery.
+DECODE = "select d, string_agg(h, '') as h from (select e.d, v.h from encoded e join vocabulary v on e.t = v.id order by e.i) group by d"
+LONG = 64  # bytes of a word
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -41,6 +57,25 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
+class Pool:
+    """Numbered strings and the ids of each."""
+
+    def __init__(self) -> None:
+        self.at: dict[str, int] = {}
+        self.ids, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def add(self, keys: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.at.update(zip(keys, range(len(self.at), len(self.at) + len(keys)), strict=True))
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+    def spell(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the numbers in a row, and how many each has."""
+        start, size = self.ends[numbers], self.ends[numbers + 1] - self.ends[numbers]
+        to = np.cumsum(size)
+        return self.ids[np.repeat(start - to + size, size) + np.arange(to[-1] if len(to) else 0)], size
+
+
 class Codec:
     """The tables of one vocabulary and the words seen lately, in one Python worker."""
 
@@ -48,68 +83,72 @@ class Codec:
         self.ranks, self.find, self.keep = ranks, regex.compile(pattern).findall, keep
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         merges = [(ranks[t[:k]], ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
-        self.db = duckdb.connect()
-        self.db.execute("set threads = 1")
-        self.db.execute("set memory_limit = '400MB'")
+        self.long = ENCODE_LONG.format(steps=STEPS, reach=2 * max(map(len, ranks)))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": ""})
         left, right, merged = (pa.array(c, pa.int32()) for c in zip(*merges, strict=True)) if merges else [pa.array([], pa.int32())] * 3
         self.fill("merges", l=left, r=right, merged=merged)
-        self.fill("vocabulary", id=pa.array(ranks.values(), pa.int32()), piece=pa.array(ranks, pa.binary()))
-        self.clear()
+        self.fill("vocabulary", id=pa.array(ranks.values(), pa.int32()), h=pa.array([t.hex() for t in ranks]))
+        self.words = Pool()
 
     def fill(self, name: str, **columns: pa.Array) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"create or replace temp table {name} as select * from given")
         self.db.unregister("given")
 
-    def clear(self) -> None:
-        self.at: dict[str, int] = {}
-        self.ids, self.id_end = np.empty(0, np.int32), np.zeros(1, np.int64)
-        self.bytes, self.byte_end = np.empty(0, np.uint8), np.zeros(1, np.int64)
-
     def learn(self, words: list[str]) -> None:
-        """Encode new words, decode their ids, and keep both."""
+        """Encode new words and keep their ids."""
         raw = [w.encode("utf-8", "replace") for w in words]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
         whole = np.fromiter((self.ranks.get(r, -1) for r in raw), np.int32, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)
         word = np.repeat(np.arange(len(raw), dtype=np.int32), sizes)
         place = (np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-        split = whole[word] < 0  # a word that is a token itself needs no merge
-        self.fill("pieces", w=pa.array(word[split]), p=pa.array(place[split]), t=pa.array(self.single[data[split]]))
-        done = self.db.sql(ENCODE).to_arrow_table()
-        w = np.concatenate([np.flatnonzero(whole >= 0).astype(np.int32), done.column(0).to_numpy()])
-        t = np.concatenate([whole[whole >= 0], done.column(1).to_numpy()])
+        parts = [(np.flatnonzero(whole >= 0).astype(np.int32), whole[whole >= 0])]  # a word that is a token itself needs no merge
+        for long in (False, True):
+            some = (whole[word] < 0) & ((sizes[word] > LONG) == long)
+            if some.any():
+                parts.append((self.merge_long if long else self.merge)(word[some], place[some], self.single[data[some]]))
+        w, t = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(w, kind="stable")
-        w, t = w[order], t[order]
-        self.fill("encoded", w=pa.array(w), i=pa.array(np.arange(len(w), dtype=np.int64)), t=pa.array(t))
-        back = [bytes.fromhex(x) for x in self.db.sql(DECODE).to_arrow_table().column(0).to_pylist()]
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
-        self.ids = np.concatenate([self.ids, t])
-        self.id_end = np.concatenate([self.id_end, self.id_end[-1] + np.cumsum(np.bincount(w, minlength=len(words)))])
-        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(back), np.uint8)])
-        self.byte_end = np.concatenate([self.byte_end, self.byte_end[-1] + np.cumsum(np.fromiter(map(len, back), np.int64, len(back)))])
-
-    def run(self, texts: list[bytes | None]) -> tuple[pa.Array, pa.Array]:
-        """Ids and decoded bytes of each text."""
-        split = [self.find((t or b"").decode("utf-8", "replace")) for t in texts]
-        if len(self.at) > self.keep:
-            self.clear()
-        new = list(dict.fromkeys(w for s in split for w in s if w not in self.at))
+        self.words.add(words, t[order], np.bincount(w, minlength=len(words)))
+
+    def merge(self, w: np.ndarray, p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.fill("pieces", w=pa.array(w), p=pa.array(p), t=pa.array(t))
+        done = self.db.sql(ENCODE).to_arrow_table()
+        return done.column(0).to_numpy(), done.column(1).to_numpy()
+
+    def merge_long(self, w: np.ndarray, p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(w) + 1
+        while len(w) < n:
+            n = len(w)
+            self.fill("pieces", w=pa.array(w), p=pa.array(p), t=pa.array(t))
+            w, p, t = (c.to_numpy() for c in self.db.sql(self.long).to_arrow_table().columns)
+        return w, t
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has."""
+        if len(self.words.at) > self.keep:
+            self.words = Pool()
+        split = list(map(self.find, texts))
+        n = np.fromiter(map(len, split), np.int64, len(split))
+        words = list(chain.from_iterable(split))
+        found = list(map(self.words.at.get, words))
+        odd = [i for i, k in enumerate(found) if k is None]
+        new = list(dict.fromkeys(map(words.__getitem__, odd)))
         for k in range(0, len(new), 100_000):
             self.learn(new[k : k + 100_000])
-        at = np.fromiter((self.at[w] for s in split for w in s), np.int64)
-        ends = np.cumsum([0, *map(len, split)])
-        return self._gather(self.ids, self.id_end, at, ends, pa.int32()), self._gather(self.bytes, self.byte_end, at, ends, pa.uint8())
+        for i in odd:
+            found[i] = self.words.at[words[i]]
+        ids, size = self.words.spell(np.array(found, np.int64))
+        return ids, sums(size, n)
 
-    @staticmethod
-    def _gather(pool: np.ndarray, end: np.ndarray, at: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
-        start, size = end[at], end[at + 1] - end[at]
-        to = np.r_[0, np.cumsum(size)]
-        flat = pool[np.repeat(start - to[:-1], size) + np.arange(to[-1])]
-        cuts = pa.array(to[ends], pa.int64())
-        if kind == pa.uint8():
-            return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, cuts.buffers()[1], pa.py_buffer(flat)]).cast(pa.binary())
-        return pa.LargeListArray.from_arrays(cuts, pa.array(flat, kind)).cast(pa.list_(kind))
+    def decode(self, ids: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """The bytes of each list of `n` ids."""
+        self.fill("encoded", d=pa.array(np.repeat(np.arange(len(n)), n)), i=pa.array(np.arange(len(ids))), t=pa.array(ids))
+        out = [b""] * len(n)
+        for d, h in zip(*(c.to_pylist() for c in self.db.sql(DECODE).to_arrow_table().columns), strict=True):
+            out[d] = bytes.fromhex(h)
+        return out
 
 
 _codecs: dict[tuple, Codec] = {}
@@ -121,19 +160,23 @@ def _encode(ranks, pattern: str, keep: int, names: list[str], extra_text: bool):
         key = (len(table_of), hash(next(iter(table_of), b"")), pattern)
         codec = _codecs.get(key) or _codecs.setdefault(key, Codec(table_of, pattern, keep))
         for ids, texts in blocks(batches):
-            tokens, decoded = codec.run(texts)
+            flat, n = codec.encode([(t or b"").decode("utf-8", "replace") for t in texts])
+            tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(flat))
+            decoded = pa.array(codec.decode(flat, n), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), tokens, decoded, *[pa.array(texts, pa.binary()).cast(pa.string())] * extra_text], names=names)
 
     return run
 
 
-def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, keep_words: int = 300_000, extra_text: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str = public_tokenizers.PATTERN, keep_words: int = 600_000, extra_text: bool = False) -> DataFrame:
     """(id_col, token_ids, decoded) for each row of `docs`: byte-level BPE of every match of `pattern` on its own, no
     special tokens, and the bytes that the ids decode to; with `extra_text` also the text.
 
     `path`: a rank file (base64 and rank a line), read on the driver and broadcast, about 1 MB; over 64 MB is refused.
     `keep_words` bounds the words that a Python worker remembers; beyond it they are encoded anew. A null or empty text
-    gives no ids and no bytes; every row gives one row. There is no shuffle."""
+    gives no ids and no bytes; very long texts and words are encoded whole, long words by several merges a step; of pairs
+    with the same rank the leftmost goes first; every row gives one row, repeated ones too; other columns are left alone,
+    whatever their names; an empty table gives an empty one. There is no shuffle."""
     ranks = load_ranks(path or public_tokenizers.path(VOCABULARY))
     if sum(map(len, ranks)) > 64 << 20:
         raise ValueError("the vocabulary is too large to broadcast")
