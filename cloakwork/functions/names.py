@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .shape import parts_of, stripped
+from .shape import listed, parts_of, stripped
 
 # Words that say a value is a credential.
 SECRET_TERMS = """
@@ -46,7 +46,7 @@ def segments(key: Column) -> Column:
 def singular(word: Column) -> Column:
     """Without a final S, if that leaves a secret word."""
     cut = F.regexp_replace(word, r"S\z", "")
-    return F.when((F.length(word) > 3) & word.endswith("S") & cut.isin([t for t in SECRET_TERMS if "_" not in t]), cut).otherwise(word)
+    return F.when((F.length(word) > 3) & word.endswith("S") & F.array_contains(listed([t for t in SECRET_TERMS if "_" not in t]), cut), cut).otherwise(word)
 
 
 def terms(key: Column) -> Column:
@@ -67,21 +67,32 @@ def agrees(kind: str, value: Column, random: Column, label_random: Column) -> Co
 
     `random` and `label_random`: whether the value and its `host_label` look random, computed once by the caller."""
     v = stripped(value)
-    word = (F.octet_length(v) <= 24) & ~v.rlike("[ \\t\\n\\r]") & ~random
-    base = host_label(value)
-    host = F.contains(v, F.lit("://")) | v.rlike(r"\A[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?(\.[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?)+(:[0-9]{1,5})?(/[^\n]*)?\z") | (base.rlike(r"\A[a-z0-9][a-z0-9-]{0,62}\z") & base.rlike("[a-z]{3}") & ~label_random)
+    name = r"[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?"
+
+    def word() -> Column:
+        return (F.octet_length(v) <= 24) & ~v.rlike("[ \\t\\n\\r]") & ~random
+
+    def host() -> Column:
+        base = host_label(value)
+        dotted = v.rlike(rf"\A{name}(\.{name})+(:[0-9]{{1,5}})?(/[^\n]*)?\z")
+        return F.contains(v, F.lit("://")) | dotted | (base.rlike(r"\A[a-z0-9][a-z0-9-]{0,62}\z") & base.rlike("[a-z]{3}") & ~label_random)
+
+    def path() -> Column:
+        parts = F.split(v, "/")
+        return ~F.contains(v, F.lit("://")) & (F.octet_length(v) <= 512) & (F.size(parts) >= 2) & ~F.exists(parts, lambda p: F.octet_length(p) > 64) & v.rlike("[a-z]{3}")
+
     by = {
-        "any": F.lit(True),
-        "number": v.rlike(r"\A-?[0-9]+(\.[0-9]+)?[\t\n\f\r ]*[A-Za-z%]{0,3}\z"),
-        "bool": F.lower(v).isin("true", "false", "yes", "no", "on", "off", "1", "0", "enabled", "disabled"),
-        "version": v.rlike(r"\A[vV]?[0-9]+(\.[0-9]+){0,3}([-+][0-9A-Za-z.-]+)?\z"),
-        "hash": v.rlike(r"\A[0-9a-fA-F]{7,64}\z"),
-        "path": ~F.contains(v, F.lit("://")) & (F.octet_length(v) <= 512) & (F.size(F.split(v, "/")) >= 2) & ~F.exists(F.split(v, "/"), lambda p: F.octet_length(p) > 64) & v.rlike("[a-z]{3}"),
+        "any": lambda: F.lit(True),
+        "number": lambda: v.rlike(r"\A-?[0-9]+(\.[0-9]+)?[\t\n\f\r ]*[A-Za-z%]{0,3}\z"),
+        "bool": lambda: F.lower(v).isin("true", "false", "yes", "no", "on", "off", "1", "0", "enabled", "disabled"),
+        "version": lambda: v.rlike(r"\A[vV]?[0-9]+(\.[0-9]+){0,3}([-+][0-9A-Za-z.-]+)?\z"),
+        "hash": lambda: v.rlike(r"\A[0-9a-fA-F]{7,64}\z"),
+        "path": path,
         "url": host,
         "word": word,
-        "label": word | host,
+        "label": lambda: word() | host(),
     }
-    return (v == "") | by[kind]
+    return (v == "") | by[kind]()
 
 
 KINDS = sorted({*CONFIG_TERMS, *WEAK_TERMS})
@@ -91,21 +102,21 @@ def verdict(key: Column, found: Column, fits: Column) -> Column:
     """secret, config-kind or silent: the rightmost term that decides; then any secret word; then a long secret word within the name.
 
     `found`: the name's `terms`; `fits`: the kinds that the value agrees with."""
-    has_secret = F.arrays_overlap(found, F.array(*map(F.lit, SECRET_TERMS)))
+    has_secret = F.arrays_overlap(found, listed(SECRET_TERMS))
     config = [(k, ws.split(), False) for k, ws in CONFIG_TERMS.items()] + [(k, ws.split(), True) for k, ws in WEAK_TERMS.items()]
-    strong = F.create_map(*(F.lit(x) for k, ws, weak in config if not weak for w in ws for x in (w, k)))
-    weak = F.create_map(*(F.lit(x) for k, ws, weak in config if weak for w in ws for x in (w, k)))
+    kinds = lambda weak: F.expr("map(" + ", ".join(f"'{w}', '{k}'" for k, ws, is_weak in config if is_weak == weak for w in ws) + ")")
+    strong, weak = kinds(False), kinds(True)
 
     def decides(t: Column) -> Column:
         config = lambda kind: F.concat(F.lit("config-"), kind)
-        return F.when(t.isin(SECRET_TERMS), "secret").when(F.array_contains(fits, strong[t]), config(strong[t])).when(F.array_contains(fits, weak[t]) & ~has_secret, config(weak[t]))
+        return F.when(F.array_contains(listed(SECRET_TERMS), t), "secret").when(F.array_contains(fits, strong[t]), config(strong[t])).when(F.array_contains(fits, weak[t]) & ~has_secret, config(weak[t]))
 
     first = F.get(F.filter(F.transform(found, decides), lambda x: x.isNotNull()), 0)
-    known = F.array(*(F.lit(w) for _, ws, _ in config for w in ws))
+    known = listed([w for _, ws, _ in config for w in ws])
     long_terms = "|".join(t for t in SECRET_TERMS if len(t) >= 4 and "_" not in t)
     return F.coalesce(first, F.when(has_secret, "secret"), F.when(F.arrays_overlap(found, known), "silent"), F.when(F.upper(key).rlike(long_terms), "secret"), F.lit("silent"))
 
 
 def public_opens(key: Column, found: Column) -> Column:
     """A bundle prefix opens the value, unless the name holds a word that only credentials have."""
-    return key.rlike(PUBLIC_PREFIX) & ~F.arrays_overlap(found, F.array(*map(F.lit, NEVER_PUBLIC)))
+    return key.rlike(PUBLIC_PREFIX) & ~F.arrays_overlap(found, listed(NEVER_PUBLIC))

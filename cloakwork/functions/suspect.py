@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .shape import alphabet, is_identifier, is_path, parts_of, stripped
+from .shape import alphabet, is_identifier, is_path, listed, parts_of, stripped
 
 # How vendors' credentials begin.
 VENDOR_STARTS = "sk- sk_live_ sk_test_ rk_live_ rk_test_ pk_live_ npm_ xox ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- glptt- AKIA ASIA AIza SG. SK shp sq0 key- eyJ -----BEGIN".split()
@@ -18,5 +18,5 @@ def suspect_reason(value: Column) -> Column:
     pieces = parts_of(v)
     words = is_path(v) | is_identifier(v) | ((F.size(pieces) >= 2) & F.forall(pieces, lambda p: p.rlike(r"\A[a-z]{3,}\z")))
     token = (n >= 12) & ~v.rlike("[ \\t]") & ~F.contains(v, F.lit("://")) & alphabet(v).isNotNull() & ~words
-    begins = F.exists(F.array(*map(F.lit, VENDOR_STARTS)), lambda s: F.startswith(v, s))
+    begins = F.exists(listed(VENDOR_STARTS), lambda s: F.startswith(v, s))
     return F.when(begins, "vendor-start").when(token & (n >= 16), "long").when(token & v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]"), "mixed-case-digits")

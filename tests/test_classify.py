@@ -43,3 +43,45 @@ def test_vault(spark):
     assert sorted(r[1:] for r in map(tuple, V.upsert(old, new).collect())) == [("a", "1"), ("b", "3"), ("c", "4")]
     texts = spark.createDataFrame([("r", ".env", 1, "x=sv://a y=sv://zz."), ("r", ".env", 2, "plain")], "repo string, path string, record_no int, text string")
     assert [r.text for r in V.resolve(texts, old).orderBy("record_no").collect()] == ["x=1 y=sv://zz.", "plain"]
+
+
+HEX = hashlib.sha256(b"y").hexdigest()
+MIXED = "Zq7" + "kP2vR9" + "xW4mB"  # 14 characters
+CASES = [
+    # key, value, class, rule, review
+    ("API_KEY", " \t\n\u00a0", "open", "empty", False),
+    ("API_KEY", "\t${OTHER}\n", "open", "variable-reference", False),
+    ("API_KEY", "sv://api_key", "open", "already-veiled", False),
+    ("DATABASE_URL", "postgres://u:${PW}@h/d", "open", "variable-reference", False),
+    ("HOOK", "Bearer sv://hook_token", "open", "already-veiled", False),
+    ("CONN", f"Password=https://x.io/?token={HEX[:12]}", "partial", "connection-string-password", False),
+    ("CONN", f"Server=d; pwd ={HEX[:9]};Port=1", "partial", "connection-string-password", False),
+    ("GATE", f"https://u:{HEX[:9]}@h/x?token={HEX[:6]}&key={HEX[6:12]}", "partial", "url-password+url-query-credential", False),
+    ("GATE", f"https://h/x?q=1&sig={HEX[:6]}", "partial", "url-query-credential", False),
+    ("DB_PASSWORD", "x", "veiled", "name-secret", False),
+    ("DB_PASSWORD_FILE", "/run/secrets/db", "open", "name-not-secret", False),
+    ("DB_PASSWORD_FILE", "hunter2", "veiled", "name-secret", False),
+    ("TOKEN_TTL", "3600", "open", "name-not-secret", False),
+    ("TOKEN_TTL", HEX, "veiled", "name-secret", False),
+    ("GIT_COMMIT_SHA", HEX[:40], "open", "name-not-secret", False),
+    ("VITE_APP_LABEL", HEX, "open", "public-prefix", True),
+    ("VITE_CLIENT_SECRET", HEX, "veiled", "name-secret", False),
+    ("BOT", "main:" + HEX, "partial", "labelled-token", False),
+    ("OTHER", HEX, "veiled", "entropy", False),
+    ("MEMO", MIXED, "open", "unrecognised", True),
+    ("USER_ID", MIXED, "open", "name-not-secret", True),
+    ("MEMO", "one-two-three", "open", "default-open", False),
+    ("MEMO", "hello big world", "open", "default-open", False),
+]
+
+
+def test_ladder(spark):
+    rows = spark.createDataFrame([(i, k, v) for i, (k, v, *_) in enumerate(CASES)], "i int, key string, value string")
+    got = {r.i: (r["class"], r.rule, r.review) for r in C.classify(rows).collect()}
+    assert {i: got[i] for i in got} == {i: tuple(c[2:]) for i, c in enumerate(CASES)}
+
+
+def test_spans(spark):
+    value = f"https://u:sv://x@h?token={HEX[:6]}&key=$OTHER&sig={HEX[6:12]}"
+    row = C.decide(spark.createDataFrame([("K", value)], "key string, value string")).first()
+    assert [(value[s.start : s.stop], s.suffix) for s in row.spans] == [(HEX[:6], "_param"), (HEX[6:12], "_param3")]
