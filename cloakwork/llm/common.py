@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +39,24 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+HOT_ROWS, HOT_SHARE = 512, 256  # a key is hot beyond this many rows and this part of all rows, so fewer than HOT_SHARE keys are
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, on: list[str], spread: str, total: int) -> DataFrame:
+    """Inner join of `rows` with `facts`, which has one row for each key `on` and, as `n`, how many rows the key has.
+
+    Keys that hold more than HOT_ROWS rows and more than 1/HOT_SHARE of all `total` rows can't be many, so their facts are
+    broadcast, whatever the data; their rows then pass the shuffle dealt by the column `spread`, so that no task gets a whole
+    hot key. The facts of all other keys meet their rows in a plain join. `n` itself is dropped."""
+    limit = max(HOT_ROWS, total // HOT_SHARE)
+    fact = F.struct(*(c for c in facts.columns if c not in (*on, "n")), F.lit(True).alias("_there"))
+    hot = facts.where(F.col("n") > limit).select(*on, fact.alias("_hot"))
+    cold = facts.where(F.col("n") <= limit).select(*on, fact.alias("_cold"), F.greatest(F.col("n") - limit, F.lit(0)).cast("long").alias("_deal"))  # always 0, but a literal would be no key of the join
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn("_deal", F.when(F.col("_hot").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64(spread)))
+    met = dealt.join(cold, [*on, "_deal"], "left").withColumn("_fact", F.coalesce("_hot", "_cold")).where("_fact is not null")
+    return met.select(*rows.columns, *(f"_fact.{c}" for c in facts.columns if c not in (*on, "n")))
+
+
 def blocks(batches: Iterable[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[tuple[list, list]]:
     """(keys, texts as UTF-8 bytes or None) of the first two columns, cut after about `limit` bytes; further columns join the key in a tuple."""
     keys: list = []

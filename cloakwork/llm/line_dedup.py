@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, staged, table
+from .common import blocks, join_facts, staged, table
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -64,13 +64,16 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the same lines; an empty table gives an empty table.
 
     Counting needs sums alone, so a line that a third of all documents share is added up before the shuffle. Only
-    (hash, id) of lines that reach the count meet again, in joins that Spark can split on a hot hash."""
+    (hash, id) of lines that reach the count meet their counts again; those of a hot hash meet a broadcast row and are
+    dealt out by id."""
     docs = docs.drop("n_lines", "n_dropped")
     keys = docs.select(F.col(id_col).cast("long"), text_col).where(F.col(id_col).isNotNull()).mapInArrow(_explode(min_chars), "line_hash binary, line_doc long")
-    common = keys.groupBy("line_hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("line_hash")
-    held = staged(keys.join(common, "line_hash", "left_semi"))
-    last = held.groupBy("line_hash").agg(F.countDistinct("line_doc").alias("n"), F.max("line_doc").alias("last_doc")).where(F.col("n") >= min_docs)
-    drops = held.join(last, "line_hash").where(F.col("line_doc") < F.col("last_doc")).groupBy("line_doc").agg(F.collect_set("line_hash").alias("line_drop"))
+    often = staged(keys.groupBy("line_hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs))
+    total = often.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    held = staged(join_facts(keys, often, ["line_hash"], "line_doc", total).select("line_hash", "line_doc"))
+    last = held.distinct().groupBy("line_hash").agg(F.count("*").alias("n"), F.max("line_doc").alias("last_doc")).where(F.col("n") >= min_docs)
+    drops = join_facts(held, last, ["line_hash"], "line_doc", total).where(F.col("line_doc") < F.col("last_doc"))
+    drops = drops.groupBy("line_doc").agg(F.collect_set("line_hash").alias("line_drop"))
     joined = docs.join(drops, docs[id_col].cast("long") == drops["line_doc"], "left").drop(drops["line_doc"])
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(_reassemble(docs.columns.index(text_col), len(docs.columns), min_chars, schema.names), schema)
