@@ -1,5 +1,8 @@
 """Substring dedup by recompression: rounds name runs and pairs of tokens, so that equal substrings get equal inner symbols;
-symbols that several texts share reveal long repeats, which are then verified word by word.
+symbols that several texts share reveal long repeats, which are then verified by 128-bit hashes of all their words.
+
+Names are hashes of what they stand for, so that a task names a text's runs and pairs as every other task does: the rounds
+need no shuffle and no table of names, and only symbols that may be shared ever meet.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, mix, staged, table
+from .common import blocks, join_facts, mix, staged, table
 
 ROUNDS = 4
 U = np.uint64
@@ -198,17 +201,19 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, width: int) ->
     for each chunk are compared one by one. All counts are minima and maxima, added up before they are shuffled."""
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     chunks = staged(texts.mapInArrow(_find(width), "symbol long, chunk long, id long, at int, n int"))
-    often = chunks.groupBy("symbol").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("symbol")
-    shared = staged(chunks.join(often, "symbol", "left_semi"))
-    heads = shared.groupBy("symbol", "chunk").agg(F.min("id").alias("head"), F.max("id").alias("last"))
-    mixed = heads.groupBy("symbol").agg(F.min("head").alias("a"), F.max("head").alias("b")).where("a < b").select("symbol")
-    edges = heads.join(mixed, "symbol", "left_semi").select("symbol", "chunk", "head")
-    wanted = shared.join(edges, ["symbol", "chunk"]).where("id = head").groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("chunks"))
+    total = chunks.count()
+    span = [F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")]
+    often = staged(chunks.groupBy("symbol").agg(*span).where("a < b").select("symbol", "n"))
+    shared = staged(join_facts(chunks, often, ["symbol"], "id", total))
+    heads = shared.groupBy("symbol", "chunk").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.count("*").alias("n"))
+    mixed = heads.groupBy("symbol").agg(F.min("head").alias("a"), F.max("head").alias("b"), F.count("*").alias("n")).where("a < b").select("symbol", "n")
+    edges = join_facts(heads.withColumnRenamed("n", "rows"), mixed, ["symbol"], "chunk", total).select("symbol", "chunk", "head", F.col("rows").alias("n"))
+    wanted = join_facts(shared, edges, ["symbol", "chunk"], "id", total).where("id = head").groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("chunks"))
     packed = texts.mapInArrow(_pack, "id long, packed binary")
     windows = staged(packed.join(wanted.hint("shuffle_hash"), "id").select("id", "packed", "chunks").mapInArrow(_windows(width), "h1 long, h2 long, id long, at int"))
-    least = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("most > least")
-    part = windows.join(least, ["h1", "h2"]).where("id > least").select("id", "at", F.lit(1).alias("n"))
-    whole = shared.join(heads.where("last > head"), ["symbol", "chunk"]).where("id > head").select("id", "at", "n")
+    least = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("*").alias("n")).where("most > least").drop("most")
+    part = join_facts(windows, least, ["h1", "h2"], "id", windows.count()).where("id > least").select("id", "at", F.lit(1).alias("n"))
+    whole = join_facts(shared, heads.where("last > head").drop("last"), ["symbol", "chunk"], "id", total).where("id > head").select("id", "at", "n")
     return whole.unionByName(part).groupBy("id").agg(F.collect_set(F.struct("at", "n")).alias("spans"))
 
 
@@ -237,7 +242,8 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
     that also starts in a text with a smaller id; windows are those of the input, not of what is left.
 
     A null, empty or wordless text keeps nothing; texts under `width` words stay whole; rows with a null id are left
-    alone; repeated rows of one id are judged as one document if their texts are equal (with different texts, a span
+    alone; very long texts are taken whole, in a task's memory; equal passages within one document stay, unless a smaller id has
+    them; columns other than these two are left out, whatever their names; repeated rows of one id are judged as one document if their texts are equal (with different texts, a span
     found in one is looked for in all); an empty table gives an empty one."""
     spans = repeated_windows(docs, id_col, text_col, width).withColumnRenamed("id", "span_id")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(_pack, "id long, packed binary")
@@ -250,3 +256,14 @@ def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words that repeat across the whole documents table, removed; texts as digests."""
     kept = drop_repeated_passages(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as s from documents),
+windows as (select doc_id, i, md5(array_to_string(s[i:i + 49], ' ')) as h from (select doc_id, s, unnest(range(1, len(s) - 48)) as i from w)),
+firsts as (select h, min(doc_id) as first_doc from windows group by h),
+gone as (select distinct doc_id, unnest(range(i, i + 50)) as k from windows join firsts using (h) where doc_id > first_doc),
+one as (select doc_id, unnest(s) as x, generate_subscripts(s, 1) as k from w),
+kept as (select o.doc_id, count(g.k) as n_removed, string_agg(x, ' ' order by o.k) filter (where g.k is null) as kept from one o left join gone g on g.doc_id = o.doc_id and g.k = o.k group by o.doc_id)
+select w.doc_id, len(s)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join kept using (doc_id)
+"""

@@ -14,4 +14,4 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_lm_score": lm.op10_lm_score,
 }
-ORACLES = {"op2_chat_format": chat.OP2_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
+ORACLES = {"op2_chat_format": chat.OP2_SQL, "op5_recompression": recompression.OP5_SQL, "op9_line_dedup": line_dedup.OP9_SQL}
