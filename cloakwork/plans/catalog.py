@@ -84,7 +84,7 @@ def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def duplicate_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = _claims(spark, sf_dir).select((F.col("repo").cast("int") % 3).cast("string").alias("repo"), "ref", F.concat_ws(":", "path", "key").alias("owner"), "value")
+    claims = _claims(spark, sf_dir).select((F.col("repo").cast("int") % 3).cast("string").alias("repo"), "ref", F.concat("repo", F.lit("/"), "path", F.lit(":"), "key").alias("owner"), "value")
     return V.duplicate_refs(claims)
 
 
@@ -443,7 +443,7 @@ from e left join h on e.id = h.id""",
 from (select *, regexp_extract(text, 'a=sv://([a-z0-9_]+)', 1) as r1, regexp_extract(text, 'b=sv://([a-z0-9_]+)', 1) as r2, regexp_extract(text, ' tail$') as tail from ({TEXTS})) t
 left join ({CHAIN}) x on x.repo = t.repo and x.ref = r1 left join ({CHAIN}) y on y.repo = t.repo and y.ref = r2""",
     "last_assignments": f"select repo, path, key, max(record_no) as record_no from ({D.ENTRIES_SQL}) group by repo, path, key",
-    "duplicate_refs": f"select repo, ref, string_agg(distinct path || ':' || key, ',' order by path || ':' || key) as owners, count(distinct value) as n_values from (select * replace ((repo::int % 3)::varchar as repo) from ({CLAIMS})) group by repo, ref having count(distinct path || ':' || key) > 1",
+    "duplicate_refs": f"select repo, ref, string_agg(distinct owner, ',' order by owner) as owners, count(distinct value) as n_values from (select (repo::int % 3)::varchar as repo, ref, value, repo || '/' || path || ':' || key as owner from ({CLAIMS})) group by repo, ref having count(distinct owner) > 1",
     "detect_caller": CALLERS,
     "check_policy": "select event_id, case event_id % 9 " + " ".join(f"when {i} then '{c[1]}'" for i, c in enumerate(D.COMMANDS)) + " end as program, case event_id % 9 " + " ".join(f"when {i} then '{c[2]}'" for i, c in enumerate(D.COMMANDS) if c[2]) + " end as refusal from events",
     "redact_logs": f"select repo, id, concat('café sv://', ref, case when form = 1 then right(to_base64(encode(value)), 4) else '' end, '; twice sv://', ref, ' end') as text, 2::bigint as n_hits from ({LOGS})",
