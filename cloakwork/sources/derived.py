@@ -142,7 +142,7 @@ def env_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Labelled rows by branch: key, value, want, sensitive part ('' for none), note; SQL that Spark and DuckDB share.
 LABELS = [
     ("'API_TOKEN'", "{h}", "secret", "{h}", "named"),
-    ("'OTHER'", "concat(substr({h}, 1, 8), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ghijklmnop')", "secret", "'ABCDEFGHIJ'", "bland random"),
+    ("'OTHER'", "concat('a1', substr({h}, 1, 6), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ghijklmnop')", "secret", "'ABCDEFGHIJ'", "bland random"),
     ("'DATABASE_URL'", "concat('postgres://app:', substr({h}, 1, 16), '@db.internal:5432/app')", "secret", "substr({h}, 1, 16)", "composite"),
     ("'LOG_LEVEL'", "'debug'", "open", "''", "word"),
     ("'GIT_SHA'", "{h}", "open", "''", "hash"),
