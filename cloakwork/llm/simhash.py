@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, mix, staged, sums, table
+from .common import blocks, join_facts, mix, staged, sums, table
 
 SMALL = 32  # groups up to this size are compared by shifting the sorted rows
 
@@ -209,33 +209,43 @@ def near_links(prints: DataFrame, radius: int = 4, n_blocks: int | None = 6, n_p
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable from each id that has a link.
 
-    Alternates large-star and small-star steps until no link changes; every step is a minimum per id and a join, both of
-    which hold out against an id with very many links. Each step is checkpointed in the shared folder."""
+    Alternates large-star and small-star steps until no link changes; every step is a minimum per id, added up before the
+    shuffle, and a join in which the links of a hub meet a broadcast row. Each step is written to the shared folder."""
     edges = staged(links.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
-    before = None
+    before, n_edges = None, edges.count()
     while True:
         both = edges.union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
-        large = both.join(least, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
-        down = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(down, "src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).union(down.select("src", F.col("m").alias("dst"))).where("src <> dst").distinct()
+        least = both.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n")).select("src", F.least("src", "m").alias("m"), "n")
+        large = join_facts(both, least, ["src"], "dst", 2 * n_edges).where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).distinct()
+        down = large.groupBy("src").agg(F.min("dst").alias("m"), F.count("*").alias("n"))
+        small = join_facts(large, down, ["src"], "dst", n_edges).select(F.col("dst").alias("src"), F.col("m").alias("dst"))
+        small = small.union(down.select("src", F.col("m").alias("dst"))).where("src <> dst").distinct()
         edges = staged(small)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        n_edges = now[0]
         if now == before:
             return edges.select(F.col("src").alias("id"), F.col("dst").alias("component"))
         before = now
 
 
+def blocks_for(rows: int, radius: int) -> int:
+    """How many blocks to cut a 64-bit fingerprint into: the fewest whose keys are some bits longer than the row count, so that
+    unlike rows seldom meet at any size."""
+    need = rows.bit_length() + 2
+    return next((b for b in range(radius + 1, 3 * radius + 3) if 64 * (b - radius) // b >= need), 3 * radius + 2)
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, seed: int = 42, n_words: int = 1) -> DataFrame:
     """(id, fp, component) for every row of `docs`: the smallest id of all documents that links of at most `radius`
     differing bits lead to, its own included.
 
-    Texts with one fingerprint are first gathered under their smallest id, so that exact copies cost one row. Rows with
+    A pair is linked wherever it meets, so ties need no rule; very long texts are hashed in pieces; other columns are left out,
+    whatever their names. Texts with one fingerprint are first gathered under their smallest id, so that exact copies cost one row. Rows with
     a null id get a null component; repeated rows of an id give repeated rows, and the texts of one id are tied
     together where it is the smallest of a fingerprint; an empty table gives an empty one."""
     prints = staged(fingerprints(docs, id_col, text_col, width, seed, n_words))
     heads = staged(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("head")))
-    found = components(near_links(heads.select(F.col("head").alias("id"), "fp"), radius, radius + 2 if n_words == 1 else None))
+    found = components(near_links(heads.select(F.col("head").alias("id"), "fp"), radius, blocks_for(heads.count(), radius) if n_words == 1 else None))
     labels = heads.join(found.withColumnRenamed("id", "head"), "head", "left").select("fp", F.coalesce("component", "head").alias("component"))
     return prints.join(labels, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
@@ -243,32 +253,48 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 N_BANDS, BAND = 40, 8  # min-hashes of a band: two sets of similarity 0.8 share one with probability 1 - (1 - 0.8**8)**40 > 0.999
 
 
-def _sets(width: int, seed: int):
+def _shingles(text: bytes | None, width: int, seed: int) -> np.ndarray:
+    """The distinct hashes of the text's shingles, sorted; fewer words than `width` make one, none make none."""
+    words = (text or b"").lower().split()
+    grams = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)) if len(words) > width else [b" ".join(words)] if words else []
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64))
+
+
+def _name(shingles: np.ndarray, seed: int) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), seed=seed)).view(np.int64))
+
+
+def _banded(width: int, seed: int):
+    """(id, fp, keys): the name of each text's shingle set, and the keys of its bands of min-hashes."""
     scramble = np.random.default_rng(seed).integers(0, 1 << 32, (2, N_BANDS * BAND), np.uint32) | np.array([[0], [1]], np.uint32)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in blocks(batches):
-            parts, kept = [], []
-            for i, text in zip(ids, texts, strict=True):
-                words = (text or b"").lower().split()
-                if words:
-                    grams = map(b" ".join, zip(*(words[k:] for k in range(width)), strict=False)) if len(words) > width else [b" ".join(words)]
-                    parts.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(seed)), np.uint64)))
-                    kept.append(i)
-            if not parts:
+            sets = [(i, x) for i, x in zip(ids, (_shingles(t, width, seed) for t in texts), strict=True) if len(x)]
+            if not sets:
                 continue
-            flat = np.concatenate(parts)
+            kept, parts = zip(*sets, strict=True)
             ends = np.cumsum([len(p) for p in parts])
-            starts, low = np.r_[0, ends[:-1]], flat.astype(np.uint32)
+            starts, low = np.r_[0, ends[:-1]], np.concatenate(parts).astype(np.uint32)
             keys = np.empty((len(parts), N_BANDS), np.uint64)
             for band in range(N_BANDS):
                 key = np.full(len(parts), band, np.uint64)
                 for k in range(band * BAND, band * BAND + BAND):
                     key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((low ^ scramble[0, k]) * scramble[1, k], starts).astype(np.uint64) + np.uint64(1))
                 keys[:, band] = key
-            names = np.array([xxhash.xxh64_intdigest(p.tobytes(), seed=seed) for p in parts], np.uint64)
-            lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, e].astype(np.int32)), pa.array(v.view(np.int64))) for e, v in ((np.arange(1, len(parts) + 1) * N_BANDS, keys.ravel()), (ends, flat))]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array(names.view(np.int64)), *lists], names=["id", "fp", "keys", "shingles"])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1, dtype=np.int32) * N_BANDS), pa.array(keys.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array([_name(p, seed) for p in parts], pa.int64()), lists], names=["id", "fp", "keys"])
+
+    return run
+
+
+def _named_sets(width: int, seed: int):
+    """(fp, shingles) of the texts whose shingle set has the name that is asked for; rows of one id may have several texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for wanted, texts in blocks(batches):
+            sets = [(w, x) for w, x in zip(wanted, (_shingles(t, width, seed) for t in texts), strict=True) if _name(x, seed) == w]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in sets], pa.int64()), pa.array([x.view(np.int64) for _, x in sets], pa.list_(pa.int64()))], names=["fp", "shingles"])
 
     return run
 
@@ -290,10 +316,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sets are one row. In the first rounds each band group compares its members with one of them, another in each group
     and round; then all pairs of a group that no link has joined yet are compared. So a dense group costs about its
     size, and no pair that met is left out. Groups meet in joins and partial sums alone, never whole in one task."""
-    rows = staged(docs.select(F.col(id_col).cast("long"), text_col).where(F.col(id_col).isNotNull()).mapInArrow(_sets(width, seed), "id long, fp long, keys array<long>, shingles array<long>"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    rows = staged(texts.mapInArrow(_banded(width, seed), "id long, fp long, keys array<long>"))
     bands = rows.select("fp", F.explode("keys").alias("key")).distinct()
     members = staged(bands.join(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"))
-    sets = staged(rows.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.first("shingles").alias("shingles")))
+    # only texts that met another are hashed again: the sets of all would be larger than the texts
+    heads = rows.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
+    sets = staged(heads.join(texts, "id").select("fp", "text").mapInArrow(_named_sets(width, seed), "fp long, shingles array<long>"))
     tested = links = found = None
     for turn in range(stars + 1):
         if found is None:
