@@ -458,7 +458,7 @@ left join ({CHAIN}) x on x.repo = t.repo and x.ref = r1 left join ({CHAIN}) y on
     "guard_texts": f"select id::varchar as path, want as rule from ({D.ENTRIES_SQL}) where want like 'value-%' and id % 40 <> 6 union all select 'k' || id, 'value-private-key' from ({D.ENTRIES_SQL}) where want = 'labelled-token'",
     "decision_histogram": f"select class, want as rule, count(*) as n from ({CLASSED}) group by class, want union all select class, null, count(*) from ({CLASSED}) group by class",
     "redact_commands": "select event_id, concat(case event_id % 9 " + " ".join(f"when {i} then '{'|'.join(c[0])}'" for i, c in enumerate(D.COMMANDS)) + " end, '|--api-key|[hidden]|--token=[hidden]|Authorization: Bearer [hidden]') as command from events",
-    "dotenv_records": f"select repo, path, 2 * row_number() over (partition by repo, path order by id) as line_no, key, value from ({D.ENTRIES_SQL})",
+    "dotenv_records": f"select repo, path, 2 * row_number() over (partition by repo, path order by id) as line_no, key, value from ({D.ENTRIES_SQL}) where id % {D.N_BRANCHES} not in (20, 21)",
     "veil_entries": f"""select id, class, case id % {D.N_BRANCHES} when 2 then 'postgres://app:sv://database_url_password@db.internal:5432/app' when 3 then 'Server=db;Password=sv://conn_password;Port=1'
   when 4 then 'Bearer sv://header_line_token' when 5 then 'https://app:sv://gateway_password@gw.io/x?token=sv://gateway_param' when 6 then concat('AK', 'IAsv://cloud') when 15 then 'main:sv://bot' when 22 then 'Password=sv://app_conn_password' when 26 then 'https://app:sv://gateway_password@gw.io/x?token=sv://gateway_param&key=sv://gateway_param2'
   else case when class = 'open' then value else concat('sv://', lower(key)) end end as projected, (case when class = 'open' then 0 when id % {D.N_BRANCHES} in (5, 26) then 2 else 1 end)::bigint as n_secrets from ({CLASSED})""",
