@@ -33,16 +33,32 @@ with recursive step(w, p, t, fin) as (
   from ranked s join best b on s.w = b.w where b.k is null or s.before is null or s.before <> (b.k & 4294967295)))
 select w, t from step where fin order by w, p
 """
-#: The same for long words, several merges of a word at once, STEPS times. A pair of less rank than all within `reach` bytes,
-#: twice the longest token, is merged before anything that could touch it: what grows from further away does not get there.
+#: The same for long words, several merges of a word at once, STEPS times. A pair whose rank nothing undercuts within `reach`
+#: bytes, twice the longest token, is merged before anything that could touch it: what grows from further away does not get
+#: there. Of pairs of that rank the leftmost goes first. Pairs that overlap form a run, of which every second one merges,
+#: counted from its start. A pair is put off if one of its rank before it, within reach, may still set off a merge that comes
+#: first: one that is put off itself, or whose token makes a pair of less rank with what stands beside it.
 STEPS = 8
 ENCODE_LONG = """
 with recursive step(w, p, t, n, d) as (
   select w, p, t, lead(t) over (partition by w order by p), 0 from pieces
   union all
-  (with ranked as (select s.w, s.p, s.t, s.d, m.merged, (m.merged::bigint << 32) + s.p as k from step s left join merges m on s.t = m.l and s.n = m.r where s.d < {steps}),
-    chosen as (select *, coalesce(k = min(k) over (partition by w order by p range between {reach} preceding and {reach} following), false) as hit from ranked),
-    cut as (select w, p, d, case when hit then merged else t end as t, lag(hit, 1, false) over (partition by w order by p) as gone from chosen)
+  (with ranked as (select s.w, s.p, s.t, s.d, m.merged as r from step s left join merges m on s.t = m.l and s.n = m.r where s.d < {steps}),
+    lows as (
+      select *, coalesce(r = min(r) over (partition by w order by p range between {reach} preceding and {reach} following), false) as low,
+        lag(r) over x is distinct from r as starts, row_number() over x as i, lead(t, 2) over x as after, lag(t) over x as before
+      from ranked window x as (partition by w order by p)),
+    runs as (
+      select *, max(case when starts then i end) over x as first_i, max(case when starts then 2 * i + low::int end) over x % 2 = 1 as first_low
+      from lows window x as (partition by w order by p rows unbounded preceding)),
+    able as (select *, low and first_low and (i - first_i) % 2 = 0 as hit from runs),
+    beside as (select *, case when coalesce(lag(hit, 2) over x, false) then lag(r, 2) over x else before end as left_t from able window x as (partition by w order by p)),
+    checked as (
+      select b.*, b.r is not null and case when low and first_low then hit and (coalesce(ml.merged < b.r, false) or coalesce(mr.merged < b.r, false)) else true end as open
+      from beside b left join merges ml on b.hit and ml.l = b.left_t and ml.r = b.r left join merges mr on b.hit and mr.l = b.r and mr.r = b.after),
+    chosen as (
+      select w, p, t, d, r, hit and coalesce(min(case when open then r end) over (partition by w order by p range between {reach} preceding and 1 preceding) > r, true) as hit from checked),
+    cut as (select w, p, d, case when hit then r else t end as t, lag(hit, 1, false) over (partition by w order by p) as gone from chosen)
   select w, p, t, lead(t) over (partition by w order by p), d + 1 from cut where not gone))
 select w, p, t from step where d = {steps} order by w, p
 """

@@ -94,6 +94,19 @@ def test_bpe_long_words_and_own_ids():
     assert codec.decode(wrong, n)[0] != texts[0].encode()
 
 
+def test_bpe_runs_of_equal_pairs():
+    ranks = bpe.load_ranks(public_tokenizers.path(bpe.VOCABULARY))
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN, 1000)
+    plain = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(4)
+    texts = ["=" * 100_000, "a" * 100_000, "ab" * 5000, "日" * 3000]
+    for letters in ("a", "ab", "aab", "xay", "=-", "aA", "0", "no", "haa", "日本"):
+        for n in (70, 200, 900):
+            texts += ["".join(rng.choice(letters) for _ in range(n)), "".join(rng.choice(letters) * rng.randrange(1, 40) for _ in range(n // 10))]
+    ids, n = codec.encode(texts)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [plain.encode_ordinary(t) for t in texts]
+
+
 def test_hot_keys_meet_all_their_facts(spark):
     rows = spark.range(20_000).selectExpr("if(id < 9000, 'hot', concat('k', id % 700)) as k", "id")
     facts = rows.where("k <> 'k5'").groupBy("k").agg(F.max("id").alias("last"), F.count("*").alias("n"))
