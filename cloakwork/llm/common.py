@@ -39,6 +39,14 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken: Iterable[str]) -> str:
+    """`name`, with underscores behind it as long as a column of the input, in any case, has that name."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 HOT_ROWS, HOT_SHARE = 512, 256  # a key is hot beyond this many rows and this part of all rows, so fewer than HOT_SHARE keys are
 
 

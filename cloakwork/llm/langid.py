@@ -100,7 +100,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(id_col, lang_pred, lang_score) for each row: the language of greatest likelihood (ties: the first in sorted order)
     and its share of the likelihoods, per n-gram and raised to `sharpness`, from 0 to 1.
 
-    `und` and 0 for a null text, a text without a letter, and every text if no language was learned. The matrix is
+    `und` and 0 for a null text, a text without a letter, and every text if no language was learned. Very long texts are
+    scored whole; every row gives one row, repeated ones and those with a null id too; other columns are left out, whatever
+    their names; an empty table gives an empty one. The matrix is
     broadcast; its size is bounded by MAX_LANGUAGES and the buckets. There is no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, join_facts, staged, table
+from .common import blocks, fresh, join_facts, staged, table
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -60,7 +60,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     A key is the line without white space at its ends and with A-Z in lower case; keys under `min_chars` code points
     always stay. Result: the columns of `docs` with the shortened text, then n_lines and n_dropped (input columns of
     these two names are replaced). A null text counts one empty line and stays null; an empty text is one empty line;
-    rows with a null id count for nothing and keep their lines; repeated rows of an id count as one document and lose
+    very long texts and lines are taken whole;
+    rows with a null id count for nothing and keep their lines; other columns stay, whatever their names; repeated rows of an id count as one document and lose
     the same lines; an empty table gives an empty table.
 
     Counting needs sums alone, so a line that a third of all documents share is added up before the shuffle. Only
@@ -73,8 +74,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = staged(join_facts(keys, often, ["line_hash"], "line_doc", total).select("line_hash", "line_doc"))
     last = held.distinct().groupBy("line_hash").agg(F.count("*").alias("n"), F.max("line_doc").alias("last_doc")).where(F.col("n") >= min_docs)
     drops = join_facts(held, last, ["line_hash"], "line_doc", total).where(F.col("line_doc") < F.col("last_doc"))
+    # columns of the input may have any name, so they travel in one struct beside the id
     drops = drops.groupBy("line_doc").agg(F.collect_set("line_hash").alias("line_drop"))
-    joined = docs.join(drops, docs[id_col].cast("long") == drops["line_doc"], "left").drop(drops["line_doc"])
+    whole = docs.select(F.col(id_col).cast("long").alias("line_doc"), F.struct(*docs.columns).alias("row"))
+    joined = whole.join(drops, "line_doc", "left").select("row.*", F.col("line_drop").alias(fresh("line_drop", docs.columns)))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(_reassemble(docs.columns.index(text_col), len(docs.columns), min_chars, schema.names), schema)
 

@@ -133,8 +133,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     A language's reference is the sum of the histograms of all texts with that label (all texts where none has one). A text
     is compared with its nearest reference; its own label plays no part. Histograms of fewer than `min_chars` characters
-    or `min_words` words count as distance 0. A null or empty text has no word and fails the base rules; every row
-    gives one row; an empty table gives an empty one. The text is read once: its histogram, some 130 numbers, is staged."""
+    or `min_words` words count as distance 0. A null or empty text has no word and fails the base rules; very
+    long texts are measured whole; of references at the same distance the first by name counts; every row gives one row,
+    repeated ones and those with a null id too; other columns are left out, whatever their names; an empty table gives an
+    empty one. The text is read once: its histogram, some 130 numbers, is staged."""
     common = [w.encode() for w in dict.fromkeys(w for ws in COMMON.values() for w in ws)]
     schema = "id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, counts binary"
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")) if lang_col in docs.columns else F.lit("")

@@ -148,8 +148,9 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id_col, base_spans, spans): secrets in each text, arrays of (start, kind, end) in code points, end exclusive, ordered
     by start and then by the order of the rules; `base_spans` are those of `base`.
 
-    A null or empty text has none; every row gives one row, also repeated ones and those with a null id, which are scanned
-    in full; an empty table gives an empty one. Texts meet their candidate rules by id; nothing is gathered but the rules
+    A null or empty text has none; very long texts are scanned whole; spans that begin at one place stand in the order of the
+    rules; every row gives one row, also repeated ones and those with a null id, which are scanned in full; other columns are
+    left out, whatever their names; an empty table gives an empty one. Texts meet their candidate rules by id; nothing is gathered but the rules
     of one text."""
     rules = [*base, *more]
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) != ANY}

@@ -319,23 +319,24 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     rows = staged(texts.mapInArrow(_banded(width, seed), "id long, fp long, keys array<long>"))
     bands = rows.select("fp", F.explode("keys").alias("key")).distinct()
-    members = staged(bands.join(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"))
+    often = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = staged(join_facts(bands, often, ["key"], "fp", N_BANDS * rows.count()).select("key", "fp"))
     # only texts that met another are hashed again: the sets of all would be larger than the texts
     heads = rows.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
     sets = staged(heads.join(texts, "id").select("fp", "text").mapInArrow(_named_sets(width, seed), "fp long, shingles array<long>"))
-    tested = links = found = None
+    n_members, tested, links, found = members.count(), None, None, None
     for turn in range(stars + 1):
         if found is None:
             now = members.withColumn("component", F.col("fp"))
         else:
             now = members.join(found.withColumnRenamed("id", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
         if turn < stars:
-            other = now.groupBy("key").agg(F.min_by(F.struct("fp", "component"), F.xxhash64("fp", "key", F.lit(turn))).alias("h")).select("key", F.col("h.fp").alias("fp2"), F.col("h.component").alias("component2"))
-            met = now.join(other, "key").where("component <> component2")
+            other = now.groupBy("key").agg(F.min_by(F.struct("fp", "component"), F.xxhash64("fp", "key", F.lit(turn))).alias("h"), F.count("*").alias("n")).select("key", F.col("h.fp").alias("fp2"), F.col("h.component").alias("component2"), "n")
+            met = join_facts(now, other, ["key"], "fp", n_members).where("component <> component2")
         else:
             # groups whose members are all linked are done
-            open_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-            now = now.join(open_keys, "key", "left_semi")
+            open_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
+            now = join_facts(now, open_keys, ["key"], "fp", n_members)
             met = now.join(now.select("key", F.col("fp").alias("fp2"), F.col("component").alias("component2")), "key").where("component < component2")
         pairs = met.select(F.greatest("fp", "fp2").alias("src"), F.least("fp", "fp2").alias("dst")).distinct()
         pairs = staged(pairs.join(tested, ["src", "dst"], "left_anti") if tested is not None else pairs)
@@ -343,13 +344,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         new = staged(_verified(pairs, sets, similarity))
         links = new if links is None else links.union(new)
         found = components(links)
-    named = rows.select("id", "fp").join(found.withColumnRenamed("id", "fp"), "fp", "left").select("id", F.coalesce("component", "fp").alias("group"))
-    return named.join(named.groupBy("group").agg(F.min("id").alias("component")), "group").select("id", "component")
+    named = staged(rows.select("id", "fp").join(found.withColumnRenamed("id", "fp"), "fp", "left").select("id", F.coalesce("component", "fp").alias("group")))
+    return join_facts(named, named.groupBy("group").agg(F.min("id").alias("component"), F.count("*").alias("n")), ["group"], "id", named.count()).select("id", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """`docs` with one document of each group left, the one with the smallest id; rows with a null id and texts without
-    words stay. Two texts are near duplicates if their sets of `width`-word shingles have that Jaccard similarity."""
+    words (null, empty, blank) stay. Two texts are near duplicates if their sets of `width`-word shingles have that Jaccard
+    similarity. Very long texts count whole; repeated rows of an id stay or go together; all columns stay, whatever their
+    names; an empty table gives an empty one."""
     out = similar_groups(docs, id_col, text_col, width, similarity).where("id <> component").select(F.col("id").alias("near_id")).distinct()
     return docs.join(out, docs[id_col].cast("long") == out["near_id"], "left_anti")
 

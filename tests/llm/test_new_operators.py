@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cloakwork.llm import divergence, importance, toxicity
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 ODD = [(None, "en", "s"), ("", "en", "s"), ("One two THREE é日 four", None, None), ("a " * 30_000, "en", "t"), ("a " * 30_000, "en", "t"), ("b c d", "fr", "s"), (" \n\t", "de", None)]
 
 
@@ -161,5 +161,5 @@ def test_held_out_toxicity(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     own = [(rows[i].predicted, y) for i, y in labels.items() if rows[i].held_out]
     right, found = sum(a and b for a, b in own), sum(a for a, _ in own)
-    assert len(rows) == 1000 and right >= 0.6 * sum(y for _, y in own) and right >= 0.8 * found
+    assert len(rows) == 10_000 and right >= 0.8 * sum(y for _, y in own) and right >= 0.9 * found
     assert all(r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in rows.items())
