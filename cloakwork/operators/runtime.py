@@ -14,9 +14,9 @@ def load_place(path: Column) -> Column:
     return F.when(path == ".env", 0).when(path == ".env.local", 2).otherwise(1)
 
 
-def skipped_names(records: DataFrame, parent: DataFrame) -> DataFrame:
-    """(repo, name): keys of `records` that the parent environment (repo, name, value) holds already, which wins."""
-    keys = records.select("repo", F.col("key").alias("name")).distinct()
+def skipped_names(records: DataFrame, npmrc: DataFrame, parent: DataFrame) -> DataFrame:
+    """(repo, name): keys of `records`, and variables of npmrc markers, that the parent environment (repo, name, value) holds already, which wins."""
+    keys = records.select("repo", F.col("key").alias("name")).union(marker_variables(npmrc).select("repo", "name")).distinct()
     return keys.join(parent.select("repo", "name").distinct(), ["repo", "name"], "left_semi")
 
 
@@ -42,15 +42,17 @@ def environment(records: DataFrame, npmrc: DataFrame, vault: DataFrame, parent:
     """(repo, origin, first, name, value): the parent's variables, then those of the files in the order they first appear.
 
     `records` (repo, path, record_no, key, value): the last assignment in load order counts, at the place of the first; a
-    handle that the vault lacks stays as text. `npmrc` (repo, path, text): each marker is a variable, after all files; one
-    that the vault lacks is left out. Names that the parent (repo, name, value) holds are skipped. Order by repo, origin,
+    handle that the vault lacks stays as text. `npmrc` (repo, path, text): each marker is a variable, after all files; where a
+    file sets the same name, the marker's value wins at the file's place. A marker that the vault lacks gives none. Names that the parent (repo, name, value) holds are skipped. Order by repo, origin,
     first, name at the end, where a file is written."""
     spot = F.struct(load_place(F.col("path")).alias("place"), "path", "record_no")
     last = live_records(records, parent).groupBy("repo", "key").agg(F.max_by("value", spot).alias("value"), F.min(spot).alias("at"))
     last = last.select("repo", "key", "value", F.format_string("%d %s %012d", "at.place", "at.path", "at.record_no").alias("first"))
     texts = last.select("repo", F.col("key").alias("path"), F.lit(0).alias("record_no"), F.col("value").alias("text")).where(F.contains("text", F.lit("sv://")))
     whole = resolve(texts, vault.select("repo", "ref", "value")).select("repo", F.col("path").alias("key"), F.col("text").alias("whole"))
-    files = last.join(whole, ["repo", "key"], "left").select("repo", F.lit(1).alias("origin"), "first", F.col("key").alias("name"), F.coalesce("whole", "value").alias("value"))
     marks = marker_variables(npmrc).join(parent.select("repo", "name").distinct(), ["repo", "name"], "left_anti").join(vault.select("repo", "ref", "value"), ["repo", "ref"])
-    marks = marks.join(files.select("repo", "name"), ["repo", "name"], "left_anti").select("repo", F.lit(2).alias("origin"), F.lit("").alias("first"), "name", "value")
+    own = marks.select("repo", F.col("name").alias("key"), F.col("value").alias("marked"))
+    files = last.join(whole, ["repo", "key"], "left").join(own, ["repo", "key"], "left")
+    files = files.select("repo", F.lit(1).alias("origin"), "first", F.col("key").alias("name"), F.coalesce("marked", "whole", "value").alias("value"))
+    marks = marks.join(last.select("repo", F.col("key").alias("name")), ["repo", "name"], "left_anti").select("repo", F.lit(2).alias("origin"), F.lit("").alias("first"), "name", "value")
     return parent.select("repo", F.lit(0).alias("origin"), F.lit("").alias("first"), "name", "value").unionByName(files).unionByName(marks)
