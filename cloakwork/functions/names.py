@@ -96,27 +96,3 @@ def agrees(kind: str, value: Column, random: Column, label_random: Column) -> Co
 
 
 KINDS = sorted({*CONFIG_TERMS, *WEAK_TERMS})
-
-
-def verdict(key: Column, found: Column, fits: Column) -> Column:
-    """secret, config-kind or silent: the rightmost term that decides; then any secret word; then a long secret word within the name.
-
-    `found`: the name's `terms`; `fits`: the kinds that the value agrees with."""
-    has_secret = F.arrays_overlap(found, listed(SECRET_TERMS))
-    config = [(k, ws.split(), False) for k, ws in CONFIG_TERMS.items()] + [(k, ws.split(), True) for k, ws in WEAK_TERMS.items()]
-    kinds = lambda weak: F.expr("map(" + ", ".join(f"'{w}', '{k}'" for k, ws, is_weak in config if is_weak == weak for w in ws) + ")")
-    strong, weak = kinds(False), kinds(True)
-
-    def decides(t: Column) -> Column:
-        config = lambda kind: F.concat(F.lit("config-"), kind)
-        return F.when(F.array_contains(listed(SECRET_TERMS), t), "secret").when(F.array_contains(fits, strong[t]), config(strong[t])).when(F.array_contains(fits, weak[t]) & ~has_secret, config(weak[t]))
-
-    first = F.get(F.filter(F.transform(found, decides), lambda x: x.isNotNull()), 0)
-    known = listed([w for _, ws, _ in config for w in ws])
-    long_terms = "|".join(t for t in SECRET_TERMS if len(t) >= 4 and "_" not in t)
-    return F.coalesce(first, F.when(has_secret, "secret"), F.when(F.arrays_overlap(found, known), "silent"), F.when(F.upper(key).rlike(long_terms), "secret"), F.lit("silent"))
-
-
-def public_opens(key: Column, found: Column) -> Column:
-    """A bundle prefix opens the value, unless the name holds a word that only credentials have."""
-    return key.rlike(PUBLIC_PREFIX) & ~F.arrays_overlap(found, listed(NEVER_PUBLIC))

@@ -79,9 +79,11 @@ def is_identifier(v: Column) -> Column:
     )
 
 
-def looks_random(v: Column) -> Column:
-    """A token of 80 bits or more that is no path or identifier and whose symbols are as even as chance makes them."""
+def looks_random(v: Column, even: Column) -> Column:
+    """A token of 80 bits or more that is no path or identifier and whose symbols are as even as chance makes them.
+
+    `even`: `kernels.evenness` of the same value, so that many values are measured in one batch."""
     n, k = F.octet_length(v), alphabet(v)
     cheap = (n >= 20) & ~v.rlike("[ \\t\\n\\r]") & ~F.contains(v, F.lit("://")) & k.isNotNull()
-    rest = (n * F.log2(k.cast("double")) >= 80) & ~is_path(v) & ~is_identifier(v) & (F.size(F.array_distinct(octets(v))) >= least_distinct(n, k)) & (entropy(v) >= least_entropy(n, k))
+    rest = (n * F.log2(k.cast("double")) >= 80) & (even["distinct"] >= least_distinct(n, k)) & (even["entropy"] >= least_entropy(n, k)) & ~is_path(v) & ~is_identifier(v)
     return F.coalesce(F.when(cheap, rest), F.lit(False))

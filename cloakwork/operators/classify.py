@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import KINDS, agrees, host_label, public_opens, terms, verdict
+from ..functions.kernels import evenness, reading, verdict
+from ..functions.names import KINDS, agrees, host_label
 from ..functions.shape import looks_random, stripped
 from ..functions.suspect import suspect_reason
 
@@ -40,6 +41,7 @@ COMPOSITES = [
     ("bearer-token", "_token", r"(?i)\A(Bearer[\t\n\f\r ]+)([^\t\n\f\r ]+)\z"),
     ("url-query-credential", "_param", r"(?i)([?&](?:token|key|api_key|apikey|password|secret|sig|signature|access_token|auth)=)([^&\t\n\f\r #]+)"),
 ]
+COMPOSED = r"(?i)://|password|pwd|bearer|[?&]"  # every composite value holds one of these
 REFERENCE = r"\A(\$\{[A-Za-z_][A-Za-z0-9_]*\}|\$[A-Za-z_][A-Za-z0-9_]*)\z"
 
 
@@ -83,12 +85,16 @@ def decide(df: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     shape = F.coalesce(*(F.when(v.rlike(p), F.lit("value-" + name)) for p, name, _ in SHAPES))
     label, last = (F.regexp_extract(v, r"\A([A-Za-z0-9._-]{1,32}[:|])([^:|]+)\z", i) for i in (1, 2))
     early = F.when(stripped(v) == "", "empty").when(stripped(v).rlike(REFERENCE), "variable-reference")
-    own = df.withColumns({"_early": early, "_parts": composite_spans(v), "_shape": shape, "_terms": terms(k), "_random": looks_random(v), "_label_random": looks_random(host_label(v)), "_last_random": looks_random(last)})
-    own = own.withColumn("_fits", F.array_compact(F.array(*(F.when(agrees(kind, v, F.col("_random"), F.col("_label_random")), kind) for kind in KINDS))))
-    own = own.withColumn("_name", verdict(k, F.col("_terms"), F.col("_fits")))
+    none = F.array().cast("array<struct<start:int,stop:int,suffix:string,rule:string>>")
+    parts = F.when(v.rlike(COMPOSED), composite_spans(v)).otherwise(none)
+    measured = df.withColumns({"_read": reading(k), "_even": evenness(v), "_label_even": evenness(host_label(v)), "_last_even": evenness(last)})
+    own = measured.withColumns({"_early": early, "_parts": parts, "_shape": shape, "_random": looks_random(v, F.col("_even")), "_label_random": looks_random(host_label(v), F.col("_label_even")), "_last_random": looks_random(last, F.col("_last_even"))})
+    asked = F.col("_read.decides.kind")  # a kind that no term of the name calls for is not looked at
+    own = own.withColumn("_fits", F.array_compact(F.array(*(F.when(F.array_contains(asked, kind) & agrees(kind, v, F.col("_random"), F.col("_label_random")), kind) for kind in KINDS))))
+    own = own.withColumn("_name", verdict(F.col("_read"), F.col("_fits")))
     composite = F.array_join(F.array_distinct(F.transform("_parts", lambda s: s["rule"])), "+")
     first = (
-        F.coalesce("_early", F.when(F.size("_parts") > 0, composite), "_shape", F.when(public_opens(k, F.col("_terms")), "public-prefix"))
+        F.coalesce("_early", F.when(F.size("_parts") > 0, composite), "_shape", F.when(F.col("_read.public"), "public-prefix"))
     )
     rule = (
         F.when(first.isNotNull(), first)
@@ -145,4 +151,4 @@ def scan_candidates(docs: DataFrame, text: str, *keep: str) -> DataFrame:
     heads, rests = (F.regexp_extract_all(source, F.lit(PEM), F.lit(i)) for i in (1, 2))
     keys = F.when(F.contains(source, F.lit("-----BEGIN ")), F.zip_with(heads, rests, lambda h, r: F.struct(h.alias("head"), longest(r).alias("body")))).otherwise(F.array().cast("array<struct<head:string,body:string>>"))
     found = docs.select(*keep, F.explode(F.concat(plain, keys)).alias("_found")).select(*keep, "_found.*")
-    return found.where((F.col("head") == "") | looks_random(F.col("body"))).select(*keep, F.concat("head", "body").alias("value"))
+    return found.where((F.col("head") == "") | looks_random(F.col("body"), evenness(F.col("body")))).select(*keep, F.concat("head", "body").alias("value"))

@@ -10,8 +10,19 @@ HANDLE = "sv://([a-z0-9_.-]+)"
 VALID_REF = r"\A[a-z0-9_.-]{1,200}\z"
 
 
+def unique(vault: DataFrame) -> DataFrame:
+    """(repo, ref, value), one row a ref; the job fails where a ref has two values, since no reader could tell which is meant.
+
+    The check is part of the plan: one aggregation on the key of the joins that follow."""
+    ends = vault.groupBy("repo", "ref").agg(F.min("value").alias("value"), F.max("value").alias("_last"))
+    two = F.raise_error(F.concat(F.lit("two values of the reference "), F.col("ref"), F.lit(" in "), F.col("repo")))
+    return ends.select("repo", "ref", F.when(F.col("value").eqNullSafe(F.col("_last")), F.col("value")).otherwise(two.cast("string")).alias("value"))
+
+
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
-    """The next version: rows of `new` replace those of the same repo and ref; invalid refs are refused as a whole."""
+    """The next version: rows of `new` replace those of the same repo and ref; invalid refs, and two values of a ref, are
+    refused as a whole. Building the plan runs a job that looks for invalid refs."""
+    new = unique(new)
     bad = new.where(~F.col("ref").rlike(VALID_REF))
     if not bad.isEmpty():
         raise ValueError("a ref is invalid")
@@ -78,7 +89,7 @@ def write_version(vault: DataFrame, root: str) -> int:
     root = root.rstrip("/")
     found = _pointers(spark, root)
     version = found[2] + 1 if found else 1
-    vault.select("repo", "ref", "value").write.mode("overwrite").parquet(f"{root}/version={version}")
+    unique(vault).write.mode("overwrite").parquet(f"{root}/version={version}")
     _point(spark, root, version)
     return version
 
@@ -112,10 +123,10 @@ def orphans(texts: DataFrame, vault: DataFrame) -> DataFrame:
 
 
 def resolve(rows: DataFrame, vault: DataFrame) -> DataFrame:
-    """(repo, path, record_no, text) with each handle replaced by its value; unknown handles stay."""
+    """(repo, path, record_no, text) with each handle replaced by its value; unknown handles stay; see `unique`."""
     pieces = rows.select("repo", "path", "record_no", F.posexplode(F.regexp_extract_all("text", F.lit("sv://[a-z0-9_.-]+|(?s:(?:(?!sv://[a-z0-9_.-]).)+)"), F.lit(0))).alias("at", "piece"))
     keyed = pieces.withColumn("ref", F.regexp_extract("piece", r"\A" + HANDLE + r"\z", 1))
-    joined = keyed.join(vault, ["repo", "ref"], "left").withColumn("out", F.coalesce("value", "piece"))
+    joined = keyed.join(unique(vault), ["repo", "ref"], "left").withColumn("out", F.coalesce("value", "piece"))
     return joined.groupBy("repo", "path", "record_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "out"))), lambda x: x["out"]), "").alias("text"))
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.shape import charset, entropy
 from ..sources.settings import MARKER, NPMRC_REF, is_npmrc_credential, marked_refs, marker, npmrc_ref, render
-from .classify import decide, ref_of
-from .vault import dangling, resolve
+from ..sources.shared import staged
+from .classify import decide, ref_of, settled
+from .vault import dangling, resolve, unique
 
 COMMENT = r"\A[ \t]*# sv: [^\n]*"  # what `veil_files` writes beside a value
 
@@ -19,21 +20,30 @@ def comment(value: Column) -> Column:
 
 
 def veil(entries: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
-    """`entries` with class, rule, review, `projected` (the value with handles) and `secrets` (array of ref and value).
+    """`entries` with class, rule, review, `projected` (the value with handles), `secrets` (array of ref and value) and
+    `pieces` (what stands before, between and after the secrets).
 
     Parts that are handles or variable references already stay, so that veiling twice changes nothing; an entry without any
     other secret part is open. Refs of one value are told apart by number. A null value is an empty one."""
     ruled = decide(entries, key, value).withColumn("spans", F.array_sort("spans"))
     v, base = F.coalesce(value, F.lit("")), ref_of(F.col(key))
     last = lambda i: F.when(i == 0, 0).otherwise(F.get("spans", i - 1)["stop"])
-    shown = F.transform("spans", lambda s, i: F.concat(v.substr(last(i) + 1, s["start"] - last(i)), F.lit("sv://"), base, s["suffix"]))
+    before = F.transform("spans", lambda s, i: v.substr(last(i) + 1, s["start"] - last(i)))
     tail = v.substr(F.coalesce(F.try_element_at("spans", F.lit(-1))["stop"], F.lit(0)) + 1, F.length(v))
     taken = F.transform("spans", lambda s: F.struct(F.concat(base, s["suffix"]).alias("ref"), v.substr(s["start"] + 1, s["stop"] - s["start"]).alias("value")))
-    return ruled.withColumns({"projected": F.when(F.size("spans") > 0, F.concat(F.array_join(shown, ""), tail)).otherwise(v), "secrets": taken}).drop("spans", "reason")
+    cut = ruled.withColumns({"secrets": taken, "pieces": F.concat(before, F.array(tail))}).drop("spans", "reason")
+    return cut.withColumn("projected", woven(F.col("pieces"), F.col("secrets")))
+
+
+def woven(pieces: Column, secrets: Column) -> Column:
+    """The text of `pieces` with a handle where each secret was."""
+    heads = F.zip_with(F.slice(pieces, 1, F.size(secrets)), secrets, lambda p, s: F.concat(p, F.lit("sv://"), s["ref"]))
+    return F.concat(F.array_join(heads, ""), F.element_at(pieces, -1))
 
 
 def vault_rows(veiled: DataFrame) -> DataFrame:
-    """(repo, ref, value): what `veil` took out; one ref with two values gives two rows, which `rename_collisions` tells apart."""
+    """(repo, ref, value): what was taken out. Of `veil_tree` each ref has one value; of `veil` alone a ref may have two, which
+    no vault takes."""
     return veiled.select("repo", F.explode_outer("secrets").alias("s")).where("s is not null").select("repo", "s.ref", "s.value").distinct()
 
 
@@ -71,20 +81,49 @@ def rename_collisions(claims: DataFrame) -> DataFrame:
     return owned.where("not _move").withColumn("new_ref", F.col("ref")).select(*claims.columns, "new_ref").unionByName(renamed.select(*claims.columns, "new_ref"))
 
 
-def veil_files(records: DataFrame) -> DataFrame:
-    """(repo, path, content): the files of parsed dotenv `records` with handles; lines without secrets stay byte for byte.
+RECORD = ["repo", "path", "record_no"]
+NO_SECRETS = "array<struct<ref:string,value:string>>"
+
+
+def file_kind(path: Column) -> Column:
+    return F.when(path.rlike(r"(\A|/)\.npmrc\z"), "npmrc").otherwise("dotenv")
+
 
-    A line without a comment gets one on the shape of what was there."""
-    veiled, some = veil(records.where("kind = 'assignment'")), F.size("secrets") > 0
-    news = veiled.select("repo", "path", "record_no", F.when(some, F.col("projected")).alias("new_value"), F.when(some, comment(F.col("value"))).alias("new_comment"))
-    return render(records.join(news, ["repo", "path", "record_no"], "left"))
+def apply_renames(veiled: DataFrame) -> DataFrame:
+    """`veiled` (repo, path, record_no, file_kind, pieces, secrets, ...) with one value for each ref of a repo: `secrets` carry
+    the names of `rename_collisions`, and `projected` is the text, or the npmrc marker, with them."""
+    claims = veiled.select(*RECORD, F.col("file_kind").alias("kind"), F.posexplode("secrets").alias("span_no", "s")).select(*RECORD, "kind", "span_no", "s.ref", "s.value")
+    moved = rename_collisions(claims).where("ref <> new_ref").groupBy(*RECORD).agg(F.map_from_entries(F.collect_list(F.struct("span_no", "new_ref"))).alias("_new"))
+    named = F.transform("secrets", lambda s, i: F.struct(F.coalesce(F.col("_new")[i], s["ref"]).alias("ref"), s["value"].alias("value")))
+    done = veiled.join(moved, RECORD, "left").withColumn("secrets", named).drop("_new")
+    return done.withColumn("projected", F.when(F.col("file_kind") == "npmrc", marker(F.get("secrets", 0)["ref"])).otherwise(woven(F.col("pieces"), F.col("secrets"))))
+
+
+def veil_tree(records: DataFrame) -> DataFrame:
+    """Parsed `records` of dotenv and npmrc files, `new_value` and `new_comment` where secrets were, and `secrets`.
+
+    A ref that the files of a repo claim with different values is renamed in the text and in `secrets` alike, so that
+    `vault_rows` holds each once and `restore_files` gives every file back byte for byte. Entries with secrets are written to
+    the shared folder, once as they were and once renamed: whoever may read that folder may read the vault."""
+    npmrc = file_kind(F.col("path")) == "npmrc"
+    dotenv = veil(records.where(~npmrc & (F.col("kind") == "assignment"))).select(*RECORD, F.lit("dotenv").alias("file_kind"), "pieces", "secrets", comment(F.col("value")).alias("new_comment"))
+    other = veil_npmrc(records.where(npmrc)).select(*RECORD, F.lit("npmrc").alias("file_kind"), F.array(F.lit(""), F.lit("")).alias("pieces"), "secrets", F.lit(None).cast("string").alias("new_comment"))
+    news = apply_renames(staged(settled(dotenv.union(other), F.size("secrets") > 0)))
+    news = staged(news.select(*RECORD, F.col("projected").alias("new_value"), "new_comment", "secrets"))
+    return records.join(news, RECORD, "left").withColumn("secrets", F.coalesce("secrets", F.array().cast(NO_SECRETS)))
+
+
+def veil_files(records: DataFrame) -> DataFrame:
+    """(repo, path, content): the files of parsed dotenv and npmrc `records` with handles and markers; lines without secrets
+    stay byte for byte. A dotenv line without a comment gets one on the shape of what was there."""
+    return render(veil_tree(records))
 
 
 def veil_npmrc(records: DataFrame) -> DataFrame:
     """`records` of npmrc files with `new_value`, the variable that stands for a credential, and `secrets` (ref and value)."""
     held = (F.col("kind") == "assignment") & is_npmrc_credential(F.col("key"), F.col("value"))
     ref = npmrc_ref(F.col("key"))
-    taken = F.when(F.coalesce(held, F.lit(False)), F.array(F.struct(ref.alias("ref"), F.col("value").alias("value")))).otherwise(F.array().cast("array<struct<ref:string,value:string>>"))
+    taken = F.when(F.coalesce(held, F.lit(False)), F.array(F.struct(ref.alias("ref"), F.col("value").alias("value")))).otherwise(F.array().cast(NO_SECRETS))
     return records.withColumns({"new_value": F.when(held, marker(ref)), "secrets": taken})
 
 
@@ -98,7 +137,8 @@ def missing_refs(records: DataFrame, vault: DataFrame) -> DataFrame:
 def restored(records: DataFrame, vault: DataFrame) -> DataFrame:
     """`records` with `new_value`, `new_comment` and `n_handles` where handles, or values that are one marker, come back.
 
-    A repo that lacks one of its refs is left out as a whole."""
+    A repo that lacks one of its refs is left out as a whole; a ref with two values fails the job."""
+    vault = unique(vault)
     live = records.join(missing_refs(records, vault).select("repo").distinct(), "repo", "left_anti")
     keys = ["repo", "path", "record_no"]
     handles = live.where((F.col("kind") == "assignment") & F.contains("value", F.lit("sv://"))).select(*keys, F.col("value").alias("text"))

@@ -20,6 +20,7 @@ from ..operators import vault as V
 from ..operators import veil as W
 from ..sources import derived as D
 from ..sources import settings as S
+from ..sources.shared import shared_folder
 from ..streaming import redact as X
 from ..streaming import run as N
 
@@ -292,6 +293,29 @@ def npmrc_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.restore_files(S.parse_npmrc(S.render(veiled)), vault)
 
 
+def _shared_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of which several of a repo claim the same references with different values; none holds a handle yet."""
+    npmrc = D.npmrc_files(spark, sf_dir).selectExpr("cast(cast(repo as int) % 25 as string) as repo", "concat('apps/a', repo, '/.npmrc') as path", "content")
+    return D.env_files(spark, sf_dir, (20, 21, 23, 26)).unionByName(npmrc)
+
+
+def _parsed(files: DataFrame) -> DataFrame:
+    npmrc = W.file_kind(F.col("path")) == "npmrc"
+    return S.parse_dotenv(files.where(~npmrc)).unionByName(S.parse_npmrc(files.where(npmrc)))
+
+
+def collision_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files veiled with renamed references and restored from the vault that this fills: those of the start."""
+    veiled = W.veil_tree(_parsed(_shared_files(spark, sf_dir)))
+    return W.restore_files(_parsed(S.render(veiled)), W.vault_rows(veiled))
+
+
+def collision_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many references of each repository hold a secret, and how many secrets were told apart by a new name."""
+    veiled = W.veil_tree(_parsed(_shared_files(spark, sf_dir)))
+    return V.unique(W.vault_rows(veiled)).groupBy("repo").agg(F.count("*").alias("n_refs"), F.count_distinct("value").alias("n_values"))
+
+
 def plan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a person reads about each entry."""
     return P.plan_report(W.veil(D.env_entries(spark, sf_dir))).select("repo", "path", "record_no", "key", "class", "rule", F.regexp_replace("shape", "entropy .*", "entropy").alias("shape"))
@@ -347,7 +371,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a stream of the chunks lets out, run over all of them."""
-    folder = N.shared_folder(spark)
+    folder = shared_folder(spark, "stream")
     stream = X.redact_stream(N.as_stream(_chunks(spark, sf_dir), folder), R.build_needles(D.secrets(spark, sf_dir)))
     return N.run_available(stream, folder)
 
@@ -373,7 +397,7 @@ def suspect_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAGSHIP = "scan_rules"
-QUERIES = {f.__name__: f for f in (scan_rules, scan_candidates, shape_profile, name_segments, classify_entries, plan_counts, vault_chain, vault_dangling, vault_orphans, vault_resolve, last_assignments, duplicate_refs, detect_caller, check_policy, redact_logs, redact_hits, leftovers, discover_files, uncovered_lines, load_order, last_loaded, unread_files, ref_usage, guard_texts, decision_histogram, redact_commands, dotenv_records, veil_entries, miss_rate, open_rates, seen_share, label_counts, label_faults, decision_changes, health, health_verdicts, resolved_environment, missing_refs, skipped_names, collisions, renamed_refs, vault_refs, environment_vault, vault_upsert, vault_delete, vault_differences, npmrc_records, npmrc_veiled, npmrc_restored, plan_report, projection_lines, backup_manifest, veil_summary, finding_kinds, linked_files, policy_states, refused_requests, gate_commands, stream_redacted, stream_hits, skipped_short, suspect_reasons)}
+QUERIES = {f.__name__: f for f in (scan_rules, scan_candidates, shape_profile, name_segments, classify_entries, plan_counts, vault_chain, vault_dangling, vault_orphans, vault_resolve, last_assignments, duplicate_refs, detect_caller, check_policy, redact_logs, redact_hits, leftovers, discover_files, uncovered_lines, load_order, last_loaded, unread_files, ref_usage, guard_texts, decision_histogram, redact_commands, dotenv_records, veil_entries, miss_rate, open_rates, seen_share, label_counts, label_faults, decision_changes, health, health_verdicts, resolved_environment, missing_refs, skipped_names, collisions, renamed_refs, vault_refs, environment_vault, vault_upsert, vault_delete, vault_differences, npmrc_records, npmrc_veiled, npmrc_restored, collision_round_trip, collision_vault, plan_report, projection_lines, backup_manifest, veil_summary, finding_kinds, linked_files, policy_states, refused_requests, gate_commands, stream_redacted, stream_hits, skipped_short, suspect_reasons)}
 
 SECRETS = D.SECRETS.format(s="varchar")
 LOGS = D.LOGS.format(s="varchar", forms=D.FORMS.format(b64="to_base64(encode(value))", q="\\\""), secrets=SECRETS)
@@ -500,6 +524,15 @@ select repo, path, record_no, span_no, ref, ref as new_ref from c where n = 1 or
     "npmrc_records": " union all ".join(f"select s_suppkey::varchar as repo, {n}::bigint as line_no, '{k}' as key, {v} as value from supplier" for n, k, v in ((1, "registry", "'https://r.io/'"), (2, "//r.io/:_authToken", "md5(s_suppkey::varchar)"), (3, "//q.io/:_auth", "'\"quoted\"'"), (5, "_password", "'${X}'"), (6, "//b.io/:_password", "substr(md5(s_suppkey::varchar), 1, 9)"))),
     "npmrc_veiled": f"select repo, path, replace(replace(content, '_authToken=' || md5(repo), '_authToken=${{SV_NPMRC_R_IO_AUTHTOKEN}}'), '_password=' || substr(md5(repo), 1, 9), '_password=${{SV_NPMRC_B_IO_PASSWORD}}') as content from ({NPMRC})",
     "npmrc_restored": f"select repo, path, content from ({NPMRC})",
+    "collision_round_trip": f"""select repo, path, string_agg('# no ' || id || chr(10) || case id % 3 when 0 then key || '=' || value
+    when 1 then 'export ' || key || ' = "' || value || '" # note' else key || '=' || chr(39) || value || chr(39) || chr(13) end || chr(10), '' order by id) as content
+  from ({D.ENTRIES_SQL}) where id % {D.N_BRANCHES} not in (20, 21, 23, 26) group by repo, path
+union all select (repo::int % 25)::varchar, 'apps/a' || repo || '/.npmrc', content from ({NPMRC})""",
+    "collision_vault": f"""with c as (
+  select repo, ref, value from ({CLAIMS}) where record_no % {D.N_BRANCHES} <> 26
+  union all select (repo::int % 25)::varchar, 'npmrc_r_io_authtoken', md5(repo) from ({NPMRC}) union all select (repo::int % 25)::varchar, 'npmrc_b_io_password', substr(md5(repo), 1, 9) from ({NPMRC})),
+r as (select repo, ref, case count(distinct value) when 1 then 1 else count(*) end as n from c group by repo, ref)
+select repo, sum(n)::bigint as n_refs, any_value(n_values) as n_values from r join (select repo, count(distinct value) as n_values from c group by repo) using (repo) group by repo""",
     "plan_report": f"select repo, path, record_no, key, class, want as rule, case when review then '<- read this one' when class = 'open' then '' else strlen(value) || ' chars, ' || {CHARSET} || ', entropy' end as shape from ({CLASSED})",
     "projection_lines": f"select repo, path, count(*) as n, count(*) filter (where class <> 'open' or id % {D.N_BRANCHES} = 23) as n_handles, count(*) filter (where class <> 'open') as n_comments from ({CLASSED}) where id % {D.N_BRANCHES} not in (20, 21) group by repo, path",
     "backup_manifest": f"select repo, path, strlen(content)::bigint as n_bytes, sha256(content) as sha256 from (select repo, {D.PATHS_SQL} as path, {D.CONTENT_SQL} as content from (select *, md5(id::varchar) as h from ({PARTS})))",

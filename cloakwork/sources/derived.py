@@ -132,12 +132,12 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("cast(id as string) as repo", f"{PATHS_SQL} as path", f"{CONTENT_SQL} as content")
 
 
-def env_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repo, path, content): the entries of each file in order, a comment before each, quoted in three ways."""
+def env_files(spark: SparkSession, sf_dir: str, without: tuple[int, ...] = (20, 21)) -> DataFrame:
+    """(repo, path, content): the entries of each file in order, a comment before each, quoted in three ways; all branches but `without`."""
     line = F.expr("concat('# no ', id, '\n', case id % 3 when 0 then concat(key, '=', value) when 1 then concat('export ', key, ' = \"', value, '\" # note') else concat(key, \"='\", value, \"'\r\") end, '\n')")
     lines = F.array_sort(F.collect_list(F.struct("id", line.alias("line"))))
     # two branches hold white space at their ends, which an unquoted line can't
-    return env_entries(spark, sf_dir).where(f"id % {N_BRANCHES} not in (20, 21)").groupBy("repo", "path").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("content"))
+    return env_entries(spark, sf_dir).where(f"id % {N_BRANCHES} not in {without}").groupBy("repo", "path").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("content"))
 
 
 #: Labelled rows by branch: key, value, want, sensitive part ('' for none), note; SQL that Spark and DuckDB share.

@@ -3,7 +3,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from cloakwork.functions import names, shape
+from cloakwork.functions import kernels, names, shape
 from cloakwork.operators import classify as C
 from cloakwork.operators import vault as V
 
@@ -22,7 +22,7 @@ def test_entropy_and_alphabet(spark):
 def test_random_tokens_and_words(spark):
     tokens = [hashlib.sha256(str(i).encode()).hexdigest()[:40] for i in range(200)]
     words = ["production-read-replica-endpoint", "com/example/service/handler", "MAX_CONNECTIONS_PER_HOST", "aaaaaaaaaaaaaaaaaaaaaaaaaaaa", "hello world hello world"]
-    look = lambda vs: [r[0] for r in spark.createDataFrame([(v,) for v in vs], "v string").select(shape.looks_random(F.col("v"))).collect()]
+    look = lambda vs: [r[0] for r in spark.createDataFrame([(v,) for v in vs], "v string").select(shape.looks_random(F.col("v"), kernels.evenness(F.col("v")))).collect()]
     assert sum(look(tokens)) >= 194
     assert not any(look(words))
 
@@ -32,6 +32,16 @@ def test_segments(spark):
     assert [r[0] for r in got] == [["SERVICE", "TOKEN"], ["HTTP", "SERVER", "NAME"], ["DB2", "PASSWORD"], ["A", "B", "C"]]
 
 
+def test_kernels_by_expressions(spark):
+    """The batch kernels and the expressions on single rows are two ways to the same terms and histograms."""
+    keys = ["serviceToken", "HTTPServerKEYS", "db2.password", "A_b-c", "", "API_KEYS", "jwt_access_keys", "PASS", "xTokens S", "ÉcoleToken", "REFRESH_TOKEN_TTL_DAYS", "a:b/c d"]
+    values = ["", "aaaa", "a\u00e9\u65e5", hashlib.sha256(b"q").hexdigest(), "Zz9+" * 700]
+    got = spark.createDataFrame([(k,) for k in keys], "k string").select("k", names.terms(F.col("k")).alias("t")).collect()
+    assert {r.k: kernels.terms_of(r.k) for r in got} == {r.k: r.t for r in got}
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select(shape.entropy(F.col("v")).alias("e"), F.size(F.array_distinct(shape.octets(F.col("v")))).alias("n"), kernels.evenness(F.col("v")).alias("k")).collect()
+    assert all(r.k.distinct == r.n and math.isclose(r.k.entropy, r.e, abs_tol=1e-9) for r in rows)
+
+
 def test_nulls_and_extra_columns(spark):
     df = spark.createDataFrame([(None, None, 1), ("PASSWORD", None, 2), (None, "x", 3)], "key string, value string, other int")
     assert [(r["class"], r["rule"]) for r in C.classify(df).orderBy("other").collect()] == [("open", "empty"), ("open", "empty"), ("open", "default-open")]

@@ -83,7 +83,7 @@ def test_veil_and_restore_files(spark):
     records = S.parse_dotenv(spark.createDataFrame([("r", ".env", text)], "repo string, path string, content string"))
     shown = W.veil_files(records).first().content
     assert HEX[:9] not in shown and "p w" not in shown and "LEVEL=debug" in shown and "# mine" in shown and "# sv: 16 chars, hex" in shown
-    vault = W.vault_rows(W.veil(records.where("kind = 'assignment'")))
+    vault = W.vault_rows(W.veil_tree(records))
     again = S.parse_dotenv(spark.createDataFrame([("r", ".env", shown)], "repo string, path string, content string"))
     back = W.restored(again, vault)
     assert W.restore_files(again, vault).first().content == text.replace("  \n", "\n")
