@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
@@ -14,6 +13,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.audit import redact_command
 from ..operators.gate import check_policy, detect_caller
+from ..operators.needles import Matcher, shown
 
 #: More needles than this are refused: they travel with the code of each task. Stored texts go through `operators.redact`.
 MOST_NEEDLES = 100_000
@@ -31,15 +31,11 @@ class Needles:
             self.refs.setdefault(pattern.encode().decode("latin-1"), ref)
         self.longest = max(map(len, self.refs), default=1)
         self.ordered = sorted(self.refs)
-        # at each place the longest needle that starts there, then each of its beginnings that is a needle itself
-        by_size = sorted(self.refs, key=len, reverse=True)
-        self.any = re.compile("(?s)(?=(" + "|".join(map(re.escape, by_size)) + "))") if by_size else None
-        self.starts = {p: [q for n in range(1, len(p) + 1) if (q := p[:n]) in self.refs] for p in by_size}
+        self.matcher = Matcher((("", p.encode("latin-1"), ref) for p, ref in self.refs.items()), max(1, min([8, *map(len, self.refs)])))
 
     def places(self, text: str) -> list[tuple[int, int, str]]:
         """(stop, start, ref) of every occurrence, by stop, the longest first."""
-        found = [(m.start() + len(q), m.start(), self.refs[q]) for m in (self.any.finditer(text) if self.any else ()) for q in self.starts[m[1]]]
-        return sorted(found)
+        return sorted((stop, start, ref) for start, stop, ref in self.matcher.places(text.encode("latin-1"), ""))
 
     def begun(self, text: str) -> int:
         """Length of the longest end of a text that is the beginning of a needle, but not all of it."""
@@ -62,13 +58,8 @@ class Needles:
             else:
                 runs.append([start, stop])
         limit = min([limit, *(a for a, b in runs if b > limit)])
-        pieces, later = [], len(text)
-        for stop, start, ref in reversed(list({p[0]: p for p in reversed(places)}.values())[::-1]):
-            if start < min(stop, later):
-                pieces.append((start, min(stop, later), ref))
-            later = min(later, start)
         out, at, refs = [], 0, []
-        for start, stop, ref in reversed(pieces):
+        for start, stop, ref in shown((a, b, ref) for b, a, ref in places):
             if stop <= limit:
                 out += [text[at:start], "sv://", ref]
                 refs.append(ref)

@@ -7,6 +7,7 @@ import tempfile
 import pytest
 
 from cloakwork.operators import redact as R
+from cloakwork.operators.needles import Matcher
 from cloakwork.streaming.redact import Needles, redact_stream
 
 VAULT = [("m", "a", "abcabcabc"), ("m", "b", "bcabca"), ("m", "c", "cabcabcab\\E."), ("m", "d", "naïve é"), ("m", "e", "tiny"), ("m", "f", "abcabcabc")]
@@ -37,16 +38,20 @@ def needles(spark):
     return R.build_needles(spark.createDataFrame(VAULT, "repo string, ref string, value string"), encodings=False)
 
 
-def test_whole_texts(spark, needles):
+WAYS = pytest.mark.parametrize("most_bytes", [R.PACKED_BYTES, 0])  # in one pass, by joins
+
+
+@WAYS
+def test_whole_texts(spark, needles, most_bytes):
     rng = random.Random(1)
     texts = TEXTS + ["".join(rng.choice("abc") for _ in range(40)) for _ in range(20)]
     known = {r.pattern: r.ref for r in needles.collect()}
     assert known["abcabcabc"] == "a" and "tiny" not in known
     docs = spark.createDataFrame([("m", str(i), t) for i, t in enumerate(texts)] + [("m", "null", None), ("other", "0", "abcabcabc")], "repo string, id string, text string")
-    got = {(r.repo, r.id): (r.text, r.n_hits) for r in R.redact(docs, needles).collect()}
+    got = {(r.repo, r.id): (r.text, r.n_hits) for r in R.redact(docs, needles, most_bytes=most_bytes).collect()}
     assert got.pop(("m", "null")) == (None, 0) and got.pop(("other", "0")) == ("abcabcabc", 0)
     assert got == {("m", str(i)): plain(t, known) for i, t in enumerate(texts)}
-    counts = {r.ref: r.n for r in R.hits(docs, needles).collect()}
+    counts = {r.ref: r.n for r in R.hits(docs, needles, most_bytes=most_bytes).collect()}
     assert sum(counts.values()) == sum(plain(t, known)[1] for t in texts)
 
 
@@ -56,13 +61,29 @@ def test_forms(spark):
     assert R.skipped_short(spark.createDataFrame(VAULT, "repo string, ref string, value string")).first().ref == "e"
 
 
-def test_leftovers(spark):
+@WAYS
+def test_leftovers(spark, most_bytes):
     files = spark.createDataFrame([("m", "x", "one\ntwo abcabcabc\nabcabcabc"), ("m", "y", "none")], "repo string, path string, content string")
     vault = spark.createDataFrame(VAULT, "repo string, ref string, value string")
-    got = {(r.path, r.ref, r.line_no, r.level) for r in R.find_leftovers(files, vault, files.where("path = 'x'")).collect()}
+    got = {(r.path, r.ref, r.line_no, r.level) for r in R.find_leftovers(files, vault, files.where("path = 'x'"), most_bytes=most_bytes).collect()}
     assert got == {("x", "a", 2, "bad"), ("x", "b", 2, "bad"), ("x", "f", 2, "bad")}
 
 
+def test_texts_are_not_shuffled(spark, needles):
+    docs = spark.createDataFrame([("m", "1", "abcabcabc")], "repo string, id string, text string")
+    plan = R.redact(docs, needles)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Exchange" in R.redact(docs, needles, most_bytes=0)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_needles_of_different_heads():
+    rng = random.Random(7)
+    rows = [("m", "".join(rng.choice("abcd") for _ in range(rng.choice([6, 7, 9, 12]))).encode(), str(i)) for i in range(3000)]
+    text = "".join(rng.choice("abcd") for _ in range(4000)).encode()
+    want = sorted((i, i + len(p), ref) for _, p, ref in rows for i in range(len(text)) if text[i : i + len(p)] == p)
+    assert want and sorted(Matcher(rows, 6).places(text, "m")) == want and Matcher(rows, 6).places(text, "n") == []
+    assert Matcher([("m", b"x", "1")], 1).places(b"axxa", "m") == [(1, 2, "1"), (2, 3, "1")] and Matcher([], 8).places(text, "m") == []
+
+
 def test_release_does_not_depend_on_cuts():
     known = {"abcabcabc": "a", "bcabca": "b", "naïve é": "d"}
     n, rng = Needles(known.items()), random.Random(2)
