@@ -231,14 +231,27 @@ def test_lm(spark):
             w = [*text[r.id].encode().lower().split(), b"\n"]
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.id], len(w), sum(x in count for x in w), n)
             assert math.isclose(r.base_score, sum(math.log10((count[x] + 1) / (n + v + 1)) for x in w), rel_tol=1e-9)
-    # clearly better, on texts it has not seen, than how often each subword stands in the training texts
+    # better, on texts it has not seen, than how often each subword stands in the training texts, and than pairs of subwords
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(lm.VOCABULARY), "rb"))}
     sub = lm.Subwords(ranks)
     spelled = {d: sub.spell(lm.Words([t.encode()]))[0] for d, t, _ in docs}
     table = np.bincount(np.concatenate([x for d, x in spelled.items() if not held[d]]), minlength=sub.end + 1) + 0.01
     plain = sum(float(np.log10(table[x] / table.sum()).sum()) for d, x in spelled.items() if held[d])
     pieces = sum(len(x) for d, x in spelled.items() if held[d])
-    assert sum(r.score for r in rows if r.held_out) > plain + 0.1 * pieces
+    score = sum(r.score for r in rows if r.held_out)
+    assert score > plain + 0.3 * pieces
+    follow = {}
+    for d, x in spelled.items():
+        if not held[d]:
+            for a, b in zip([sub.end, *x[:-1].tolist()], x.tolist(), strict=True):
+                follow.setdefault(a, Counter())[b] += 1
+    pairs = 0.0
+    for d, x in spelled.items():  # the pair table, smoothed after Witten and Bell
+        if held[d]:
+            for a, b in zip([sub.end, *x[:-1].tolist()], x.tolist(), strict=True):
+                c = follow.get(a, Counter())
+                pairs += math.log10((c[b] + len(c) * table[b] / table.sum()) / (c.total() + len(c)) if c else table[b] / table.sum())
+    assert score > pairs
 
 
 def test_lm_gradients_and_scoring():
@@ -250,13 +263,25 @@ def test_lm_gradients_and_scoring():
     x = rng.integers(0, size, (3, lm.WINDOW))
     y = np.where(rng.random((3, lm.WINDOW)) < 0.1, -1, rng.integers(0, size, (3, lm.WINDOW)))
     about = lm.features(vectors.astype(np.float64), own)
-    _, g = lm.gradients(lm.shaped(w), x, y, about, experts)
+    frequent = rng.permutation(size)[:12]
+    n = rng.integers(0, 4, (12, 12))
+    context = np.full(size, 5)
+    context[frequent] = n.sum(axis=1) + rng.integers(0, 9, 12)
+    followers = lm.Followers(frequent, context, rng.dirichlet(np.ones(size)), n)
+    each = np.repeat(np.arange(size), size), np.tile(np.arange(size), size)
+    assert np.allclose(followers.share(*each).reshape(size, size).sum(axis=1), 1, atol=1e-4) and np.allclose(followers.share(*each), lm.Table(followers).share(*each), atol=1e-5)
+    a, b = np.argwhere(n > 0)[0]
+    fewer = n.copy()
+    fewer[a, b] -= 1
+    less = lm.Followers(frequent, context - (np.arange(size) == frequent[a]), followers.whole, fewer)
+    assert np.allclose(followers.share(frequent[[a]], frequent[[b]], 1), less.share(frequent[[a]], frequent[[b]]))
+    _, g = lm.gradients(lm.shaped(w), x, y, about, experts, followers)
     for k in rng.integers(0, len(w), 40):
         step = np.zeros_like(w)
         step[k] = 1e-5
-        slope = (lm.gradients(lm.shaped(w + step), x, y, about, experts)[0] - lm.gradients(lm.shaped(w - step), x, y, about, experts)[0]) / 2e-5
+        slope = (lm.gradients(lm.shaped(w + step), x, y, about, experts, followers)[0] - lm.gradients(lm.shaped(w - step), x, y, about, experts, followers)[0]) / 2e-5
         assert math.isclose(slope, lm.flat(g)[k], rel_tol=1e-3, abs_tol=1e-7)
-    model = lm.Model(w, vectors, own, experts)
+    model = lm.Model(w, vectors, own, experts, followers)
     texts = [rng.integers(0, size, n) for n in (2, 17, 18, 60)]
     got = model.logs(np.concatenate(texts), np.array([len(t) for t in texts]))
     want = []
@@ -266,5 +291,6 @@ def test_lm_gradients_and_scoring():
             s = np.array([model.q[t[i]] @ model.k[u] + model.far[i % lm.BLOCK, lm.BLOCK + i % lm.BLOCK - (len(seen) - 1 - j)] for j, u in enumerate(seen)])
             a = np.exp(s) / np.exp(s).sum()
             z = np.exp((a @ model.v[seen]) @ model.c + model.gate[t[i]])
-            want.append(np.log10(z @ model.experts[t[i + 1]] / z.sum()))
+            share = np.append(model.experts[t[i + 1]], followers.share(t[[i]], t[[i + 1]]))
+            want.append(np.log10(z @ share / z.sum()))
     assert np.allclose(got, want, atol=1e-4)
