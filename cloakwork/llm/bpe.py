@@ -104,7 +104,7 @@ class Codec:
         left, right, merged = (pa.array(c, pa.int32()) for c in zip(*merges, strict=True)) if merges else [pa.array([], pa.int32())] * 3
         self.fill("merges", l=left, r=right, merged=merged)
         self.fill("vocabulary", id=pa.array(ranks.values(), pa.int32()), h=pa.array([t.hex() for t in ranks]))
-        self.words = Pool()
+        self.words, self.older = Pool(), Pool()
 
     def fill(self, name: str, **columns: pa.Array) -> None:
         self.db.register("given", pa.table(columns))
@@ -143,14 +143,17 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many each text has."""
-        if len(self.words.at) > self.keep:
-            self.words = Pool()
+        if len(self.words.at) > self.keep // 2:  # words that come again before the next turn move on, the others are forgotten
+            self.older, self.words = self.words, Pool()
         split = list(map(self.find, texts))
         n = np.fromiter(map(len, split), np.int64, len(split))
         words = list(chain.from_iterable(split))
         found = list(map(self.words.at.get, words))
         odd = [i for i, k in enumerate(found) if k is None]
         new = list(dict.fromkeys(map(words.__getitem__, odd)))
+        if again := [w for w in new if w in self.older.at]:
+            self.words.add(again, *self.older.spell(np.array([self.older.at[w] for w in again], np.int64)))
+            new = [w for w in new if w not in self.older.at]
         for k in range(0, len(new), 100_000):
             self.learn(new[k : k + 100_000])
         for i in odd:

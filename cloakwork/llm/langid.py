@@ -15,6 +15,7 @@ from .common import blocks, sums, table
 
 LETTER = regex.compile(r"\p{L}")
 MAX_LANGUAGES = 256
+BLOCK_BYTES = 1 << 19  # of texts at once; n-grams take some 100 bytes for each
 
 
 class Model:
@@ -49,7 +50,7 @@ def grams(texts: list[bytes | None], n_buckets: int, orders: tuple[int, ...]) ->
 def _count(n_buckets: int, orders: tuple[int, ...]):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
-        for langs, texts in blocks(batches):
+        for langs, texts in blocks(batches, BLOCK_BYTES):
             for lang in set(langs):
                 own = [t for k, t in zip(langs, texts, strict=True) if k == lang]
                 total[lang] = total.get(lang, 0) + np.bincount(grams(own, n_buckets, orders)[0], minlength=n_buckets)
@@ -80,7 +81,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", n
 def _score(model, id_names: list[str], sharpness: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for ids, texts in blocks(batches, 1 << 20):
+        for ids, texts in blocks(batches, BLOCK_BYTES):
             letters = [bool(t) and LETTER.search(t.decode("utf-8", "replace")) is not None for t in texts]
             best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             if m.languages:
