@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql import functions as F
@@ -46,21 +48,34 @@ def redact_command(argv: Column) -> Column:
     return F.aggregate(argv, start, step, lambda s: s["out"])
 
 
+def _safe(events: DataFrame) -> DataFrame:
+    return events.withColumns({"command": redact_command(F.col("command")), "time": F.coalesce("time", F.current_timestamp())})
+
+
 def append_log(events: DataFrame, path: str) -> None:
     """Append events to the log as JSON lines; their commands are redacted and a missing time is now."""
-    events.withColumns({"command": redact_command(F.col("command")), "time": F.coalesce("time", F.current_timestamp())}).write.mode("append").json(path)
+    _safe(events).write.mode("append").json(path)
+
+
+def write_batch(events: DataFrame, path: str, stream: str, number: int) -> None:
+    """Write batch `number` of a stream to the log; the same batch once more replaces it, so its events count once."""
+    name = hashlib.sha256(stream.encode()).hexdigest()[:16]
+    _safe(events).write.mode("overwrite").json(f"{path.rstrip('/')}/stream-{name}/batch-{number}")
 
 
 def log_stream(events: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes") -> StreamingQuery:
-    """Append a stream of events (event_id, time, ...) to the log; an event that comes again within `delay` is written once."""
+    """Append a stream of events (event_id, time, ...) to the log; an event that comes again within `delay` is written once.
+
+    A batch has a folder of its own, named by its number and the stream's checkpoint, so that one that is run again after a
+    failure writes over what it wrote before."""
     once = events.withWatermark("time", delay).dropDuplicatesWithinWatermark(["event_id"])
-    write = lambda batch, _: append_log(batch.drop("event_id"), path)
+    write = lambda batch, number: write_batch(batch.drop("event_id"), path, checkpoint, number)
     return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """The log without damaged lines."""
-    return spark.read.schema(LOG_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    return spark.read.schema(LOG_SCHEMA).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(path)
 
 
 def histogram(decisions: DataFrame) -> DataFrame:

@@ -26,6 +26,19 @@ CREDENTIAL_FILES = [
     (".envrc", r"(?:\A|/)\.envrc\z", r"(?i)^\s*export\s+\w*(?:SECRET|TOKEN|PASSWORD|PASSWD|API_KEY|PRIVATE_KEY)\w*\s*=\s*(\S+)"),
     ("terraform variables", r"(?:\A|/)(?:terraform\.tfvars|[^/]*\.auto\.tfvars)\z", r"(?i)^\s*\w*(?:secret|token|password|private_key|access_key)\w*\s*=\s*\"([^\"]+)\""),
 ]
+#: What to do about each kind.
+ADVICE = {
+    ".npmrc": "npm reads it: veil the line, so that a variable stands there, or revoke the token",
+    ".netrc": "its readers expand nothing: keep the login in a helper of the program that needs it",
+    ".yarnrc.yml": "yarn expands variables: name one in place of the value",
+    ".pypirc": "keep the index password in a keyring or a variable",
+    ".pgpass": "its reader expands nothing: give the connection by a variable",
+    ".git-credentials": "let a credential helper keep the password",
+    "docker config": "let a credential helper keep the login",
+    "aws credentials": "use a role, or a profile that asks a process for its keys",
+    ".envrc": "move the value to a dotenv file, which can be veiled",
+    "terraform variables": "give the value by a TF_VAR_ variable",
+}
 PLACEHOLDER = r"\$\{[^}]*\}|\$[A-Za-z_][A-Za-z0-9_]*|sv://|<[^>]*>|xxx+|\.\.\.|CHANGEME|YOUR_"
 LARGEST = 1 << 20
 
@@ -109,9 +122,10 @@ def credential_lines(files: DataFrame, largest: int = LARGEST) -> DataFrame:
 
 
 def find_uncovered(files: DataFrame, planned: DataFrame) -> DataFrame:
-    """(repo, path, kind, lines): credential lines that no row of `planned` (repo, path, line_no) takes care of."""
+    """(repo, path, kind, lines, advice): credential lines that no row of `planned` (repo, path, line_no) takes care of."""
     left = credential_lines(files).join(planned.select("repo", "path", "line_no"), ["repo", "path", "line_no"], "left_anti")
-    return left.groupBy("repo", "path", "kind").agg(F.array_join(F.sort_array(F.collect_list("line_no")), ",").alias("lines"))
+    advice = F.create_map(*(F.lit(x) for pair in ADVICE.items() for x in pair))[F.col("kind")]
+    return left.groupBy("repo", "path", "kind").agg(F.array_join(F.sort_array(F.collect_list("line_no")), ",").alias("lines")).withColumn("advice", advice)
 
 
 def guard(texts: DataFrame, allowed: DataFrame) -> DataFrame:

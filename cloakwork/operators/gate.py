@@ -5,6 +5,7 @@ from __future__ import annotations
 import tomllib
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -96,22 +97,72 @@ ADVICE = {
     "no-use": "run it in a terminal of your own",
     "inline-code": "put the code in a file and run the file",
     "not-allowed": "add it to the allow list of the policy",
+    "invalid-policy": "mend the policy file of the project",
 }
 
 
-def check_policy(commands: DataFrame, argv: str = "argv", policy: Policy | None = None) -> DataFrame:
-    """`commands` with `program`, `refusal` (deny-list, no-use, inline-code, not-allowed, or null) and `advice`."""
-    policy = policy or Policy()
+def read_argv(commands: DataFrame, argv: str) -> DataFrame:
+    """`commands` with `program`, the base name of its first word, and `_heads`, what its flags begin with, up to `--`."""
     program = F.regexp_replace(F.regexp_replace(F.regexp_extract(F.get(argv, 0), r"[^/\\]*\z", 0), r"\.exe\z", ""), r"\.EXE\z", "")
     heads = F.transform(F.slice(argv, 2, F.greatest(F.size(argv), F.lit(1))), lambda a: F.when(F.locate("=", a) > 1, F.split_part(a, F.lit("="), F.lit(1))).otherwise(a))
     stop = F.array_position(F.col(argv), "--")
     heads = F.when(stop > 1, F.slice(heads, 1, (stop - 2).cast("int"))).otherwise(heads)
-    flags = [F.when((F.col("program") == p) & F.arrays_overlap(heads, F.array(*map(F.lit, f))), "inline-code") for p, f in policy.inline_code.items() if f]
+    return commands.withColumns({"program": program, "_heads": heads})
+
+
+def advised(ruled: DataFrame) -> DataFrame:
+    return ruled.withColumn("advice", F.create_map(*(F.lit(x) for pair in ADVICE.items() for x in pair))[F.col("refusal")])
+
+
+def check_policy(commands: DataFrame, argv: str = "argv", policy: Policy | None = None) -> DataFrame:
+    """`commands` with `program`, `refusal` (deny-list, no-use, inline-code, not-allowed, or null) and `advice`."""
+    policy = policy or Policy()
+    flags = [F.when((F.col("program") == p) & F.arrays_overlap("_heads", F.array(*map(F.lit, f))), "inline-code") for p, f in policy.inline_code.items() if f]
     none = [p for p, f in policy.inline_code.items() if not f]
     allowed = F.when(~F.col("program").isin(*policy.allow), "not-allowed") if policy.allow else F.lit(None).cast("string")
     refusal = F.coalesce(F.when(F.col("program").isin(*policy.deny), "deny-list"), F.when(F.col("program").isin(*none), "no-use"), *flags, allowed)
-    ruled = commands.withColumn("program", program).withColumn("refusal", F.when((F.size(argv) > 0) & F.lit(policy.enforce), refusal))
-    return ruled.withColumn("advice", F.create_map(*(F.lit(x) for pair in ADVICE.items() for x in pair))[F.col("refusal")])
+    ruled = read_argv(commands, argv).withColumn("refusal", F.when((F.size(argv) > 0) & F.lit(policy.enforce), refusal)).drop("_heads")
+    return advised(ruled)
+
+
+COMPILED = "repo string, state string, allows boolean, rules array<struct<program: string, deny: boolean, allow: boolean, no_use: boolean, flags: array<string>>>"
+
+
+def compiled(text: str | None) -> tuple[str, bool, list[tuple]]:
+    """(state, whether there is an allow list, a rule for each program that it names) of a policy text."""
+    try:
+        policy = load_policy(text)
+    except (ValueError, TypeError, AttributeError):
+        return "invalid", False, []
+    programs = sorted({*policy.allow, *policy.deny, *policy.inline_code})
+    rules = [(p, p in policy.deny, p in policy.allow, policy.inline_code.get(p) == (), list(policy.inline_code.get(p, ()))) for p in programs]
+    return "on" if policy.enforce else "off", bool(policy.allow), rules
+
+
+def check_project_policies(commands: DataFrame, policies: DataFrame, argv: str = "argv") -> DataFrame:
+    """`commands` (repo, argv, ...) with `program`, `refusal` and `advice` by the policy of their repo; (repo, text) in `policies`.
+
+    A repo without a row, or with a null text, has the default policy; under a text that can't be read every command is
+    refused. Texts are read in tasks, one small row a repo; commands meet the rules in joins by repo and program, so that
+    neither the number of repos nor that of programs makes the plan larger."""
+
+    def read(batches):
+        for frame in batches:
+            rows = [(r, *compiled(None if t is None or t != t else t)) for r, t in zip(frame["repo"], frame["text"], strict=True)]
+            yield pd.DataFrame(rows, columns=["repo", "state", "allows", "rules"])
+
+    own = policies.where("repo is not null").select("repo", "text").mapInPandas(read, COMPILED)
+    known = own.select("repo", F.lit(True).alias("_own"), "state", "allows")
+    default = commands.sparkSession.createDataFrame([("", *compiled(None))], COMPILED)
+    every = own.withColumn("_own", F.lit(True)).unionByName(default.withColumn("_own", F.lit(False)))
+    rules = every.select("_own", F.col("repo").alias("_policy"), F.explode("rules").alias("r")).select("_own", "_policy", "r.*")
+    asked = read_argv(commands, argv).join(known, "repo", "left").withColumn("_own", F.coalesce("_own", F.lit(False))).withColumn("_policy", F.when(F.col("_own"), F.col("repo")).otherwise(""))
+    met = asked.join(rules, ["_own", "_policy", "program"], "left")
+    refusal = (
+        F.when(F.size(argv) <= 0, None).when(F.col("state") == "invalid", "invalid-policy").when(F.col("state") == "off", None).when(F.col("deny"), "deny-list").when(F.col("no_use"), "no-use")
+        .when(F.arrays_overlap("_heads", "flags"), "inline-code").when(F.col("allows") & ~F.coalesce("allow", F.lit(False)), "not-allowed")
+    )
+    return advised(met.withColumn("refusal", refusal).select(*commands.columns, "program", "refusal"))
 
 
 def human_only(requests: DataFrame, callers: DataFrame) -> tuple[DataFrame, DataFrame]:

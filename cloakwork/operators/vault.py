@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,41 +63,89 @@ def differences(want: DataFrame, got: DataFrame) -> DataFrame:
     return want.join(back, ["repo", "ref"], "left").where(~F.col("value").eqNullSafe(F.col("_got"))).select("repo", "ref")
 
 
-POINTERS = "seq long, version long"
+POINTERS = "seq long, version long, folder string"
+
+
+class Conflict(Exception):
+    """Another writer has moved the vault on since its base was read."""
 
 
-def _pointers(spark: SparkSession, root: str) -> tuple[int, int, int] | None:
-    """(last seq, current version, greatest version), or None for a vault that was never written."""
+def _pointers(spark: SparkSession, root: str) -> DataFrame | None:
+    """(seq, version, folder) of each commit, or None for a vault that was never written."""
     try:
-        log = spark.read.schema(POINTERS).json(f"{root.rstrip('/')}/pointers")
+        return spark.read.schema(POINTERS).json(f"{root.rstrip('/')}/pointers")
     except AnalysisException:  # there is no such folder yet
         return None
-    row = log.agg(F.max("seq"), F.max_by("version", "seq"), F.max("version")).first()
-    return None if row[0] is None else tuple(row)
 
 
-def current_version(spark: SparkSession, root: str) -> int | None:
-    """The version that the last pointer names; None for a vault that was never written."""
-    found = _pointers(spark, root)
-    return found and found[1]
+def _last(spark: SparkSession, root: str) -> tuple[int, int | None, int]:
+    """(last seq, current version, greatest version); zeros and None for a vault that was never written."""
+    log = _pointers(spark, root)
+    row = log.agg(F.max("seq"), F.max_by("version", "seq"), F.max("version")).first() if log is not None else (None, None, None)
+    return row[0] or 0, row[1], row[2] or 0
 
 
-def _point(spark: SparkSession, root: str, version: int) -> None:
-    found = _pointers(spark, root)
-    spark.createDataFrame([(found[0] + 1 if found else 1, version)], POINTERS).coalesce(1).write.mode("append").json(f"{root.rstrip('/')}/pointers")
+def current_version(spark: SparkSession, root: str) -> int | None:
+    """The version that the last pointer names; None for a vault that was never written."""
+    return _last(spark, root)[1]
 
 
-def write_version(vault: DataFrame, root: str) -> int:
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a file that must not be there yet, in any store that Spark writes to; False if it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, False)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in str(error.java_exception.getClass().getName()):
+            return False
+        raise
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True
+
+
+def _commit(spark: SparkSession, root: str, version: int | None, folder: str | None, base: int | None, checked: bool) -> int:
+    """Make a folder the current version by creating the next pointer file, and give the version's number.
+
+    The file's name is the number of the commit, so of two writers one finds it there. That one tries the next number; if it
+    is `checked`, only while `base` is still the current version."""
+    skipped = waits = 0
+    while True:
+        last, current, greatest = _last(spark, root)
+        if checked and current != base:
+            raise Conflict(f"version {current} is not {base}")
+        seq, number = last + 1 + skipped, version or greatest + 1 + skipped
+        if _create(spark, f"{root}/pointers/{seq:012d}.json", json.dumps({"seq": seq, "version": number, "folder": folder}) + "\n"):
+            return number
+        if _last(spark, root)[0] == last:  # the other's file holds nothing yet
+            time.sleep(0.2)
+            waits += 1
+            if waits % 25 == 0:  # nor will it: that writer is gone, and its numbers with it
+                skipped += 1
+
+
+def write_version(vault: DataFrame, root: str, base: int | None = None, checked: bool = False) -> int:
     """Write (repo, ref, value) as the next version of the vault under `root`; older versions stay as they are.
 
-    Versions are never changed, and one writer at a time moves the pointer, last of all, so a job that dies leaves the vault as it was."""
+    Versions are never changed: each writer has a folder of its own, and a pointer is created last of all, so a job that dies
+    leaves the vault as it was and writers at the same time get different numbers. With `checked`, a vault whose current
+    version is no longer `base` raises Conflict and stays as it is; `update_vault` tries again then. The pointer's creation is
+    as atomic as that of a file in its store is (HDFS: fully)."""
     spark = vault.sparkSession
-    root = root.rstrip("/")
-    found = _pointers(spark, root)
-    version = found[2] + 1 if found else 1
-    unique(vault).write.mode("overwrite").parquet(f"{root}/version={version}")
-    _point(spark, root, version)
-    return version
+    root, folder = root.rstrip("/"), f"version-{uuid.uuid4().hex}"
+    unique(vault).write.parquet(f"{root}/{folder}")
+    return _commit(spark, root, None, folder, base, checked)
+
+
+def update_vault(spark: SparkSession, root: str, change: Callable[[DataFrame], DataFrame], tries: int = 10) -> int:
+    """Write what `change` makes of the current vault; if another writer was faster, of what that one wrote."""
+    for _ in range(tries):
+        base = current_version(spark, root)
+        try:
+            return write_version(change(read_vault(spark, root, base)), root, base, True)
+        except Conflict:
+            continue
+    raise Conflict(f"no turn in {tries} tries")
 
 
 def read_vault(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
@@ -99,12 +153,20 @@ def read_vault(spark: SparkSession, root: str, version: int | None = None) -> Da
     version = version if version is not None else current_version(spark, root)
     if version is None:
         return spark.createDataFrame([], "repo string, ref string, value string")
-    return spark.read.schema("repo string, ref string, value string").parquet(f"{root.rstrip('/')}/version={version}")
+    return spark.read.schema("repo string, ref string, value string").parquet(f"{root.rstrip('/')}/{_folder(spark, root, version)}")
+
+
+def _folder(spark: SparkSession, root: str, version: int) -> str:
+    log = _pointers(spark, root)
+    row = log.where(F.col("version") == version).agg(F.min_by("folder", "seq")).first() if log is not None else (None,)
+    if row[0] is None:
+        raise ValueError(f"the vault has no version {version}")
+    return row[0]
 
 
 def rollback(spark: SparkSession, root: str, version: int) -> None:
     """Make an older version the current one again."""
-    _point(spark, root, version)
+    _commit(spark, root.rstrip("/"), version, _folder(spark, root, version), None, False)
 
 
 def used_refs(texts: DataFrame, text: str = "text") -> DataFrame:

@@ -113,6 +113,14 @@ def discover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.discover_files(D.trees(spark, sf_dir)).select("repo", "path", "kind")
 
 
+def project_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the policy of each project says to each command, and what to do about it."""
+    commands = D.commands(spark, sf_dir).withColumn("repo", (F.col("event_id") % 20).cast("string"))
+    which = F.when(F.col("r") % 5 == 1, "[agent]\nenforce = false").when(F.col("r") % 5 == 2, '[agent]\nallow = ["git"]').when(F.col("r") % 5 == 3, '[agent]\ndeny = ["git"]\n[agent.inline_code]\nperl = []\nnode = ["app.js"]').when(F.col("r") % 5 == 4, "[agent")
+    policies = D.read(spark, sf_dir, "events").select((F.col("event_id") % 20).alias("r")).distinct().where("r % 5 <> 0").select(F.col("r").cast("string").alias("repo"), which.alias("text"))
+    return G.check_project_policies(commands, policies).select("event_id", "repo", "program", "refusal", "advice")
+
+
 def uncovered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = D.trees(spark, sf_dir).where("path = 'a/.npmrc' and cast(repo as int) % 20 = 1").selectExpr("repo", "path", "2L as line_no")
     return T.find_uncovered(D.trees(spark, sf_dir), planned)
@@ -397,7 +405,7 @@ def suspect_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAGSHIP = "scan_rules"
-QUERIES = {f.__name__: f for f in (scan_rules, scan_candidates, shape_profile, name_segments, classify_entries, plan_counts, vault_chain, vault_dangling, vault_orphans, vault_resolve, last_assignments, duplicate_refs, detect_caller, check_policy, redact_logs, redact_hits, leftovers, discover_files, uncovered_lines, load_order, last_loaded, unread_files, ref_usage, guard_texts, decision_histogram, redact_commands, dotenv_records, veil_entries, miss_rate, open_rates, seen_share, label_counts, label_faults, decision_changes, health, health_verdicts, resolved_environment, missing_refs, skipped_names, collisions, renamed_refs, vault_refs, environment_vault, vault_upsert, vault_delete, vault_differences, npmrc_records, npmrc_veiled, npmrc_restored, collision_round_trip, collision_vault, plan_report, projection_lines, backup_manifest, veil_summary, finding_kinds, linked_files, policy_states, refused_requests, gate_commands, stream_redacted, stream_hits, skipped_short, suspect_reasons)}
+QUERIES = {f.__name__: f for f in (scan_rules, scan_candidates, shape_profile, name_segments, classify_entries, plan_counts, vault_chain, vault_dangling, vault_orphans, vault_resolve, last_assignments, duplicate_refs, detect_caller, check_policy, project_policies, redact_logs, redact_hits, leftovers, discover_files, uncovered_lines, load_order, last_loaded, unread_files, ref_usage, guard_texts, decision_histogram, redact_commands, dotenv_records, veil_entries, miss_rate, open_rates, seen_share, label_counts, label_faults, decision_changes, health, health_verdicts, resolved_environment, missing_refs, skipped_names, collisions, renamed_refs, vault_refs, environment_vault, vault_upsert, vault_delete, vault_differences, npmrc_records, npmrc_veiled, npmrc_restored, collision_round_trip, collision_vault, plan_report, projection_lines, backup_manifest, veil_summary, finding_kinds, linked_files, policy_states, refused_requests, gate_commands, stream_redacted, stream_hits, skipped_short, suspect_reasons)}
 
 SECRETS = D.SECRETS.format(s="varchar")
 LOGS = D.LOGS.format(s="varchar", forms=D.FORMS.format(b64="to_base64(encode(value))", q="\\\""), secrets=SECRETS)
@@ -410,6 +418,8 @@ PARTIAL = "('url-password', 'connection-string-password', 'bearer-token', 'url-p
 CLASSED = f"select *, case when want in {OPEN} then 'open' when want in {PARTIAL} then 'partial' else 'veiled' end as class, id % {D.N_BRANCHES} in {D.REVIEWED} as review from ({D.ENTRIES_SQL})"
 #: Secret parts by branch: place in the value, ref suffix, value.
 PARTS_TAKEN = [(2, 0, "_password", "substr(h, 1, 16)"), (3, 0, "_password", "substr(h, 1, 10)"), (4, 0, "_token", "h"), (5, 0, "_password", "substr(h, 1, 9)"), (5, 1, "_param", "substr(h, 5, 12)"), (6, 0, "", "substr(value, 5)"), (15, 0, "", "substr(value, 6)"), (22, 0, "_password", "substr(value, 10)"), (26, 0, "_param", "substr(h, 5, 12)"), (26, 1, "_param2", "substr(h, 17, 8)"), *((i, 0, "", "value") for i in (7, 9, 10, 16, 19))]
+DEFAULT_REFUSALS = "[" + ", ".join(f"'{c[2]}'" if c[2] else "null" for c in D.COMMANDS) + "]"
+ADVICE_SQL = "case kind " + " ".join(f"when '{k}' then '{v}'" for k, v in T.ADVICE.items()) + " end"
 CLAIMS = " union all ".join(f"select repo, path, key, record_no, {n} as span_no, lower(key) || '{suffix}' as ref, {value} as value from (select *, md5(concat('e', id::varchar)) as h from ({D.ENTRIES_SQL})) where id % {D.N_BRANCHES} = {i}" for i, n, suffix, value in PARTS_TAKEN)
 CHARSET = "case when value = '' then 'empty' when regexp_full_match(value, '[0-9a-fA-F]+') then 'hex' when regexp_full_match(value, '[0-9A-Za-z]+') then 'alnum' when regexp_full_match(value, '[0-9A-Za-z+/=_\\-]+') then 'base64' else 'ascii' end"
 CALLERS = f"""select session, coalesce(case when own_odd then 'agent' when own then 'human' when ci then 'ci' when agent is not null then 'agent' when session % 2 = 0 then 'human' end, 'agent') as caller,
@@ -478,7 +488,12 @@ left join ({CHAIN}) x on x.repo = t.repo and x.ref = r1 left join ({CHAIN}) y on
     "redact_hits": f"select repo, ref, 2 * count(*) as n from ({LOGS}) group by repo, ref",
     "leftovers": f"select repo, id as path, ref, 1::bigint as line_no, 'warn' as level from ({LOGS})",
     "discover_files": f"select repo, {D.PATHS_SQL} as path, case when id % 10 = 1 then 'npmrc' else 'dotenv' end as kind from ({PARTS}) where id % 10 in (1, 6, 7, 9)",
-    "uncovered_lines": f"select repo, path, case id % 10 when 0 then '.netrc' when 1 then '.npmrc' when 3 then 'aws credentials' else '.envrc' end as kind, '2' as lines from (select *, {D.PATHS_SQL} as path from ({PARTS})) where id % 10 in (0, 1, 3, 5) and id % 20 <> 1",
+    "project_policies": f"""with c as (select event_id, (event_id % 20)::varchar as repo, (event_id % 9)::int as c, (event_id % 5)::int as p from events),
+r as (select event_id, repo, {[x[1] for x in D.COMMANDS]}[c + 1] as program, case p when 0 then {DEFAULT_REFUSALS}[c + 1] when 4 then 'invalid-policy'
+  when 2 then ['deny-list', 'deny-list', 'inline-code', 'not-allowed', 'inline-code', 'inline-code', 'no-use', 'not-allowed', null][c + 1]
+  when 3 then [null, null, 'inline-code', 'inline-code', 'inline-code', 'no-use', 'no-use', null, 'deny-list'][c + 1] end as refusal from c)
+select *, {" ".join(["case refusal", *(f"when '{k}' then '{v}'" for k, v in G.ADVICE.items())])} end as advice from r""",
+    "uncovered_lines": f"select *, {ADVICE_SQL} as advice from (select repo, path, case id % 10 when 0 then '.netrc' when 1 then '.npmrc' when 3 then 'aws credentials' else '.envrc' end as kind, '2' as lines from (select *, {D.PATHS_SQL} as path from ({PARTS})) where id % 10 in (0, 1, 3, 5) and id % 20 <> 1)",
     "load_order": f"select repo, string_agg(distinct path, ' ' order by path) as files from ({D.ENTRIES_SQL}) group by repo",
     "last_loaded": f"select repo, key, path, record_no from (select *, row_number() over (partition by repo, key order by path desc, record_no desc) as rn from ({D.ENTRIES_SQL})) where rn = 1",
     "unread_files": f"select distinct repo, path from ({TEXTS}) where path = 'app/.env'",

@@ -1,6 +1,7 @@
 """Vault versions, logs, policies, files of a folder, veiling and restoring whole files, and streams that pause or lose chunks."""
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,6 +38,43 @@ def test_vault_versions(spark, tmp_path):
         V.upsert(one, spark.createDataFrame([("r", "A B", "1")], VAULT))
 
 
+def test_writers_at_once_lose_nothing(spark, tmp_path):
+    root = str(tmp_path / "vault")
+    row = lambda k: spark.createDataFrame([("r", f"k{k}", str(k))], VAULT)
+    V.write_version(row(0), root)
+    with ThreadPoolExecutor(3) as pool:
+        versions = list(pool.map(lambda k: V.update_vault(spark, root, lambda old: V.upsert(old, row(k))), (1, 2, 3)))
+    assert sorted(versions) == [2, 3, 4] and {r.ref for r in V.read_vault(spark, root).collect()} == {"k0", "k1", "k2", "k3"}
+    with pytest.raises(V.Conflict):
+        V.write_version(row(9), root, 1, True)
+    with pytest.raises(ValueError):
+        V.rollback(spark, root, 99)
+    (tmp_path / "vault" / "pointers" / f"{5:012d}.json").touch()  # a writer died between creating and writing
+    assert V.write_version(row(7), root) == 6 and [r.ref for r in V.read_vault(spark, root).collect()] == ["k7"]
+
+
+def test_replayed_batch_counts_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([("run", ["x", "--token", "abc"], None)], "event string, command array<string>, time timestamp")
+    A.append_log(rows, path)
+    for stream, number in (("a", 0), ("a", 0), ("a", 1), ("b", 0)):
+        A.write_batch(rows, path, stream, number)
+    assert A.read_log(spark, path).count() == 4
+
+
+def test_policies_of_projects(spark):
+    texts = {"off": "[agent]\nenforce = false", "list": '[agent]\nallow = ["git"]', "own": '[agent]\ndeny = []\n[agent.inline_code]\nawk = ["-f"]\nsed = []', "broken": "[agent", "null": None}
+    argvs = [["bash"], ["git"], ["awk", "-f=x"], ["sed"], ["awk", "--", "-f"], []]
+    commands = spark.createDataFrame([(r, i, a) for r in [*texts, "none", None] for i, a in enumerate(argvs)], "repo string, i int, argv array<string>")
+    rows = G.check_project_policies(commands, spark.createDataFrame(list(texts.items()), "repo string, text string")).collect()
+    got: dict = {}
+    for r in sorted(rows, key=lambda r: r.i):
+        got.setdefault(r.repo, []).append(r.refusal)
+        assert (r.advice is None) == (r.refusal is None)
+    default = ["deny-list", None, None, None, None, None]
+    assert got == {"off": [None] * 6, "list": ["deny-list", None, "not-allowed", "not-allowed", "not-allowed", None], "own": [None, None, "inline-code", "no-use", None, None], "broken": ["invalid-policy"] * 5 + [None], "null": default, "none": default, None: default}
+
+
 def test_log(spark, tmp_path):
     path = str(tmp_path / "log")
     rows = spark.createDataFrame([("run", ["x", "--token", "abc"], None), ("run", ["ls"], "2026-01-01 00:00:00")], "event string, command array<string>, time string").withColumn("time", F.to_timestamp("time"))
