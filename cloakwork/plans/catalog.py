@@ -390,8 +390,12 @@ def stream_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits of each session's streams."""
-    return X.running_hits(_streamed(spark, sf_dir), merge=True)
+    """Hits of each session, whose two outputs both print the log, counted as they arrive."""
+    folder = shared_folder(spark, "stream")
+    outputs = F.explode(F.array(F.lit(1), F.lit(2))).alias("fd")
+    chunks = _chunks(spark, sf_dir).select(F.substring_index("stream_id", "/", 1).alias("session"), outputs, "seq", "chunk", "done")
+    stream = X.hits_stream(N.as_stream(chunks, folder), R.build_needles(D.secrets(spark, sf_dir)))
+    return N.latest(stream, folder, ["stream_id", "ref"])
 
 
 def skipped_short(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -558,7 +562,7 @@ select repo, sum(n)::bigint as n_refs, any_value(n_values) as n_values from r jo
     "refused_requests": f"select event_id, caller from events join ({CALLERS}) c on c.session = event_id % 9973 where caller <> 'human' and event_id % 3 <> 0",
     "gate_commands": f"select caller, reason, count(*) as n from (select c.caller, {REFUSAL} as reason from events join ({CALLERS}) c on c.session = event_id % 9973 where c.caller = 'agent') where reason is not null group by caller, reason",
     "stream_redacted": f"select id || '/1' as stream_id, concat('café sv://', ref, case when form = 1 then right(to_base64(encode(value)), 4) else '' end, '; twice sv://', ref, ' end') as text, 2::bigint as n_hits from ({LOGS})",
-    "stream_hits": f"select id as stream_id, ref, 2::bigint as n from ({LOGS})",
+    "stream_hits": f"select id as stream_id, ref, 4::bigint as n from ({LOGS})",
     "skipped_short": f"select distinct repo, ref from ({VAULT}) where strlen(value) < 6",
     "suspect_reasons": f"""select id, case when id % 27 in (6, 7) or (id % 27 in (16, 25) and regexp_matches(value, '^(AKIA|ASIA|AIza|SK|eyJ|shp|sq0|xox)')) then 'vendor-start'
   when id % 27 in (14, 16, 25) then 'long' when id % 27 = 24 then 'mixed-case-digits' end as reason from ({D.ENTRIES_SQL})""",

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.audit import redact_command
 from ..operators.gate import check_policy, detect_caller
@@ -18,7 +17,7 @@ from ..operators.needles import Matcher, shown
 #: More needles than this are refused: they travel with the code of each task. Stored texts go through `operators.redact`.
 MOST_NEEDLES = 100_000
 OUT = "stream_id string, from_seq long, text string, refs array<string>, gap_to long"
-STATE = "next long, pending string, later string, ended boolean"
+HITS = "stream_id string, ref string, n long"
 WAITING = 1 << 20  # characters of chunks that wait for an earlier one
 
 
@@ -72,6 +71,104 @@ def as_text(latin: str) -> str:
     return latin.encode("latin-1", "replace").decode("utf-8", "replace")
 
 
+def advance(known: Needles, following: int, pending: str, waiting: dict[int, tuple[str, bool]], idle: bool, most: int) -> tuple[str, list[str], int, str, bool, int | None]:
+    """(text to let out, refs shown in it, the next seq, what waits, whether the end was reached, the seq after a gap): takes
+    from `waiting` what follows; where that holds more than `most` characters, the missing chunks are given up."""
+    done, out, refs, gap = False, [], [], None
+    while True:
+        while following in waiting and not done:
+            part, done = waiting.pop(following)
+            pending, following = pending + part, following + 1
+        if done or sum(len(v[0]) + 1 for v in waiting.values()) <= most:
+            break
+        text, marks, _ = known.release(pending, True)
+        out, refs, pending, following = [*out, text], [*refs, *marks], "", min(waiting)
+        gap = following
+    text, marks, pending = known.release(pending, done, idle)
+    # a character's bytes stay together
+    while text and not done and pending and 0x80 <= ord(pending[0]) < 0xC0:
+        text, pending = text[:-1], text[-1] + pending
+    return "".join([*out, text]), refs + marks, following, pending, done, gap
+
+
+class Redactor(StatefulProcessor):
+    """The streams (`part`) of a key: what each lets out, or with `counts` how often each ref was shown in all of them so far.
+
+    State: for each stream the next seq and what waits, one row for each chunk that came too early, one for each ref counted."""
+
+    def __init__(self, needles: list[tuple[str, str]], idle_ms: int | None, most: int, counts: bool) -> None:
+        self.needles, self.idle_ms, self.most, self.counts = needles, idle_ms, most, counts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.known = handle, Needles(self.needles)
+        self.heads = handle.getMapState("heads", "part string", "next long, pending string, ended boolean")
+        self.early = handle.getMapState("early", "part string, seq long", "chunk string, last boolean")
+        self.hits = handle.getMapState("hits", "ref string", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        fresh: dict[str, dict[int, tuple[str, bool]]] = {}
+        for frame in rows:
+            for part, seq, chunk, last in zip(frame["part"], frame["seq"], frame["chunk"], frame["done"], strict=True):
+                fresh.setdefault(part, {})[int(seq)] = (("" if chunk is None else chunk).encode().decode("latin-1"), bool(last))
+        if self.idle_ms:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield from self._let_out(key, fresh, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        heads = {k[0]: v for k, v in self.heads.iterator()}
+        if all(ended for _, _, ended in heads.values()):
+            for state in (self.heads, self.early, self.hits):
+                state.clear()
+        else:
+            yield from self._let_out(key, {part: {} for part, (_, _, ended) in heads.items() if not ended}, True)
+
+    def _let_out(self, key, fresh: dict[str, dict[int, tuple[str, bool]]], idle: bool) -> Iterator[pd.DataFrame]:
+        early: dict[str, dict[int, tuple[str, bool]]] = {}
+        for (part, seq), chunk in self.early.iterator():
+            early.setdefault(part, {})[seq] = tuple(chunk)
+        out, counted = [], {}
+        for part, chunks in fresh.items():
+            following, pending, ended = self.heads.getValue((part,)) if self.heads.containsKey((part,)) else (0, "", False)
+            if ended:
+                continue
+            first, stored = following, early.get(part, {})
+            waiting = stored | {k: v for k, v in chunks.items() if k >= following}
+            text, refs, following, pending, done, gap = advance(self.known, following, pending, waiting, idle, self.most)
+            for seq in stored:
+                if done or seq not in waiting:
+                    self.early.removeKey((part, seq))
+            if not done:
+                for seq in waiting.keys() - stored.keys():
+                    self.early.updateValue((part, seq), waiting[seq])
+            if done and not (self.idle_ms or self.counts):
+                self.heads.removeKey((part,))
+            else:
+                self.heads.updateValue((part,), (following, pending, done))
+            for ref in refs if self.counts else ():
+                counted[ref] = counted.get(ref, 0) + 1
+            out.append((part, first, as_text(text), refs, gap))
+        if not self.counts:
+            columns = dict(zip(("stream_id", "from_seq", "text", "refs", "gap_to"), zip(*out, strict=True), strict=True)) if out else {}
+            if out:
+                yield pd.DataFrame(columns | {"gap_to": pd.array(columns["gap_to"], dtype="Int64")})
+            return
+        for ref, n in counted.items():
+            counted[ref] = n + (self.hits.getValue((ref,))[0] if self.hits.containsKey((ref,)) else 0)
+            self.hits.updateValue((ref,), (counted[ref],))
+        if counted:
+            yield pd.DataFrame({"stream_id": [key[0]] * len(counted), "ref": list(counted), "n": list(counted.values())})
+
+
+def _processed(chunks: DataFrame, needles: DataFrame, idle_ms: int | None, most: int, counts: bool) -> DataFrame:
+    rows = needles.select("pattern", "ref").limit(MOST_NEEDLES + 1).collect()
+    if len(rows) > MOST_NEEDLES:
+        raise ValueError("too many needles for a stream")
+    processor = Redactor([(r.pattern, r.ref) for r in rows], idle_ms, most, counts)
+    return chunks.groupBy("key").transformWithStateInPandas(processor, HITS if counts else OUT, "update" if counts else "append", "processingTime" if idle_ms else "none")
+
+
 def redact_stream(chunks: DataFrame, needles: DataFrame, idle_ms: int | None = None, waiting_chars: int = WAITING) -> DataFrame:
     """(stream_id, from_seq, text, refs, gap_to) from (stream_id, seq, chunk, done): what each batch lets out of each stream.
 
@@ -79,46 +176,15 @@ def redact_stream(chunks: DataFrame, needles: DataFrame, idle_ms: int | None = N
     goes out and the state goes too; after `idle_ms` without chunks, if given, all but what has begun to be a secret. All texts
     of a stream in order are what `operators.redact` makes of the whole. What waits is shorter than the longest needle and the
     run of secrets that it touches; chunks that wait for an earlier one hold `waiting_chars` at most, beyond which the missing
-    ones are given up: what came before ends there, and `gap_to` names the seq that goes on."""
-    rows = needles.select("pattern", "ref").limit(MOST_NEEDLES + 1).collect()
-    if len(rows) > MOST_NEEDLES:
-        raise ValueError("too many needles for a stream")
-    known = Needles((r.pattern, r.ref) for r in rows)
+    ones are given up: what came before ends there, and `gap_to` names the seq that goes on; chunks of a gap that come later
+    are left out. Starting the stream needs the state store of `run.STATE_STORE`; building the plan fetches the needles."""
+    return _processed(chunks.select(F.col("stream_id").alias("key"), F.col("stream_id").alias("part"), "seq", "chunk", "done"), needles, idle_ms, waiting_chars, False)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        following, pending, later, ended = state.get if state.exists else (0, "", "{}", False)
-        if ended and state.hasTimedOut:
-            state.remove()
-            return
-        first, waiting, idle = following, {int(k): v for k, v in json.loads(later).items()}, state.hasTimedOut
-        done, out, refs, gap = False, [], [], None
-        for frame in frames:
-            for seq, chunk, last in zip(frame["seq"], frame["chunk"], frame["done"], strict=True):
-                if seq >= following and not ended:
-                    waiting[int(seq)] = [("" if chunk is None else chunk).encode().decode("latin-1"), bool(last)]
-        while True:
-            while following in waiting and not done:
-                part, done = waiting.pop(following)
-                pending, following = pending + part, following + 1
-            if done or sum(len(v[0]) + 1 for v in waiting.values()) <= waiting_chars:
-                break
-            text, shown, _ = known.release(pending, True)
-            out, refs, pending, following = [*out, text], [*refs, *shown], "", min(waiting)
-            gap = following
-        text, shown, pending = known.release(pending, done, idle)
-        # a character's bytes stay together
-        while text and not done and pending and 0x80 <= ord(pending[0]) < 0xC0:
-            text, pending = text[:-1], text[-1] + pending
-        if done and not idle_ms:
-            state.remove()
-        else:
-            state.update((following, pending, "{}" if done else json.dumps(waiting), done or ended))
-            if idle_ms and not idle:
-                state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"stream_id": [key[0]], "from_seq": [first], "text": [as_text("".join([*out, text]))], "refs": [refs + shown], "gap_to": pd.array([gap], dtype="Int64")})
 
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    return chunks.select("stream_id", "seq", "chunk", "done").groupBy("stream_id").applyInPandasWithState(run, OUT, STATE, "append", timeout)
+def hits_stream(chunks: DataFrame, needles: DataFrame, waiting_chars: int = WAITING) -> DataFrame:
+    """(stream_id, ref, n) from (session, fd, seq, chunk, done), in update mode: how often each ref was shown so far in all the
+    outputs of a session, each of which is a stream of its own; `stream_id` is the session. No table stands in between."""
+    return _processed(chunks.select(F.col("session").cast("string").alias("key"), F.col("fd").cast("string").alias("part"), "seq", "chunk", "done"), needles, None, waiting_chars, True)
 
 
 def with_stream_id(chunks: DataFrame) -> DataFrame:

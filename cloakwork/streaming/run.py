@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def as_stream(rows: DataFrame, folder: str) -> DataFrame:
@@ -11,8 +16,38 @@ def as_stream(rows: DataFrame, folder: str) -> DataFrame:
     return rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/in")
 
 
+#: Streams with state of their own keep it in this store, which holds more than the memory of an executor.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """While a stream is started, the session names STATE_STORE; the stream keeps it, the session gets back what it had."""
+    before = spark.conf.get(STATE_STORE[0], None)
+    spark.conf.set(*STATE_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STATE_STORE[0]) if before is None else spark.conf.set(STATE_STORE[0], before)
+
+
 def run_available(stream: DataFrame, folder: str) -> DataFrame:
     """All rows that a stream gives now; its state and progress are below `folder`, so that a run that broke off goes on."""
-    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
-    query.awaitTermination()
+    with state_store(stream.sparkSession):
+        query = stream.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
+        query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def latest(stream: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """The last row of each key that a stream in update mode gives now; a batch's rows have a folder of their own, which the
+    same batch once more writes over."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+
+    with state_store(stream.sparkSession):
+        stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{folder}/out")
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")

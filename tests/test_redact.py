@@ -3,12 +3,14 @@
 import json
 import random
 import tempfile
+import time
 
 import pytest
 
 from cloakwork.operators import redact as R
 from cloakwork.operators.needles import Matcher
-from cloakwork.streaming.redact import Needles, redact_stream
+from cloakwork.streaming.redact import Needles, hits_stream, redact_stream
+from cloakwork.streaming.run import as_stream, latest, state_store
 
 VAULT = [("m", "a", "abcabcabc"), ("m", "b", "bcabca"), ("m", "c", "cabcabcab\\E."), ("m", "d", "naïve é"), ("m", "e", "tiny"), ("m", "f", "abcabcabc")]
 TEXTS = ["", "abcabcabcabc", "xx abcabcabc, bcabca", "cabcabcab\\E. end", "é naïve éé", "abcab", "tiny", "bcabcabcabcabcax"]
@@ -110,9 +112,39 @@ def test_stream(spark, needles):
         with open(f"{folder}/{k}.json", "w") as f:
             f.writelines(json.dumps(r) + "\n" for r in rows[k::2])
     chunks = spark.readStream.schema("stream_id string, seq long, chunk string, done boolean").option("maxFilesPerTrigger", 1).json(folder)
-    query = redact_stream(chunks, needles).writeStream.format("memory").queryName("released").option("checkpointLocation", tempfile.mkdtemp(prefix="state-")).trigger(availableNow=True).start()
+    with state_store(spark):
+        query = redact_stream(chunks, needles).writeStream.format("memory").queryName("released").option("checkpointLocation", tempfile.mkdtemp(prefix="state-")).trigger(availableNow=True).start()
     query.awaitTermination(100)
     got: dict = {}
     for r in sorted(spark.table("released").collect(), key=lambda r: r.from_seq):
         got[r.stream_id] = got.get(r.stream_id, "") + r.text
     assert got == {name: plain(t, known)[0] for name, t in texts.items()}
+
+
+def test_idle_streams_let_out_what_is_safe(spark, needles, tmp_path):
+    """The timer: without a further chunk all but the beginning of a secret goes out; what waits is small and is in the state."""
+    folder, known = tmp_path / "in", {r.pattern: r.ref for r in needles.collect()}
+    folder.mkdir()
+    (folder / "0.json").write_text("\n".join(json.dumps({"stream_id": i, "seq": k, "chunk": c, "done": False}) for i, k, c in (("a", 0, "see abcabcab"), ("b", 0, "x" * 500), ("c", 2, "later"))))
+    chunks = spark.readStream.schema("stream_id string, seq long, chunk string, done boolean").json(str(folder))
+    with state_store(spark):
+        query = redact_stream(chunks, needles, idle_ms=500).writeStream.format("memory").queryName("idle").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="200 milliseconds").start()
+    try:
+        text = lambda: {i: "".join(r.text for r in spark.table("idle").collect() if r.stream_id == i) for i in "abc"}
+        until = time.time() + 60
+        while text() != {"a": "see ", "b": "x" * 500, "c": ""} and time.time() < until:
+            time.sleep(0.5)
+        assert text() == {"a": "see ", "b": "x" * 500, "c": ""}
+    finally:
+        query.stop()
+    state = lambda name: spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "state")).collect()
+    held = {r.user_map_key.part: r.user_map_value.pending for r in state("heads")}
+    assert held == {"a": "abcabcab", "b": "", "c": ""} and max(map(len, held.values())) <= 2 * max(len(p.encode()) for p in known)
+    assert [(r.user_map_key.part, r.user_map_key.seq, r.user_map_value.chunk) for r in state("early")] == [("c", 2, "later")]
+
+
+def test_hits_of_both_outputs(spark, needles, tmp_path):
+    rows = [("s", 1, 0, "abcabc", False), ("s", 2, 0, "a bcabca", True), ("s", 1, 1, "abc end", True), ("t", 2, 0, "naïve é", True), ("u", 1, 0, "none", True), ("s", 1, 0, "abcabc", False)]
+    stream = as_stream(spark.createDataFrame(rows, "session string, fd int, seq long, chunk string, done boolean").coalesce(1), str(tmp_path))
+    got = {(r.stream_id, r.ref): r.n for r in latest(hits_stream(stream, needles), str(tmp_path), ["stream_id", "ref"]).collect()}
+    assert got == {("s", "a"): 1, ("s", "b"): 1, ("t", "d"): 1}
