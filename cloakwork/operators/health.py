@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.settings import parse_dotenv
-from .classify import classify, settled
+from ..sources.shared import staged
+from .classify import decide, settled
 from .files import all_uses, discover_files, find_uncovered, in_tree, linked_files, load_order
 from .gate import policy_state
 from .redact import find_leftovers
@@ -48,8 +49,9 @@ def health(files: DataFrame, vault: DataFrame, callers: DataFrame, home: str = H
     """(repo, check_no, level, n, places) of each project of `files` (repo, path, content, is_link).
 
     `vault` (repo, ref, value), `callers` (repo, caller, reason). A project whose vault is empty gets a note for it, and its
-    search for plaintext finds nothing. No place quotes a value. The plaintext search asks the vault, not the classifier, which may
-    be what is wrong."""
+    search for plaintext finds nothing. No place quotes a value; one of an unrecognised value says why it is in doubt. The plaintext
+    search asks the vault, not the classifier, which may be what is wrong. What several checks read, places alone and no values, is
+    written to the shared folder once, so that building the plan runs these jobs."""
     repos = files.select("repo").distinct()
     read = files.where("not is_link")
     settings = discover_files(read)
@@ -59,11 +61,12 @@ def health(files: DataFrame, vault: DataFrame, callers: DataFrame, home: str = H
 
     left = find_leftovers(read.where(in_tree(F.col("path")) & ~F.startswith("path", F.lit(home + "/"))), vault, settings.select("repo", "path"))
     left = left.select("repo", "level", at(F.col("path"), F.format_string("line %d", "line_no"), F.concat(F.lit("sv://"), "ref")).alias("place"))
+    left = staged(left)
     entries = parse_dotenv(dotenv).where("kind = 'assignment'")
-    doubts = settled(classify(entries), "review").select("repo", at(F.col("path"), F.col("key")).alias("place"))
+    doubts = staged(settled(decide(entries).select("repo", "path", "key", "review", "reason"), "review").select("repo", at(F.col("path"), F.col("key"), F.col("reason")).alias("place")))
     planned = entries.select("repo", "path", "line_no")
-    uncovered = find_uncovered(read, planned).select("repo", at(F.col("path"), F.col("lines")).alias("place"))
-    uses = all_uses(texts)
+    uncovered = staged(find_uncovered(read, planned).select("repo", at(F.col("path"), F.col("lines"), F.col("advice")).alias("place")))
+    uses = staged(all_uses(texts))
     own = uses.join(dotenv.select("repo", "path"), ["repo", "path"], "left_semi")
     unread = own.where(~F.col("path").isin(".env", ".env.local")).select("repo", F.col("path").alias("place"))
     lost = uses.join(vault, ["repo", "ref"], "left_anti").select("repo", at(F.col("ref"), F.col("path")).alias("place"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.shape import charset, entropy
-from .classify import settled
+from .classify import SHAPES, settled
 from .files import CREDENTIAL_FILES
 from .veil import comment
 
@@ -18,9 +18,11 @@ def shape_text(value: Column) -> Column:
 
 
 def plan_report(veiled: DataFrame) -> DataFrame:
-    """(repo, path, record_no, key, class, rule, shape) of what `veil` gave: the shape of hidden values, a mark on those to review."""
+    """(repo, path, record_no, key, class, rule, shape, prefix) of what `veil` gave: the shape of hidden values, a mark on those
+    to review, and the vendor's mark at the start of a value that stays in sight."""
     shape = F.when(F.col("review"), "<- read this one").when(F.col("class") != "open", shape_text(F.col("value"))).otherwise("")
-    return veiled.select("repo", "path", "record_no", "key", "class", "rule", shape.alias("shape"))
+    prefix = F.coalesce(*(F.when(F.col("rule") == f"value-{name}", F.col("value").substr(1, keep)) for _, name, keep in SHAPES if keep), F.lit(""))
+    return veiled.select("repo", "path", "record_no", "key", "class", "rule", shape.alias("shape"), prefix.alias("prefix"))
 
 
 def plan_json(veiled: DataFrame) -> DataFrame:
@@ -47,9 +49,9 @@ def first_places(places: Column, n: int = LISTED) -> Column:
     return F.when(F.size(places) <= n, ordered).otherwise(F.concat(F.slice(ordered, 1, n), F.array(F.format_string("and %d more", F.size(places) - n))))
 
 
-def backup_manifest(files: DataFrame) -> DataFrame:
-    """(repo, path, n_bytes, sha256) of each file that is to be rewritten."""
-    return files.select("repo", "path", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
+def backup_manifest(files: DataFrame, run: str) -> DataFrame:
+    """(run_id, repo, path, n_bytes, sha256) of each file that is to be rewritten by one run, whose name finds its backup again."""
+    return files.select(F.lit(run).alias("run_id"), "repo", "path", F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def summary(veiled: DataFrame) -> DataFrame:

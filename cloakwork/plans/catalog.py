@@ -177,6 +177,12 @@ def open_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.open_rates(E.judge(D.labelled(spark, sf_dir)))
 
 
+def missed_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first secret rows that can still be read, as a report lists them."""
+    missed = C.settled(E.judge(D.labelled(spark, sf_dir)).select("id", "key", "note", "rule", "want", "leaks"), "want = 'secret' and leaks")
+    return E.examples(missed, 12, "id").select("id", "key", "note", "rule")
+
+
 def seen_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Short tokens that are veiled or reported, by alphabet and length."""
     return E.seen_share(C.classify(D.short_tokens(spark, sf_dir).withColumnRenamed("n", "length")), "alphabet", "length")
@@ -326,7 +332,7 @@ def collision_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a person reads about each entry."""
-    return P.plan_report(W.veil(D.env_entries(spark, sf_dir))).select("repo", "path", "record_no", "key", "class", "rule", F.regexp_replace("shape", "entropy .*", "entropy").alias("shape"))
+    return P.plan_report(W.veil(D.env_entries(spark, sf_dir))).select("repo", "path", "record_no", "key", "class", "rule", F.regexp_replace("shape", "entropy .*", "entropy").alias("shape"), "prefix")
 
 
 def projection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -337,7 +343,7 @@ def projection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def backup_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.backup_manifest(D.trees(spark, sf_dir))
+    return P.backup_manifest(D.trees(spark, sf_dir), "first")
 
 
 def veil_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -409,7 +415,7 @@ def suspect_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAGSHIP = "scan_rules"
-QUERIES = {f.__name__: f for f in (scan_rules, scan_candidates, shape_profile, name_segments, classify_entries, plan_counts, vault_chain, vault_dangling, vault_orphans, vault_resolve, last_assignments, duplicate_refs, detect_caller, check_policy, project_policies, redact_logs, redact_hits, leftovers, discover_files, uncovered_lines, load_order, last_loaded, unread_files, ref_usage, guard_texts, decision_histogram, redact_commands, dotenv_records, veil_entries, miss_rate, open_rates, seen_share, label_counts, label_faults, decision_changes, health, health_verdicts, resolved_environment, missing_refs, skipped_names, collisions, renamed_refs, vault_refs, environment_vault, vault_upsert, vault_delete, vault_differences, npmrc_records, npmrc_veiled, npmrc_restored, collision_round_trip, collision_vault, plan_report, projection_lines, backup_manifest, veil_summary, finding_kinds, linked_files, policy_states, refused_requests, gate_commands, stream_redacted, stream_hits, skipped_short, suspect_reasons)}
+QUERIES = {f.__name__: f for f in (scan_rules, scan_candidates, shape_profile, name_segments, classify_entries, plan_counts, vault_chain, vault_dangling, vault_orphans, vault_resolve, last_assignments, duplicate_refs, detect_caller, check_policy, project_policies, redact_logs, redact_hits, leftovers, discover_files, uncovered_lines, load_order, last_loaded, unread_files, ref_usage, guard_texts, decision_histogram, redact_commands, dotenv_records, veil_entries, miss_rate, missed_examples, open_rates, seen_share, label_counts, label_faults, decision_changes, health, health_verdicts, resolved_environment, missing_refs, skipped_names, collisions, renamed_refs, vault_refs, environment_vault, vault_upsert, vault_delete, vault_differences, npmrc_records, npmrc_veiled, npmrc_restored, collision_round_trip, collision_vault, plan_report, projection_lines, backup_manifest, veil_summary, finding_kinds, linked_files, policy_states, refused_requests, gate_commands, stream_redacted, stream_hits, skipped_short, suspect_reasons)}
 
 SECRETS = D.SECRETS.format(s="varchar")
 LOGS = D.LOGS.format(s="varchar", forms=D.FORMS.format(b64="to_base64(encode(value))", q="\\\""), secrets=SECRETS)
@@ -510,6 +516,7 @@ select *, {" ".join(["case refusal", *(f"when '{k}' then '{v}'" for k, v in G.AD
   when 4 then 'Bearer sv://header_line_token' when 5 then 'https://app:sv://gateway_password@gw.io/x?token=sv://gateway_param' when 6 then concat('AK', 'IAsv://cloud') when 15 then 'main:sv://bot' when 22 then 'Password=sv://app_conn_password' when 26 then 'https://app:sv://gateway_password@gw.io/x?token=sv://gateway_param&key=sv://gateway_param2'
   else case when class = 'open' then value else concat('sv://', lower(key)) end end as projected, (case when class = 'open' then 0 when id % {D.N_BRANCHES} in (5, 26) then 2 else 1 end)::bigint as n_secrets from ({CLASSED})""",
     "miss_rate": f"select note, count(*) as n, count(*) filter (where result = 'leaks') as n_missed, round(avg((result = 'leaks')::int), 6) as rate from ({JUDGED}) where want = 'secret' group by grouping sets ((note), ())",
+    "missed_examples": f"select id, key, note, 'default-open' as rule from ({JUDGED}) where want = 'secret' and result = 'leaks' order by id limit 12",
     "open_rates": f"select count(*) as n, count(*) filter (where class <> 'open') as n_veiled, round(avg((class <> 'open')::int), 6) as veiled_rate, count(*) filter (where review) as n_review, round(avg(review::int), 6) as review_rate from ({JUDGED}) where want = 'open'",
     "seen_share": """select alphabet, length, count(*) as n, count(*) filter (where seen) as n_seen, round(avg(seen::int), 6) as seen from (
   select alphabet, length, alphabet = 'mixed' or regexp_matches(substr(md5(id::varchar), 1, length), '[a-f]') as seen from (
@@ -552,9 +559,9 @@ union all select (repo::int % 25)::varchar, 'apps/a' || repo || '/.npmrc', conte
   union all select (repo::int % 25)::varchar, 'npmrc_r_io_authtoken', md5(repo) from ({NPMRC}) union all select (repo::int % 25)::varchar, 'npmrc_b_io_password', substr(md5(repo), 1, 9) from ({NPMRC})),
 r as (select repo, ref, case count(distinct value) when 1 then 1 else count(*) end as n from c group by repo, ref)
 select repo, sum(n)::bigint as n_refs, any_value(n_values) as n_values from r join (select repo, count(distinct value) as n_values from c group by repo) using (repo) group by repo""",
-    "plan_report": f"select repo, path, record_no, key, class, want as rule, case when review then '<- read this one' when class = 'open' then '' else strlen(value) || ' chars, ' || {CHARSET} || ', entropy' end as shape from ({CLASSED})",
+    "plan_report": f"select repo, path, record_no, key, class, want as rule, case when review then '<- read this one' when class = 'open' then '' else strlen(value) || ' chars, ' || {CHARSET} || ', entropy' end as shape, if(want = 'value-aws-access-key-id', left(value, 4), '') as prefix from ({CLASSED})",
     "projection_lines": f"select repo, path, count(*) as n, count(*) filter (where class <> 'open' or id % {D.N_BRANCHES} = 23) as n_handles, count(*) filter (where class <> 'open') as n_comments from ({CLASSED}) where id % {D.N_BRANCHES} not in (20, 21) group by repo, path",
-    "backup_manifest": f"select repo, path, strlen(content)::bigint as n_bytes, sha256(content) as sha256 from (select repo, {D.PATHS_SQL} as path, {D.CONTENT_SQL} as content from (select *, md5(id::varchar) as h from ({PARTS})))",
+    "backup_manifest": f"select 'first' as run_id, repo, path, strlen(content)::bigint as n_bytes, sha256(content) as sha256 from (select repo, {D.PATHS_SQL} as path, {D.CONTENT_SQL} as content from (select *, md5(id::varchar) as h from ({PARTS})))",
     "veil_summary": f"select repo, count(distinct ref) as n_secrets, count(distinct path) as n_files, count(distinct (path, record_no)) as n_entries from ({CLAIMS}) group by repo",
     "finding_kinds": f"select kind, place, count(*) as n from (select case id % 10 when 0 then '.netrc' when 1 then '.npmrc' when 3 then 'aws credentials' else '.envrc' end as kind, case id % 10 when 0 then 1 when 1 then 0 when 3 then 7 else 8 end as place from ({PARTS}) where id % 10 in (0, 1, 3, 5)) group by kind, place",
     "linked_files": f"select repo, path from ({PROJECTS}) where is_link",
