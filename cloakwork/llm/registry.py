@@ -17,4 +17,4 @@ QUERIES = {
     "op12_source_divergence": divergence.op12_source_divergence,
     "op13_importance": importance.op13_importance,
 }
-ORACLES = {"op2_chat_format": chat.OP2_SQL, "op5_recompression": recompression.OP5_SQL, "op9_line_dedup": line_dedup.OP9_SQL, "op12_source_divergence": divergence.OP12_SQL, "op13_importance": importance.OP13_SQL}
+ORACLES = {"op2_chat_format": chat.OP2_SQL, "op5_recompression": recompression.OP5_SQL, "op7_secret_scan": secrets.OP7_SQL, "op9_line_dedup": line_dedup.OP9_SQL, "op12_source_divergence": divergence.OP12_SQL, "op13_importance": importance.OP13_SQL}

@@ -176,3 +176,24 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined("base_spans"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+def _rule_sql(number: int, rule: Rule) -> str:
+    pattern = rule.pattern.replace("'", "''")
+    hits = lambda group: f"regexp_extract_all(text, '{pattern}', {group})"
+    return f"select doc_id, {number} as n, '{rule.kind}' as kind, string_split_regex(text, '{pattern}') as gaps, {hits(0)} as hits, {hits(rule.group)} as sized, {rule.least} as least from texts"
+
+
+#: A match begins after the gaps and matches before it; DuckDB counts code points like the contract.
+OP7_SQL = f"""
+with texts as (select doc_id, coalesce(text, '') as text from documents),
+found as ({" union all ".join(_rule_sql(i, r) for i, r in enumerate([*BASE, *MORE]))}),
+each as (select *, unnest(range(1, len(hits) + 1)) as i from found where len(hits) > 0),
+placed as (
+  select doc_id, n, kind, length(array_to_string(gaps[1:i], '')) + length(array_to_string(hits[1:i - 1], '')) as start, length(hits[i]) as size
+  from each where length(sized[i]) >= least),
+spans as (select doc_id, n, kind, start, kind || ':' || start || ':' || (start + size) as span from placed)
+select doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex,
+  sha256(coalesce(string_agg(span, ',' order by start, n) filter (where n < {len(BASE)}), '')) as base_sha256, coalesce(string_agg(span, ',' order by start, n), '') as spans
+from texts left join spans using (doc_id) group by doc_id
+"""
