@@ -180,15 +180,23 @@ def _link(radius: int, n_pivots: int):
     return run
 
 
+MOST_HOT = 100_000  # keys, some 2 MB
+
+
 def parted(rows: DataFrame, part_rows: int) -> DataFrame:
     """(key, fp, id) with keys of more than `part_rows` rows cut into parts of about that size by a hash of the id: any two
-    parts of a key meet under a key of their own, so each pair of rows still meets, and no group has many more than two parts."""
+    parts of a key meet under a key of their own, so each pair of rows still meets, and no group has many more than two parts.
+
+    The table of such keys is counted first: at most MOST_HOT of them are broadcast, more meet the rows in a plain join, whose
+    large partitions Spark splits."""
     hot = rows.groupBy("key").count().where(F.col("count") > part_rows).select("key", F.ceil(F.col("count") / part_rows).cast("int").alias("parts"))
+    hot = staged(hot)
+    table = F.broadcast(hot) if hot.count() <= MOST_HOT else hot
     mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda t: t != F.col("mine"))
     met = F.transform(others, lambda t: F.xxhash64("key", F.least("mine", t), F.greatest("mine", t)))
     keys = F.when(F.col("parts").isNull(), F.array("key")).otherwise(met)
-    return rows.join(F.broadcast(hot), "key", "left").withColumn("mine", mine).select(F.explode(keys).alias("key"), "fp", "id")
+    return rows.join(table, "key", "left").withColumn("mine", mine).select(F.explode(keys).alias("key"), "fp", "id")
 
 
 def near_links(prints: DataFrame, radius: int = 4, n_blocks: int | None = 6, n_pivots: int = 16, part_rows: int = 4096) -> DataFrame:
