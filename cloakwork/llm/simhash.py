@@ -8,7 +8,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, join_facts, mix, staged, sums, table
@@ -315,6 +315,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(one, "src").join(two, "dst").where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("src", "dst")
 
 
+def _may_be_similar(sets: DataFrame, similarity: float) -> DataFrame:
+    """(fp, fp2) of different components that may have the similarity, of (fp, component, shingles): a bound, no pair is lost.
+
+    With the shingles of each set in one order, the rarest among these sets first, two similar sets share one of the first
+    1 - similarity of both, and what stands behind the first shared one in either set is enough for the overlap that is
+    called for. Texts that are alike but not similar differ in rare shingles, which come first, so few of them meet."""
+    own = sets.select("fp", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
+    counts = own.groupBy("token").agg(F.count("*").alias("n")).withColumn("rarity", F.col("n"))
+    total = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    ranked = join_facts(own, counts, ["token"], "fp", total)
+    place = F.row_number().over(Window.partitionBy("fp").orderBy("rarity", "token"))
+    first = staged(ranked.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).select("fp", "component", "size", "token", "place"))
+    a, b = first.alias("a"), first.select("token", *(F.col(c).alias(c + "2") for c in ("fp", "component", "size", "place"))).alias("b")
+    behind = 1 + F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
+    enough = behind >= (F.col("size") + F.col("size2")) * (similarity / (1 + similarity)) - 1e-9
+    return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("component") < F.col("component2")) & enough).select("fp", "fp2")
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seed: int = 42, stars: int = 2) -> DataFrame:
     """(id, component) of each row with an id and a word: the smallest id of all documents that links lead to, a link being
     a Jaccard similarity of at least `similarity` of two sets of `width`-word shingles.
@@ -322,8 +340,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     SimHash distances spread too far about their mean to decide this, and its bands need quadratic work to find pairs at
     0.8, so bands of min-hashes propose pairs, 0.999 of those at 0.8 and more above, and the sets themselves decide. Equal
     sets are one row. In the first rounds each band group compares its members with one of them, another in each group
-    and round; then all pairs of a group that no link has joined yet are compared. So a dense group costs about its
-    size, and no pair that met is left out. Groups meet in joins and partial sums alone, never whole in one task."""
+    and round; then, of groups that no link has joined yet, the pairs that `_may_be_similar` leaves are compared. So a dense
+    group costs about its size, and no pair that met is left out. Groups meet in joins and partial sums alone, never whole in one task."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
     rows = staged(texts.mapInArrow(_banded(width, seed), "id long, fp long, keys array<long>"))
     bands = rows.select("fp", F.explode("keys").alias("key")).distinct()
@@ -344,8 +362,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         else:
             # groups whose members are all linked are done
             open_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
-            now = join_facts(now, open_keys, ["key"], "fp", n_members)
-            met = now.join(now.select("key", F.col("fp").alias("fp2"), F.col("component").alias("component2")), "key").where("component < component2")
+            left = join_facts(now, open_keys, ["key"], "fp", n_members).select("fp", "component").distinct()
+            met = _may_be_similar(staged(left.join(sets, "fp")), similarity)
         pairs = met.select(F.greatest("fp", "fp2").alias("src"), F.least("fp", "fp2").alias("dst")).distinct()
         pairs = staged(pairs.join(tested, ["src", "dst"], "left_anti") if tested is not None else pairs)
         tested = pairs if tested is None else tested.union(pairs)
