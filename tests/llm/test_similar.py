@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cloakwork.llm import simhash
@@ -69,3 +70,20 @@ def test_hot_keys(spark):
     assert simhash.parted(dealt, 50).groupBy("key").count().agg(F.max("count")).first()[0] < 160
     groups = [{r.id: r.component for r in simhash.components(simhash.near_links(prints, 2, 4, part_rows=p)).collect()} for p in (50, 10**6)]
     assert groups[0] == groups[1] and groups[0]
+
+
+def test_bound_of_the_last_turn_loses_no_pair(spark):
+    """Sets of all similarities around the limit: every pair of different components at or above it is among those that are left."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(1 << 62), 1 << 62, 80)
+    sets = []
+    for i in range(60):
+        kept = base[rng.random(80) > rng.choice([0.02, 0.08, 0.15, 0.4])]
+        sets.append((i, i // 2, [int(x) for x in np.unique(np.r_[kept, rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 12))])]))
+    sets += [(100, 50, [1]), (101, 51, [1]), (102, 52, [2, 3])]
+    frame = spark.createDataFrame(sets, "fp long, component long, shingles array<long>")
+    for limit in (0.5, 0.8, 1.0):
+        met = {tuple(sorted(r)) for r in simhash._may_be_similar(frame, limit).distinct().collect()}
+        near = {(a, b) for a, x, s in sets for b, y, t in sets if a < b and x != y and len(set(s) & set(t)) >= limit * len(set(s) | set(t))}
+        assert near <= met and (limit == 1.0 or len(near) > 1)
+    assert len(met) < 60
