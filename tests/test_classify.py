@@ -4,6 +4,7 @@ import math
 from pyspark.sql import functions as F
 
 from cloakwork.functions import kernels, names, shape
+from cloakwork.functions.suspect import suspect_reason
 from cloakwork.operators import classify as C
 from cloakwork.operators import vault as V
 
@@ -25,6 +26,10 @@ def test_random_tokens_and_words(spark):
     look = lambda vs: [r[0] for r in spark.createDataFrame([(v,) for v in vs], "v string").select(shape.looks_random(F.col("v"), kernels.evenness(F.col("v")))).collect()]
     assert sum(look(tokens)) >= 194
     assert not any(look(words))
+    slashed = ["uQOIbEXI0b/TI8e3Nniyza1khiHfXPdG5/bw2t/6qqk", "agD2PR0naIzEXk2Vc6Ull81Ieim8MclQD/fj3i/ehyc", "8oKvSJU8SRp4X914oT8OJvOKe3NnCn/sno1/ncg678g"]
+    assert all(look(slashed))  # short parts without a capital, by chance
+    assert {r[0] for r in spark.createDataFrame([(v,) for v in slashed], "v string").select(suspect_reason(F.col("v"))).collect()} == {"long"}
+    assert not any(look(["/usr/local/share/ca-certificates/extra/company", "src/components/dashboard/SettingsPanel", "/home/deploy/Release2024Candidate7/current/public/assets/images/logo"]))
 
 
 def test_segments(spark):
