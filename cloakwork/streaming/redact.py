@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -13,9 +16,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.audit import redact_command
 from ..operators.gate import check_policy, detect_caller
 from ..operators.needles import Matcher, shown
+from ..sources.shared import shared_folder
 
-#: More needles than this are refused: they travel with the code of each task. Stored texts go through `operators.redact`.
-MOST_NEEDLES = 100_000
 OUT = "stream_id string, from_seq long, text string, refs array<string>, gap_to long"
 HITS = "stream_id string, ref string, n long"
 WAITING = 1 << 20  # characters of chunks that wait for an earlier one
@@ -91,16 +93,29 @@ def advance(known: Needles, following: int, pending: str, waiting: dict[int, tup
     return "".join([*out, text]), refs + marks, following, pending, done, gap
 
 
+_known: dict[str, Needles] = {}
+
+
+def known_needles(path: str) -> Needles:
+    """The needles of a table in the shared folder, read once a worker."""
+    if path not in _known:
+        system, inner = fs.FileSystem.from_uri(re.sub(r"\Afile:/+", "file:///", path))
+        rows = pq.read_table(inner, columns=["pattern", "ref"], filesystem=system)
+        _known.clear()
+        _known[path] = Needles(zip(rows.column("pattern").to_pylist(), rows.column("ref").to_pylist(), strict=True))
+    return _known[path]
+
+
 class Redactor(StatefulProcessor):
     """The streams (`part`) of a key: what each lets out, or with `counts` how often each ref was shown in all of them so far.
 
     State: for each stream the next seq and what waits, one row for each chunk that came too early, one for each ref counted."""
 
-    def __init__(self, needles: list[tuple[str, str]], idle_ms: int | None, most: int, counts: bool) -> None:
+    def __init__(self, needles: str, idle_ms: int | None, most: int, counts: bool) -> None:
         self.needles, self.idle_ms, self.most, self.counts = needles, idle_ms, most, counts
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.known = handle, Needles(self.needles)
+        self.handle = handle
         self.heads = handle.getMapState("heads", "part string", "next long, pending string, ended boolean")
         self.early = handle.getMapState("early", "part string, seq long", "chunk string, last boolean")
         self.hits = handle.getMapState("hits", "ref string", "n long")
@@ -125,17 +140,19 @@ class Redactor(StatefulProcessor):
             yield from self._let_out(key, {part: {} for part, (_, _, ended) in heads.items() if not ended}, True)
 
     def _let_out(self, key, fresh: dict[str, dict[int, tuple[str, bool]]], idle: bool) -> Iterator[pd.DataFrame]:
+        # each call of the state store is a message: a stream without a head has no early chunks either
+        held = {part: self.heads.getValue((part,)) for part in fresh if self.heads.containsKey((part,))}
         early: dict[str, dict[int, tuple[str, bool]]] = {}
-        for (part, seq), chunk in self.early.iterator():
+        for (part, seq), chunk in self.early.iterator() if held else ():
             early.setdefault(part, {})[seq] = tuple(chunk)
         out, counted = [], {}
         for part, chunks in fresh.items():
-            following, pending, ended = self.heads.getValue((part,)) if self.heads.containsKey((part,)) else (0, "", False)
+            following, pending, ended = held.get(part, (0, "", False))
             if ended:
                 continue
             first, stored = following, early.get(part, {})
             waiting = stored | {k: v for k, v in chunks.items() if k >= following}
-            text, refs, following, pending, done, gap = advance(self.known, following, pending, waiting, idle, self.most)
+            text, refs, following, pending, done, gap = advance(known_needles(self.needles), following, pending, waiting, idle, self.most)
             for seq in stored:
                 if done or seq not in waiting:
                     self.early.removeKey((part, seq))
@@ -143,7 +160,8 @@ class Redactor(StatefulProcessor):
                 for seq in waiting.keys() - stored.keys():
                     self.early.updateValue((part, seq), waiting[seq])
             if done and not (self.idle_ms or self.counts):
-                self.heads.removeKey((part,))
+                if part in held:
+                    self.heads.removeKey((part,))
             else:
                 self.heads.updateValue((part,), (following, pending, done))
             for ref in refs if self.counts else ():
@@ -162,10 +180,10 @@ class Redactor(StatefulProcessor):
 
 
 def _processed(chunks: DataFrame, needles: DataFrame, idle_ms: int | None, most: int, counts: bool) -> DataFrame:
-    rows = needles.select("pattern", "ref").limit(MOST_NEEDLES + 1).collect()
-    if len(rows) > MOST_NEEDLES:
-        raise ValueError("too many needles for a stream")
-    processor = Redactor([(r.pattern, r.ref) for r in rows], idle_ms, most, counts)
+    path = shared_folder(needles.sparkSession, "needles")
+    needles.select("pattern", "ref").write.parquet(path)
+    # a table, not a part of the code: code of more than 1 MB becomes a broadcast, which the stream's driver worker doesn't load
+    processor = Redactor(path, idle_ms, most, counts)
     return chunks.groupBy("key").transformWithStateInPandas(processor, HITS if counts else OUT, "update" if counts else "append", "processingTime" if idle_ms else "none")
 
 
@@ -177,7 +195,8 @@ def redact_stream(chunks: DataFrame, needles: DataFrame, idle_ms: int | None = N
     of a stream in order are what `operators.redact` makes of the whole. What waits is shorter than the longest needle and the
     run of secrets that it touches; chunks that wait for an earlier one hold `waiting_chars` at most, beyond which the missing
     ones are given up: what came before ends there, and `gap_to` names the seq that goes on; chunks of a gap that come later
-    are left out. Starting the stream needs the state store of `run.STATE_STORE`; building the plan fetches the needles."""
+    are left out. Starting the stream needs the state store of `run.STATE_STORE`; building the plan writes the needles to the
+    shared folder, from where each worker reads all of them."""
     return _processed(chunks.select(F.col("stream_id").alias("key"), F.col("stream_id").alias("part"), "seq", "chunk", "done"), needles, idle_ms, waiting_chars, False)
 
 

@@ -162,3 +162,15 @@ def test_chunks_out_of_order(spark, tmp_path):
     got = {r.stream_id: r for r in out}
     assert got["a"].text == "one sv://s end" and got["a"].gap_to is None
     assert got["b"].gap_to == 3 and got["b"].text.startswith("xlate ")
+
+
+def test_streams_with_many_needles(spark, tmp_path):
+    """More needles than fit the code of a task, which is a broadcast above 1 MB."""
+    needles = spark.range(120_000).selectExpr("concat(md5(cast(id as string)), md5(cast(-id as string))) as pattern", "concat('r', id) as ref")
+    first, last = needles.where("ref in ('r0', 'r119999')").orderBy("ref").collect()
+    rows = [("a", "1", 0, "x " + first.pattern[:20], False), ("a", "1", 1, first.pattern[20:] + " y", True), ("b", "1", 0, last.pattern, True)]
+    chunks = spark.createDataFrame(rows, "session string, fd string, seq long, chunk string, done boolean")
+    out = N.run_available(X.redact_stream(N.as_stream(chunks.withColumnRenamed("session", "stream_id"), str(tmp_path / "t")), needles), str(tmp_path / "t")).collect()
+    assert {r.stream_id: r.text for r in out} == {"a": "x sv://r0 y", "b": "sv://r119999"}
+    hits = N.latest(X.hits_stream(N.as_stream(chunks, str(tmp_path / "h")), needles), str(tmp_path / "h"), ["stream_id", "ref"]).collect()
+    assert {(r.stream_id, r.ref, r.n) for r in hits} == {("a", "r0", 1), ("b", "r119999", 1)}
