@@ -254,6 +254,17 @@ def test_lm(spark):
     assert score > pairs
 
 
+def test_held_out_scores_near_base(spark):
+    """Known words keep their share, and hashes cost about what their digits do."""
+    said = "the cat sat on a mat and the dog ran to the tree in a park by the sea".split()
+    docs = [(i, " ".join(said[(i * k) % len(said)] for k in range(1, 30)) + " " + hashlib.sha256(str(i).encode()).hexdigest()[:40], i % 5 == 0) for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, held boolean")
+    rows = [r for r in lm.score_texts(frame, F.col("held")).collect() if r.held_out]
+    assert len(rows) == 60 and all(math.isfinite(r.score) for r in rows)
+    # at most 1.6 a digit, where the hash stands as one new word in base_score
+    assert all(r.score > r.base_score - 64 - 0.31 * r.n_tokens for r in rows)
+
+
 def test_lm_gradients_and_scoring():
     rng = np.random.default_rng(0)
     size = 30
