@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.shape import charset, entropy
+from ..functions.kernels import evenness
+from ..functions.shape import charset
 from ..sources.settings import MARKER, NPMRC_REF, is_npmrc_credential, marked_refs, marker, npmrc_ref, render
 from ..sources.shared import staged
 from .classify import decide, ref_of, settled
@@ -16,7 +17,7 @@ COMMENT = r"\A[ \t]*# sv: [^\n]*"  # what `veil_files` writes beside a value
 
 def comment(value: Column) -> Column:
     """What a veiled value's shape was: length, characters and entropy, nothing of the value itself."""
-    return F.format_string("sv: %d chars, %s, entropy %.1f", F.octet_length(value), charset(value), entropy(value))
+    return F.format_string("sv: %d chars, %s, entropy %.1f", F.octet_length(value), charset(value), evenness(value)["entropy"])
 
 
 def veil(entries: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
