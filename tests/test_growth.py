@@ -1,6 +1,8 @@
 """Jobs whose work must not grow faster than their tables, nor stay in one task."""
 
+from cloakwork.operators import health as H
 from cloakwork.plans import catalog
+from cloakwork.sources import derived as D
 
 SF = "/root/testdata/sf0.001"
 
@@ -10,3 +12,20 @@ def test_entries_are_measured_in_many_tasks(spark):
     measured = catalog.shape_profile(spark, SF)
     assert measured.rdd.getNumPartitions() >= 16
     assert "lambdafunction" not in measured._jdf.queryExecution().executedPlan().toString()
+
+
+def test_health_reads_each_setting_once(spark, monkeypatch):
+    """A setting that stands in many files is classified once, and each of its places is named."""
+    seen = []
+    decide = H.decide
+    monkeypatch.setattr(H, "decide", lambda entries: seen.append(entries.count()) or decide(entries))
+    files = spark.createDataFrame([("r", f"m{i}/.env", "MEMO=Xy7abcdef012345\nMODE=a\n", False) for i in range(5)] + [("r", ".env", "MEMO=Xy7abcdef012345\nOTHER=\n", False)], "repo string, path string, content string, is_link boolean")
+    vault = spark.createDataFrame([("r", "a", "no such value")], "repo string, ref string, value string")
+    callers = spark.createDataFrame([("r", "human", "said so")], "repo string, caller string, reason string")
+    found = H.health(files, vault, callers).where(f"check_no = {H.CHECKS.index('unrecognised')}").first()
+    assert found.n == 6 and found.level == H.WARN and found.places[0] == ".env MEMO mixed-case-digits"
+    assert seen == [3]
+
+
+def test_projects_in_many_tasks(spark):
+    assert D.projects(spark, SF).rdd.getNumPartitions() >= 16
