@@ -29,6 +29,12 @@ def test_random_tokens_and_words(spark):
     slashed = ["uQOIbEXI0b/TI8e3Nniyza1khiHfXPdG5/bw2t/6qqk", "agD2PR0naIzEXk2Vc6Ull81Ieim8MclQD/fj3i/ehyc", "8oKvSJU8SRp4X914oT8OJvOKe3NnCn/sno1/ncg678g"]
     assert all(look(slashed))  # short parts without a capital, by chance
     assert {r[0] for r in spark.createDataFrame([(v,) for v in slashed], "v string").select(suspect_reason(F.col("v"))).collect()} == {"long"}
+    # short parts with digits but no capital, and letters that change case like words, by chance
+    rare = ["dun/MqHe/y47kz2b07v0t26aiocdl/gOSBn67sXTw/g", "xy4xqxg1/4zsun6k38ch82k/3icpI3i/cAlH70y9lm8", "ZHHMtKF64fceWkN7aj/i2abt10lc/oC/3jtb1es8dzs"]
+    rare += ["kzdTVSMHSbeohgvhVYAIEsiWVCk+hzKHRQmeAbjKYZY", "hkzExh+pyetDStfgWDWHUzCppxuvgzZHMRMZmbUmeQU", "NDrFJRQIQFZMfllXtzmsXOPizoBDDLznf+jtbXCJHqw"]
+    assert all(look(rare))
+    assert {r[0] for r in spark.createDataFrame([(v,) for v in rare], "v string").select(suspect_reason(F.col("v"))).collect()} == {"long"}
+    assert not any(look(["America/Argentina/ComodRivadavia", "getHTTPResponseCodeFromURL", "XMLHttpRequestFactoryBean", "ThisIsAVeryLongCompanyNameHereIndeed", "MyCompanyProductionKubernetesCluster", "/usr/lib/x86_64-linux-gnu/python3.11/libstdc"]))
     assert not any(look(["/usr/local/share/ca-certificates/extra/company", "src/components/dashboard/SettingsPanel", "/home/deploy/Release2024Candidate7/current/public/assets/images/logo"]))
 
 
