@@ -67,3 +67,24 @@ def test_counts_of_neighbours():
     assert dict(zip(pairs.column(0).to_pylist(), pairs.column(1).to_pylist(), strict=True)) == want
     sketch = next(lm._sketch(size, "uint16")(iter(rows)))
     assert sum(sketch.column(1).to_pylist()) == 2 * n_pairs
+
+
+def test_words_that_come_again_are_spelled_once():
+    sub, plain = lm.Subwords(Shared.value), lm.Subwords(Shared.value)
+    asked = []
+
+    class Asked:
+        def encode_to_numpy(self, text, **kinds):
+            asked.append(text)
+            return plain.encoding.encode_to_numpy(text, **kinds)
+
+    first, second = ["frequenter étagère frequenter étagère once", ""], ["étagère once again", "frequenter \U0001f600 don't " + "y" * 3000]
+    sub.encoding = Asked()
+    for texts in (first, second):
+        got, want = sub.spell(lm.Words([t.encode() for t in texts])), lm.Subwords(Shared.value).spell(lm.Words([t.encode() for t in texts]))
+        assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+    assert "frequenter" in asked[0] and not any(w in asked[1] for w in ("frequenter", "étagère"))
+    known = pa.array([b"ab", b"\xff", b"c"], pa.large_binary())
+    end = lm.LETTERS - 1
+    assert lm._byte_pairs(known.slice(1))[0].tolist() == [end * lm.LETTERS + 255, 255 * lm.LETTERS + end, end * lm.LETTERS + 99, 99 * lm.LETTERS + end]
+    assert lm._byte_pairs(known)[1].tolist() == [0, 3, 5]
