@@ -5,6 +5,7 @@ import base64
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 
 from cloakwork.llm import lm
 
@@ -88,3 +89,35 @@ def test_words_that_come_again_are_spelled_once():
     end = lm.LETTERS - 1
     assert lm._byte_pairs(known.slice(1))[0].tolist() == [end * lm.LETTERS + 255, 255 * lm.LETTERS + end, end * lm.LETTERS + 99, 99 * lm.LETTERS + end]
     assert lm._byte_pairs(known)[1].tolist() == [0, 3, 5]
+
+
+def test_table_leaves_pairs_out_and_blocks_meet_in_long_texts():
+    rng = np.random.default_rng(1)
+    size, many = 40, 15
+    frequent, n = rng.permutation(size)[:many], rng.integers(0, 4, (many, many))
+    n[3] = 0  # a frequent subword that none of the others follows
+    context = rng.integers(0, 3, size)
+    context[frequent] = n.sum(axis=1) + rng.integers(0, 5, many)
+    followers = lm.Followers(frequent, context, rng.dirichlet(np.ones(size)), n)
+    each = np.repeat(np.arange(size), size), np.tile(np.arange(size), size)
+    table = lm.Table(followers, 1)
+    assert np.allclose(table.share(*each, 1), followers.share(*each, 1), rtol=1e-5, atol=1e-9)
+    with pytest.raises(ValueError):
+        table.share(*each)
+    vectors, own, experts = rng.normal(size=(size, lm.DIM)).astype(np.float32), rng.integers(0, lm.EXPERTS, size), rng.dirichlet(np.ones(size), lm.EXPERTS).T
+    w = lm.flat(lm.begin()) + rng.normal(0, 0.1, len(lm.flat(lm.begin())))
+    x, y = rng.integers(0, size, (5, lm.WINDOW)), rng.integers(-1, size, (5, lm.WINDOW))
+    about = lm.features(vectors.astype(np.float64), own)
+    got, want = (lm.gradients(lm.shaped(w), x, y, about, experts, f) for f in (table, followers))
+    assert np.isclose(got[0], want[0], rtol=1e-5) and np.allclose(lm.flat(got[1]), lm.flat(want[1]), rtol=1e-3, atol=1e-6)
+    # weights that send every attention score far below what a float32 exponential holds still give numbers
+    low = lm.shaped(w.copy())
+    low["k"] = -60 * low["q"]
+    loss, g = lm.gradients({k: v.astype(np.float32) for k, v in low.items()}, x, y, about.astype(np.float32), experts.astype(np.float32), table)
+    assert np.isfinite(loss) and np.isfinite(lm.flat(g)).all()
+    # scores don't depend on where a step of 512 blocks ends
+    model = lm.Model(w, vectors, own, experts, followers)
+    texts = [rng.integers(0, size, k) for k in (3, 4091, 2, 9, 700, 4200)]
+    whole = model.logs(np.concatenate(texts), np.array([len(t) for t in texts]))
+    alone = [model.logs(t[max(0, k - lm.BLOCK) : k + lm.BLOCK + 1], np.array([len(t[max(0, k - lm.BLOCK) : k + lm.BLOCK + 1])]))[k and lm.BLOCK :] for t in texts for k in range(0, len(t) - 1, lm.BLOCK)]
+    assert np.allclose(whole, np.concatenate(alone), atol=1e-4)
