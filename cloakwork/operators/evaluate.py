@@ -28,7 +28,7 @@ def judge(labelled: DataFrame) -> DataFrame:
     """`labelled` with class, rule, review, `leaks` (a sensitive part can still be read) and `result`: held, leaks or false-veil."""
     shown = veil(labelled)
     leaks = (F.col("want") == "secret") & F.exists("sensitive", lambda p: F.contains(F.col("projected"), p))
-    rated = shown.withColumn("leaks", F.coalesce(leaks, F.lit(False))).drop("projected", "secrets", "pieces")
+    rated = shown.withColumn("leaks", F.coalesce(leaks, F.lit(False))).drop("projected", "secrets", "pieces", "value_entropy")
     return rated.withColumn("result", F.when(F.col("leaks"), "leaks").when((F.col("want") == "open") & (F.col("class") != "open"), "false-veil").otherwise("held"))
 
 

@@ -20,8 +20,8 @@ def comment(value: Column) -> Column:
 
 
 def veil(entries: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
-    """`entries` with class, rule, review, `projected` (the value with handles), `secrets` (array of ref and value) and
-    `pieces` (what stands before, between and after the secrets).
+    """`entries` with class, rule, review, value_entropy, `projected` (the value with handles), `secrets` (array of ref and value)
+    and `pieces` (what stands before, between and after the secrets).
 
     Parts that are handles or variable references already stay, so that veiling twice changes nothing; an entry without any
     other secret part is open. Refs of one value are told apart by number. A null value is an empty one."""

@@ -1,6 +1,8 @@
 """Jobs whose work must not grow faster than their tables, nor stay in one task."""
 
 from cloakwork.operators import health as H
+from cloakwork.operators import report as P
+from cloakwork.operators import veil as W
 from cloakwork.plans import catalog
 from cloakwork.sources import derived as D
 
@@ -29,3 +31,12 @@ def test_health_reads_each_setting_once(spark, monkeypatch):
 
 def test_projects_in_many_tasks(spark):
     assert D.projects(spark, SF).rdd.getNumPartitions() >= 16
+
+
+def test_plan_report_measures_nothing_again(spark):
+    """An Arrow function on top of the plan of `veil` is copied through it: planning ended neither in minutes nor in memory."""
+    rows = [("DB_PASSWORD", "ab" * 8, None), ("LEVEL", None, 1.0), ("MEMO", "Xy7abcdef012345", 1.0), ("CLOUD", "AK" + "IA" + "A1B2" * 4, 1.0)]
+    entries = spark.createDataFrame([("r", ".env", i, *x) for i, x in enumerate(rows)], "repo string, path string, record_no int, key string, value string, mine double")
+    report = P.plan_report(W.veil(entries))
+    assert "evenness" not in report._jdf.queryExecution().analyzed().toString().splitlines()[0]
+    assert [(r.shape, r.prefix) for r in report.orderBy("record_no").collect()] == [("16 chars, hex, entropy 1.0", ""), ("", ""), ("<- read this one", ""), ("20 chars, alnum, entropy 2.3", "AK" + "IA")]
