@@ -6,7 +6,10 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -15,7 +18,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from ..operators.audit import redact_command
 from ..operators.gate import check_policy, detect_caller
-from ..operators.needles import Matcher, shown
+from ..operators.needles import Heads, grams, shown
 from ..sources.shared import shared_folder
 
 OUT = "stream_id string, from_seq long, text string, refs array<string>, gap_to long"
@@ -24,26 +27,74 @@ WAITING = 1 << 20  # characters of chunks that wait for an earlier one
 
 
 class Needles:
-    """The secrets to look for, one character a byte, least ref first for each pattern."""
-
-    def __init__(self, rows: Iterable[tuple[str, str]]) -> None:
-        self.refs: dict[str, str] = {}
-        for pattern, ref in sorted(rows, key=lambda r: r[1]):
-            self.refs.setdefault(pattern.encode().decode("latin-1"), ref)
-        self.longest = max(map(len, self.refs), default=1)
-        self.ordered = sorted(self.refs)
-        self.matcher = Matcher((("", p.encode("latin-1"), ref) for p, ref in self.refs.items()), max(1, min([8, *map(len, self.refs)])))
+    """The secrets to look for, of (pattern, ref), the least ref of each pattern; texts have one character a byte.
+
+    Every worker of an executor holds all of them, so they stay sorted in Arrow buffers: some 30 bytes each beside their own,
+    where an object for each would take a thousand."""
+
+    def __init__(self, rows: pa.Table | Iterable[tuple[str, str]]) -> None:
+        table = rows if isinstance(rows, pa.Table) else pa.table([pa.array(c, pa.string()) for c in zip(*rows, strict=True)] or [pa.array([], pa.string())] * 2, ["pattern", "ref"])
+        table = table.cast(pa.schema([("pattern", pa.large_binary()), ("ref", pa.large_string())]))
+        table = table.take(pc.sort_indices(table, [("pattern", "ascending"), ("ref", "ascending")])).combine_chunks()
+        same = pc.equal(table.column(0).slice(1), table.column(0).slice(0, max(len(table) - 1, 0))).to_numpy()
+        table = table.filter(pa.array(np.r_[np.ones(min(len(table), 1), bool), ~same] & (pc.binary_length(table.column(0)).to_numpy() > 0))).combine_chunks()
+        patterns, self.refs = (c.chunk(0) if len(table) else pa.array([], c.type) for c in table.columns)
+        self.n, (_, ends, data) = len(table), patterns.buffers()
+        self.ends, self.data = np.frombuffer(ends, np.int64)[: self.n + 1] if self.n else np.zeros(1, np.int64), memoryview(data or b"")
+        sizes = np.diff(self.ends)
+        self.longest, self.width = int(sizes.max(initial=1)), int(sizes.min(initial=8))
+        self.first = np.zeros(self.n, np.uint64)  # the first `width` bytes of each
+        for k in range(self.width):
+            self.first = (self.first << np.uint64(8)) | np.frombuffer(self.data, np.uint8)[self.ends[:-1] + k]
+        self.heads = Heads(self.first, self.n)
+        self.inner = self._inner(sizes)
+
+    def _pattern(self, i: int) -> bytes:
+        return bytes(self.data[self.ends[i] : self.ends[i + 1]])
+
+    def _inner(self, sizes: np.ndarray) -> np.ndarray:
+        """For each needle the longest other one that it begins with, or -1: one that others begin with stands just before the first of them."""
+        inner = np.full(self.n, -1, np.int32)
+        for i in np.flatnonzero((self.first[1:] == self.first[:-1]) & (sizes[1:] > sizes[:-1])).tolist():
+            own = self._pattern(i)
+            if self._pattern(i + 1).startswith(own):
+                inner[i + 1 : bisect_right(range(self.n), own, i + 1, self.n, key=lambda k: self._pattern(k)[: len(own)])] = i
+        return inner
 
     def places(self, text: str) -> list[tuple[int, int, str]]:
         """(stop, start, ref) of every occurrence, by stop, the longest first."""
-        return sorted((stop, start, ref) for start, stop, ref in self.matcher.places(text.encode("latin-1"), ""))
+        data = text.encode("latin-1")
+        if not self.n or len(data) < self.width:
+            return []
+        heads = grams(np.frombuffer(data, np.uint8), self.width)
+        at = self.heads.places(heads)
+        low, high = (np.searchsorted(self.first, heads[at], side) for side in ("left", "right"))
+        found = []
+        for start, a, b in zip(*(x[low < high].tolist() for x in (at, low, high)), strict=True):
+            rest = data[start : start + self.longest]
+            # of needles that `rest` begins with, all but the last one up to it are what that one begins with
+            k = bisect_right(range(self.n), rest, a, b, key=self._pattern) - 1
+            while k >= a:
+                pattern = self._pattern(k)
+                if rest.startswith(pattern):
+                    found.append((start + len(pattern), start, self.refs[k].as_py()))
+                k = int(self.inner[k])
+        return sorted(found)
 
     def begun(self, text: str) -> int:
         """Length of the longest end of a text that is the beginning of a needle, but not all of it."""
-        for n in range(min(len(text), self.longest - 1), 0, -1):
-            end = text[len(text) - n :]
-            at = bisect_right(self.ordered, end)  # the first needle after `end`, which a longer one that begins with it must be
-            if at < len(self.ordered) and self.ordered[at].startswith(end):
+        end = text[max(len(text) - self.longest + 1, 0) :].encode("latin-1") if self.longest > 1 else b""
+        heads = grams(np.frombuffer(end + bytes(self.width - 1), np.uint8), self.width) if end else np.empty(0, np.uint64)
+        left = np.arange(len(end), 0, -1)
+        # an end that is shorter than `width` is followed by anything
+        free = np.array([(1 << 8 * max(self.width - n, 0)) - 1 for n in left], np.uint64)
+        low, high = np.searchsorted(self.first, heads, "left"), np.searchsorted(self.first, heads | free, "right")
+        for n, a, b in zip(*(x[low < high].tolist() for x in (left, low, high)), strict=True):
+            if n < self.width:
+                return n
+            rest = end[len(end) - n :]
+            at = bisect_right(range(self.n), rest, a, b, key=self._pattern)  # the first needle after it, which a longer one that begins with it must be
+            if at < b and self._pattern(at).startswith(rest):
                 return n
         return 0
 
@@ -100,9 +151,9 @@ def known_needles(path: str) -> Needles:
     """The needles of a table in the shared folder, read once a worker."""
     if path not in _known:
         system, inner = fs.FileSystem.from_uri(re.sub(r"\Afile:/+", "file:///", path))
-        rows = pq.read_table(inner, columns=["pattern", "ref"], filesystem=system)
         _known.clear()
-        _known[path] = Needles(zip(rows.column("pattern").to_pylist(), rows.column("ref").to_pylist(), strict=True))
+        _known[path] = Needles(pq.read_table(inner, columns=["pattern", "ref"], filesystem=system))
+        pa.default_memory_pool().release_unused()
     return _known[path]
 
 

@@ -1,10 +1,13 @@
 """Redaction of whole texts against a plain search, and of streams against whole texts."""
 
+import hashlib
 import json
 import random
 import tempfile
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from cloakwork.operators import redact as R
@@ -148,3 +151,34 @@ def test_hits_of_both_outputs(spark, needles, tmp_path):
     stream = as_stream(spark.createDataFrame(rows, "session string, fd int, seq long, chunk string, done boolean").coalesce(1), str(tmp_path))
     got = {(r.stream_id, r.ref): r.n for r in latest(hits_stream(stream, needles), str(tmp_path), ["stream_id", "ref"]).collect()}
     assert got == {("s", "a"): 1, ("s", "b"): 1, ("t", "d"): 1}
+
+
+def test_needles_take_no_object_each():
+    """Each worker of an executor holds all needles: an object for each took a thousand bytes, of millions more than an executor has."""
+    rows = [(hashlib.md5(str(i).encode()).hexdigest(), f"key_{i}") for i in range(50_000)]
+    arrow = pa.total_allocated_bytes()
+    tracemalloc.start()
+    known = Needles(rows)
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - arrow
+    tracemalloc.stop()
+    assert held < 300 * len(rows)
+    assert known.release(f"x {rows[7][0]} y", True)[:2] == ("x sv://key_7 y", ["key_7"])
+
+
+def test_needles_within_needles():
+    rng = random.Random(11)
+    for least in (1, 4, 8, 9):
+        rows = [("".join(rng.choice("ab") for _ in range(rng.randint(least, least + 6))), rng.choice("rs") + str(i)) for i in range(60)]
+        known, text = Needles(rows), "".join(rng.choice("ab") for _ in range(400))
+        owner = {p: min(r for q, r in rows if q == p) for p, _ in rows}
+        assert known.places(text) == sorted((i + len(p), i, r) for p, r in owner.items() for i in range(len(text)) if text.startswith(p, i))
+        for k in range(1, 60):
+            assert known.begun(text[:k]) == max((n for n in range(1, k + 1) if any(p != text[k - n : k] and p.startswith(text[k - n : k]) for p in owner)), default=0)
+
+
+def test_state_stores_share_a_limit(spark):
+    key = "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage"
+    before = spark.conf.get(key, None)
+    with state_store(spark):
+        assert spark.conf.get(key, None) == "true"
+    assert spark.conf.get(key, None) == before
