@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import combinations, repeat
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, join_facts, mix, staged, sums, table
@@ -258,7 +261,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return prints.join(labels, "fp", "left").select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-N_BANDS, BAND = 40, 8  # min-hashes of a band: two sets of similarity 0.8 share one with probability 1 - (1 - 0.8**8)**40 > 0.999
+LEVEL_BITS = 22  # of a shingle's hash: so many counts, 4 MB, say how frequent it is about
+MET_BITS = 26  # of a shingle's hash: so many bits, 8 MB, say whether another set may hold it too
+CHUNKS = 64
+PARITIES = 8  # words of 64 bits that bound how many shingles of two sets differ
 
 
 def _shingles(text: bytes | None, width: int, seed: int) -> np.ndarray:
@@ -272,26 +278,78 @@ def _name(shingles: np.ndarray, seed: int) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), seed=seed)).view(np.int64))
 
 
-def _banded(width: int, seed: int):
-    """(id, fp, keys): the name of each text's shingle set, and the keys of its bands of min-hashes."""
-    scramble = np.random.default_rng(seed).integers(0, 1 << 32, (2, N_BANDS * BAND), np.uint32) | np.array([[0], [1]], np.uint32)
+def _counted(width: int, seed: int):
+    """(chunk, counts): how many shingles of a task's texts begin with each value of LEVEL_BITS bits, a byte each, in chunks of them."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << LEVEL_BITS, np.int32)
+        for _, texts in blocks(batches):
+            for text in texts:
+                np.add.at(counts, _shingles(text, width, seed) >> np.uint64(64 - LEVEL_BITS), 1)
+        parts = np.minimum(counts, 255).astype(np.uint8).reshape(CHUNKS, -1)
+        held = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([parts[k].tobytes() for k in held], pa.binary())], names=["chunk", "counts"])
+
+    return run
+
+
+def _levels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, levels): the sums of the counts, eight levels for each doubling."""
+    sums_: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            own = np.frombuffer(counts, np.uint8).astype(np.int64)
+            sums_[chunk] = sums_[chunk] + own if chunk in sums_ else own
+    for chunk, own in sums_.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.minimum(8 * np.log2(1 + own), 255).astype(np.uint8).tobytes()], pa.binary())], names=["chunk", "levels"])
+
+
+def _joined(parts: DataFrame, n_bytes: int):
+    """The chunks (chunk, bytes) of a table of `n_bytes` bytes, as a broadcast."""
+    table = np.zeros((CHUNKS, n_bytes // CHUNKS), np.uint8)
+    for chunk, data in parts.collect():
+        table[chunk] = np.frombuffer(data, np.uint8)
+    return parts.sparkSession.sparkContext.broadcast(table.ravel())
+
+
+def _prefixes(width: int, seed: int, similarity: float, levels):
+    """(id, fp, size, keys): the name of each text's shingle set, its size, and the first 1 - similarity of its shingles, in one
+    order for all texts: by level, so that rare ones come first, and by hash. Two sets of that similarity share one of them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in blocks(batches):
             sets = [(i, x) for i, x in zip(ids, (_shingles(t, width, seed) for t in texts), strict=True) if len(x)]
-            if not sets:
-                continue
-            kept, parts = zip(*sets, strict=True)
-            ends = np.cumsum([len(p) for p in parts])
-            starts, low = np.r_[0, ends[:-1]], np.concatenate(parts).astype(np.uint32)
-            keys = np.empty((len(parts), N_BANDS), np.uint64)
-            for band in range(N_BANDS):
-                key = np.full(len(parts), band, np.uint64)
-                for k in range(band * BAND, band * BAND + BAND):
-                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat((low ^ scramble[0, k]) * scramble[1, k], starts).astype(np.uint64) + np.uint64(1))
-                keys[:, band] = key
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1, dtype=np.int32) * N_BANDS), pa.array(keys.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.int64()), pa.array([_name(p, seed) for p in parts], pa.int64()), lists], names=["id", "fp", "keys"])
+            first = [x[np.argsort(levels.value[x >> np.uint64(64 - LEVEL_BITS)], kind="stable")[: len(x) - int(np.ceil(len(x) * similarity - 1e-9)) + 1]].view(np.int64) for _, x in sets]
+            columns = [pa.array([i for i, _ in sets], pa.int64()), pa.array([_name(x, seed) for _, x in sets], pa.int64()), pa.array([len(x) for _, x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fp", "size", "keys"])
+
+    return run
+
+
+def _marked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, bits) of (chunk, key): a bit for each value of MET_BITS bits of the keys."""
+    bits: dict[int, np.ndarray] = {}
+    for batch in batches:
+        chunks, slots = batch.column(0).to_numpy(), (batch.column(1).to_numpy() // CHUNKS) & ((1 << MET_BITS) // CHUNKS - 1)
+        for chunk in np.unique(chunks).tolist():
+            bits.setdefault(chunk, np.zeros((1 << MET_BITS) // CHUNKS, bool))[slots[chunks == chunk]] = True
+    for chunk, own in bits.items():
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([np.packbits(own).tobytes()], pa.binary())], names=["chunk", "bits"])
+
+
+def _met_keys(bits):
+    """(key, fp, size, place) of (fp, size, keys): the keys whose bit is set, with their place from 1."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            n = lists.value_lengths().to_numpy()
+            keys = lists.flatten().to_numpy()
+            at = (keys % CHUNKS) * ((1 << MET_BITS) // CHUNKS) + ((keys // CHUNKS) & ((1 << MET_BITS) // CHUNKS - 1))
+            kept = np.flatnonzero(bits.value[at >> 3] & (128 >> (at & 7)).astype(np.uint8))
+            row = np.repeat(np.arange(len(n)), n)[kept]
+            place = kept - (np.cumsum(n) - n)[row] + 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(place.astype(np.int32))], names=["key", "fp", "size", "place"])
 
     return run
 
@@ -315,58 +373,104 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(one, "src").join(two, "dst").where(both >= similarity * (F.size("a") + F.size("b") - both) - 1e-9).select("src", "dst")
 
 
+def _enough(similarity: float) -> Column:
+    """Whether two sets may have the similarity whose first shared shingle has these places: what stands behind it in either must do."""
+    behind = 1 + F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
+    return behind >= (F.col("size") + F.col("size2")) * (similarity / (1 + similarity)) - 1e-9
+
+
+def _may_have_others(rows: DataFrame, total: int, similarity: float) -> DataFrame:
+    """(fp, component) of the sets that may be similar to one of another component, by bounds on all of a shingle that are near in
+    size; of (key, fp, component, size, place). No pair is made."""
+    near = rows.withColumn("step", F.floor(F.log("size") / F.lit(math.log(1 / similarity) + 1e-6)))  # similar sets are one step apart at most
+    facts = near.groupBy("key", "step").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("size").alias("size2"), F.max(F.col("size") - F.col("place")).alias("behind2"), F.count("*").alias("n"))
+    reach = facts.withColumn("by", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).groupBy("key", (F.col("step") + F.col("by")).alias("step")).agg(
+        F.min("x").alias("x"), F.max("y").alias("y"), F.min("size2").alias("size2"), F.max("behind2").alias("behind2"), F.sum(F.when(F.col("by") == 0, F.col("n")).otherwise(0)).alias("n")
+    )
+    behind = 1 + F.least(F.col("size") - F.col("place"), F.col("behind2"))
+    met = join_facts(near, reach, ["key", "step"], "fp", total)
+    return met.where(((F.col("x") != F.col("component")) | (F.col("y") != F.col("component"))) & (behind >= (F.col("size") + F.col("size2")) * (similarity / (1 + similarity)) - 1e-9)).select("fp", "component").distinct()
+
+
+def _with_sets(sets: DataFrame | None, asked: DataFrame, own: DataFrame, texts: DataFrame, width: int, seed: int) -> DataFrame:
+    """`sets` (fp, shingles) with those that are asked for; only their texts are hashed again, for the sets of all would be larger than the texts."""
+    asked = asked.select("fp").distinct()
+    heads = own.join(asked if sets is None else asked.join(sets, "fp", "left_anti"), "fp", "left_semi").select("fp", "id")
+    more = staged(heads.join(texts, "id").select("fp", "text").mapInArrow(_named_sets(width, seed), "fp long, shingles array<long>").dropDuplicates(["fp"]))
+    return more if sets is None else sets.union(more)
+
+
+def _parities(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(fp, p0, p1 ...) of (fp, shingles): each shingle flips one of 64 * PARITIES bits, so two sets differ in as many shingles at least as in bits."""
+    for batch in batches:
+        for piece in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
+            n, flat = piece.column(1).value_lengths().to_numpy(), piece.column(1).flatten().to_numpy().view(np.uint64)
+            slots = np.repeat(np.arange(len(n)), n) * (64 * PARITIES) + (mix(flat) % np.uint64(64 * PARITIES)).astype(np.int64)
+            odd = (np.bincount(slots, minlength=len(n) * 64 * PARITIES) & 1).astype(np.uint8).reshape(len(n), -1)
+            words = np.packbits(odd, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([piece.column(0), *(pa.array(words[:, k]) for k in range(PARITIES))], names=["fp", *(f"p{k}" for k in range(PARITIES))])
+
+
 def _may_be_similar(sets: DataFrame, similarity: float) -> DataFrame:
     """(fp, fp2) of different components that may have the similarity, of (fp, component, shingles): a bound, no pair is lost.
 
     With the shingles of each set in one order, the rarest among these sets first, two similar sets share one of the first
     1 - similarity of both, and what stands behind the first shared one in either set is enough for the overlap that is
-    called for. Texts that are alike but not similar differ in rare shingles, which come first, so few of them meet."""
-    own = sets.select("fp", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("token"))
-    counts = own.groupBy("token").agg(F.count("*").alias("n")).withColumn("rarity", F.col("n"))
+    called for. Texts that are alike but not similar differ in rare shingles, which come first, so few of them meet; of those
+    that do, the parities of the sets part most."""
+    own = sets.select("fp", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("key"))
+    counts = own.groupBy("key").agg(F.count("*").alias("n")).withColumn("rarity", F.col("n"))
     total = sets.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
-    ranked = join_facts(own, counts, ["token"], "fp", total)
-    place = F.row_number().over(Window.partitionBy("fp").orderBy("rarity", "token"))
-    first = staged(ranked.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1).select("fp", "component", "size", "token", "place"))
-    a, b = first.alias("a"), first.select("token", *(F.col(c).alias(c + "2") for c in ("fp", "component", "size", "place"))).alias("b")
-    behind = 1 + F.least(F.col("size") - F.col("place"), F.col("size2") - F.col("place2"))
-    enough = behind >= (F.col("size") + F.col("size2")) * (similarity / (1 + similarity)) - 1e-9
-    return a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("component") < F.col("component2")) & enough).select("fp", "fp2")
+    ranked = join_facts(own, counts, ["key"], "fp", total)
+    place = F.row_number().over(Window.partitionBy("fp").orderBy("rarity", "key"))
+    first = ranked.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1)
+    words = [f"p{k}" for k in range(PARITIES)]
+    marks = sets.select("fp", "shingles").mapInArrow(_parities, "fp long, " + ", ".join(f"{w} long" for w in words))
+    first = staged(first.join(marks, "fp").select("key", "fp", "component", "size", "place", *words))
+    a, b = first.alias("a"), first.select("key", *(F.col(c).alias(c + "2") for c in ("fp", "component", "size", "place", *words))).alias("b")
+    differ = reduce(add, (F.bit_count(F.col(w).bitwiseXOR(F.col(w + "2"))) for w in words))
+    close = differ <= (F.col("size") + F.col("size2")) * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("component") < F.col("component2")) & _enough(similarity) & close).select("fp", "fp2")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, seed: int = 42, stars: int = 2) -> DataFrame:
     """(id, component) of each row with an id and a word: the smallest id of all documents that links lead to, a link being
-    a Jaccard similarity of at least `similarity` of two sets of `width`-word shingles.
+    a Jaccard similarity of at least `similarity` of two sets of `width`-word shingles. No link is lost.
 
-    SimHash distances spread too far about their mean to decide this, and its bands need quadratic work to find pairs at
-    0.8, so bands of min-hashes propose pairs, 0.999 of those at 0.8 and more above, and the sets themselves decide. Equal
-    sets are one row. In the first rounds each band group compares its members with one of them, another in each group
-    and round; then, of groups that no link has joined yet, the pairs that `_may_be_similar` leaves are compared. So a dense
-    group costs about its size, and no pair that met is left out. Groups meet in joins and partial sums alone, never whole in one task."""
+    Two such sets share one of the first 1 - `similarity` of their shingles, in any order that is the same for all texts. Here
+    rare ones come first, by a table of counts of fixed size that every text adds to, so that few unlike texts meet. Equal
+    sets are one row. In the first rounds the texts of a shingle are compared with one of them, another in each shingle and
+    round; then, of texts that may yet have a link, the pairs that `_may_be_similar` leaves. The sets themselves decide. So a dense group costs about its size. Groups meet in joins and partial sums alone, never whole in one task."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    rows = staged(texts.mapInArrow(_banded(width, seed), "id long, fp long, keys array<long>"))
-    bands = rows.select("fp", F.explode("keys").alias("key")).distinct()
-    often = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = staged(join_facts(bands, often, ["key"], "fp", N_BANDS * rows.count()).select("key", "fp"))
-    # only texts that met another are hashed again: the sets of all would be larger than the texts
-    heads = rows.join(members.select("fp").distinct(), "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id"))
-    sets = staged(heads.join(texts, "id").select("fp", "text").mapInArrow(_named_sets(width, seed), "fp long, shingles array<long>"))
-    n_members, tested, links, found = members.count(), None, None, None
+    counts = texts.mapInArrow(_counted(width, seed), "chunk int, counts binary")
+    levels = _joined(counts.repartition("chunk").mapInArrow(_levels, "chunk int, levels binary"), 1 << LEVEL_BITS)
+    rows = staged(texts.mapInArrow(_prefixes(width, seed, similarity, levels), "id long, fp long, size int, keys array<long>"))
+    own = staged(rows.dropDuplicates(["fp"]))
+    often = staged(own.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    # most shingles are in one set alone: their rows need no shuffle
+    bits = _joined(often.select(F.pmod("key", F.lit(CHUNKS)).cast("int").alias("chunk"), "key").repartition("chunk").mapInArrow(_marked, "chunk int, bits binary"), (1 << MET_BITS) // 8)
+    met = own.select("fp", "size", "keys").mapInArrow(_met_keys(bits), "key long, fp long, size int, place int")
+    members = staged(join_facts(met, often, ["key"], "fp", own.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]))
+    n_members, tested, sets, links, found = members.count(), None, None, None, None
     for turn in range(stars + 1):
         if found is None:
             now = members.withColumn("component", F.col("fp"))
         else:
-            now = members.join(found.withColumnRenamed("id", "fp"), "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("component"))
+            now = members.join(found.withColumnRenamed("id", "fp"), "fp", "left").select(*members.columns, F.coalesce("component", "fp").alias("component"))
         if turn < stars:
-            other = now.groupBy("key").agg(F.min_by(F.struct("fp", "component"), F.xxhash64("fp", "key", F.lit(turn))).alias("h"), F.count("*").alias("n")).select("key", F.col("h.fp").alias("fp2"), F.col("h.component").alias("component2"), "n")
-            met = join_facts(now, other, ["key"], "fp", n_members).where("component <> component2")
+            one = F.min_by(F.struct("fp", "component", "size", "place"), F.xxhash64("fp", "key", F.lit(turn)))
+            other = now.groupBy("key").agg(one.alias("h"), F.count("*").alias("n")).select("key", *(F.col(f"h.{c}").alias(c + "2") for c in ("fp", "component", "size", "place")), "n")
+            near = join_facts(now, other, ["key"], "fp", n_members).where((F.col("component") != F.col("component2")) & _enough(similarity))
         else:
             # groups whose members are all linked are done
             open_keys = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y").select("key", "n")
-            left = join_facts(now, open_keys, ["key"], "fp", n_members).select("fp", "component").distinct()
-            met = _may_be_similar(staged(left.join(sets, "fp")), similarity)
-        pairs = met.select(F.greatest("fp", "fp2").alias("src"), F.least("fp", "fp2").alias("dst")).distinct()
+            left = staged(_may_have_others(join_facts(now, open_keys, ["key"], "fp", n_members), n_members, similarity))
+            sets = _with_sets(sets, left, own, texts, width, seed)
+            near = _may_be_similar(staged(left.join(sets, "fp")), similarity)
+        pairs = near.select(F.greatest("fp", "fp2").alias("src"), F.least("fp", "fp2").alias("dst")).distinct()
         pairs = staged(pairs.join(tested, ["src", "dst"], "left_anti") if tested is not None else pairs)
         tested = pairs if tested is None else tested.union(pairs)
+        sets = _with_sets(sets, pairs.select(F.col("src").alias("fp")).union(pairs.select("dst")), own, texts, width, seed)
         new = staged(_verified(pairs, sets, similarity))
         links = new if links is None else links.union(new)
         found = components(links)
